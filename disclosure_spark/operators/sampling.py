@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from disclosure_spark.functions.order import SEED, hash_order
-from disclosure_spark.session import broadcast_if_small, materialize
+from disclosure_spark.session import broadcast_if_small, local_if_small, single_value
 
 _HEX_DIGITS = 3  # 4,096 buckets
 
@@ -51,13 +51,15 @@ def hash_cuts(
     hist = _histogram(keyed, by)
     hist = hist.withColumn("_ranks", ranks(hist))
     wanted = hist.select(*by, "b", "n", "upto", F.posexplode("_ranks").alias("i", "rank"))
-    inside = wanted.filter((F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto")))
-    empty = wanted.filter(F.col("rank") <= 0).select(*by, "i").distinct()
-    # at most (number of ranks) rows per group
-    targets = broadcast_if_small(
-        inside.select(*by, "b", "i", (F.col("rank") - F.col("upto") + F.col("n")).alias("local"))
+    here = (F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto"))
+    none = (F.col("rank") <= 0) & (F.col("upto") == F.col("n"))  # said once, by the first bucket
+    # one row per rank and group
+    spots = broadcast_if_small(
+        wanted.filter(here | none).select(*by, "b", "i", (F.col("rank") - F.col("upto") + F.col("n")).alias("local"))
     )
-    ranked = keyed.join(targets.select(*by, "b").distinct().transform(F.broadcast), [*by, "b"]).withColumn(
+    targets = spots.filter(F.col("local") > 0)
+    empty = spots.filter(F.col("local") <= 0).select(*by, "i")
+    ranked = keyed.join(targets.select(*by, "b"), [*by, "b"], "left_semi").withColumn(
         "rn", F.row_number().over(W.partitionBy(*by, "b").orderBy("at"))
     )
     hits = ranked.join(targets, [*by, "b"]).filter(F.col("rn") == F.col("local")).select(*by, "i", "at")
@@ -75,7 +77,7 @@ def passed_cuts(key: Column, cuts: Column, seed: int = SEED) -> Column:
 def _attach(df: DataFrame, cuts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Put each group's cuts beside its rows; one row per class, so normally a broadcast."""
     if not by:
-        return df.withColumn("cuts", materialize(cuts, "cuts").scalar())
+        return df.withColumn("cuts", single_value(cuts))
     return df.join(broadcast_if_small(cuts), list(by), "left")
 
 
@@ -156,7 +158,7 @@ def contiguous_folds(df: DataFrame, order: str, k: int = 5, *, out: str = "fold"
         F.max(value).alias("high"),
         F.percentile_approx(value, probs, accuracy).alias("p"),
     )
-    summary = materialize(summary, "percentiles")
+    summary = local_if_small(summary, 1)[0]
     few = F.col("n") < accuracy  # a small table is its own band
     fence = summary.select(
         F.struct(
@@ -167,8 +169,8 @@ def contiguous_folds(df: DataFrame, order: str, k: int = 5, *, out: str = "fold"
         )
     )
     fenced = df.select(value.alias("v"), fence.scalar().alias("f"))
-    below = materialize(
-        fenced.agg(F.array(*[F.count_if(F.col("v") < F.col("f.lo")[i]) for i in range(k - 1)]).alias("below")), "below"
+    below = single_value(
+        fenced.agg(F.array(*[F.count_if(F.col("v") < F.col("f.lo")[i]) for i in range(k - 1)]).alias("below"))
     )
     band = F.filter(
         F.sequence(F.lit(0), F.lit(k - 2)),
@@ -177,12 +179,12 @@ def contiguous_folds(df: DataFrame, order: str, k: int = 5, *, out: str = "fold"
     ranked = (
         fenced.select("v", F.explode(band).alias("i"), F.col("f.ranks").alias("ranks"))
         .withColumn("rn", F.row_number().over(W.partitionBy("i").orderBy("v")))
-        .withColumn("below", below.scalar())
+        .withColumn("below", below)
         .filter(F.col("rn") + F.col("below")[F.col("i")] == F.col("ranks")[F.col("i")])
     )
-    cuts = materialize(ranked.agg(F.sort_array(F.collect_list("v")).alias("cuts")), "cuts")
+    cuts = single_value(ranked.agg(F.sort_array(F.collect_list("v")).alias("cuts")))
     place = F.size(F.filter(F.col("_cuts"), lambda c: value > c))
-    return df.withColumn("_cuts", cuts.scalar()).withColumn(out, place).drop("_cuts")
+    return df.withColumn("_cuts", cuts).withColumn(out, place).drop("_cuts")
 
 
 def hash_rank(df: DataFrame, key: Column, *, by: Sequence[str] = (), seed: int = SEED, out: str = "ord") -> DataFrame:
@@ -208,3 +210,11 @@ def replay_split(index: DataFrame, train: DataFrame, test: DataFrame, key: str)
         .agg(F.min("side").alias("side"))
     )
     return index.join(sides, key).withColumn("split", F.when(F.col("side") == 0, "train").otherwise("test")).drop("side")
+
+
+def classifier_split(
+    df: DataFrame, key: str, label: str, train: float = 0.8, *, seed: int = SEED
+) -> DataFrame:
+    """Exact train/test split, then classes balanced inside each part (column ``split``)."""
+    parts = exact_split(df, key, (train,), ("train", "test"), seed=seed)
+    return balance_classes(parts, key, label, within=["split"], seed=seed)

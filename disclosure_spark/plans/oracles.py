@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from disclosure_spark.functions.text import ABBREVIATIONS
+from disclosure_spark.functions.wordpiece import BASIC_TOKEN, CONTROL, SPECIAL
+from disclosure_spark.operators.curves import NB_SIZES, SIZES
 from disclosure_spark.plans.proxies import COMPOSITION_DATES
 
 ORACLES: dict[str, str] = {}
@@ -245,3 +247,392 @@ kept as (
   select p.* from parts p join sizes s using (split)
   qualify row_number() over (partition by p.split, quality order by md5(doc_id || ':42'), doc_id) <= s.n)
 select d.doc_id, 'multiline_report' || d.doc_id as key, k.split from documents d join kept k using (doc_id)"""
+
+
+# --- sub-words ----------------------------------------------------------------------------------
+
+
+def basic(expr: str) -> str:
+    return f"regexp_extract_all(regexp_replace({expr}, '{CONTROL}', '', 'g'), '{BASIC_TOKEN}')"
+
+
+_SPECIAL = ", ".join(f"('{t}', {i})" for i, t in enumerate(SPECIAL))
+VOCAB = f"""
+bench_words as (select lower(unnest({basic('text')})) as w from benchmark),
+top as (select w, count(*) as n from bench_words group by w order by n desc, w limit 2000),
+chars as (select distinct unnest(string_split(w, '')) as c from bench_words),
+kinds as (
+  select t as token, 0 as kind, -i as n from (values {_SPECIAL}) s(t, i)
+  union all select c, 1, 0 from chars where c <> ''
+  union all select '##' || c, 2, 0 from chars where c <> ''
+  union all select w, 3, n from top
+  union all select '##' || right(w, 3), 4, sum(n) from top where length(w) > 3 group by 1),
+firsts as (select token, min((kind, -n)) as r from kinds group by token),
+vocab as (select token, cast(row_number() over (order by r, token) - 1 as integer) as id from firsts)"""
+
+PIECES = f"""
+raw_words as (select word, count(*) as n from (select unnest({basic('text')}) as word from documents) group by word),
+norms as (select distinct strip_accents(lower(word)) as w from raw_words),
+starts as (select w, unnest(range(1, length(w) + 1)) as s from norms where length(w) <= 200),
+spans as (select w, s, unnest(range(1, least((select max(length(token)) from vocab), length(w) - s + 1) + 1)) as l from starts),
+longest as (
+  select w, s, max(l) as l from spans
+  where case when s > 1 then '##' else '' end || substr(w, s, l) in (select token from vocab) group by 1, 2),
+walk(w, s, l, i) as (
+  select w, s, l, 0 from longest where s = 1
+  union all
+  select n.w, n.s, n.l, p.i + 1 from walk p join longest n on n.w = p.w and n.s = p.s + p.l),
+found as (
+  select w, list(case when s > 1 then '##' else '' end || substr(w, s, l) order by i) as pieces
+  from walk group by w having max(s + l) = length(w) + 1),
+matched as (
+  select r.word, r.n, coalesce(f.pieces, ['[UNK]']) as pieces
+  from raw_words r left join found f on f.w = strip_accents(lower(r.word)))"""
+
+ORACLES["vocabulary"] = f"with {VOCAB} select token, id from vocab"
+ORACLES["wordpiece"] = f"""
+with recursive {VOCAB}, {PIECES}
+select word, n, array_to_string(pieces, ' ') as pieces from matched"""
+ORACLES["subtoken_runs"] = f"""
+with recursive {VOCAB}, {PIECES}
+select array_to_string(pieces, ' ') as run, cast(sum(n) as bigint) as n from matched where len(pieces) > 1 group by 1"""
+
+
+def uniform(text: str) -> str:
+    return f"cast('0x' || substr(md5({text}), 1, 8) as bigint)"
+
+
+MLM = f"""
+doc_words as (select doc_id, unnest(l) as word, generate_subscripts(l, 1) as idx
+  from (select doc_id, {basic('text')} as l from documents)),
+doc_tokens as (
+  select d.doc_id, flatten(list(m.pieces order by d.idx)) as tokens from doc_words d join matched m using (word) group by 1),
+copies as (
+  select *, case when {uniform("doc_id || ':' || dup || ':length:12345'")} < 429496729
+    then 2 + {uniform("doc_id || ':' || dup || ':target:12345'")} % 125 else 126 end as t
+  from (select doc_id, tokens, unnest(range(5)) as dup from doc_tokens)),
+runs as (
+  select doc_id, dup, seq_id, ['[CLS]'] || tokens[seq_id * t + 1 : seq_id * t + t] || ['[SEP]'] as original
+  from (select *, unnest(range(cast(floor((len(tokens) - 1) / t) as bigint) + 1)) as seq_id from copies)),
+masked as (
+  select *, list_sort(list_transform(
+      list_sort(list_transform(range(1, len(original) - 1),
+        lambda p: {{'h': md5(doc_id || ':' || seq_id || ':' || dup || ':' || p || ':12345'), 'p': p}}))
+        [1 : cast(least(20, greatest(1, round_even(len(original) * 0.15, 0))) as bigint)],
+      lambda r: r.p)) as positions
+  from runs),
+labels as (select *, list_transform(positions, lambda p: original[p + 1]) as masked_labels from masked)"""
+
+_U = uniform("doc_id || ':' || seq_id || ':' || dup || ':' || p || ':replace:12345'") + " % 100"
+_V = uniform("doc_id || ':' || seq_id || ':' || dup || ':' || p || ':word:12345'")
+ORACLES["mlm_instances"] = f"""
+with recursive {VOCAB}, {PIECES}, {MLM},
+bag as (select list(token order by id) as words from vocab)
+select doc_id as report_id, cast(seq_id as integer) as seq_id, cast(dup as integer) as dup,
+  array_to_string(list_transform(range(len(original)), lambda p:
+    case when not list_contains(positions, p) then original[p + 1]
+         when {_U} < 80 then '[MASK]'
+         when {_U} < 90 then original[p + 1]
+         else words[{_V} % len(words) + 1] end), ' ') as tokens,
+  array_to_string(positions, ' ') as masked_positions, array_to_string(masked_labels, ' ') as masked_labels
+from labels, bag"""
+ORACLES["oov_rate"] = f"""
+with recursive {VOCAB}, {PIECES}, {MLM},
+seen as (select token, count(*) as n from (select unnest(masked_labels) as token from labels) group by token)
+select count(*) as masked_tokens, count(*) filter (token = '[UNK]') as not_in_vocab_count,
+       round(count(*) filter (token = '[UNK]') / count(*), 6) as not_in_vocab_ratio,
+       round(sum(n) filter (token = '[UNK]') / sum(n), 6) as unknown_token_rate
+from seen"""
+
+FINETUNE = f"""
+parts as {split('(select d.doc_id, d.text, l.quality from documents d join labels l using (doc_id)) q', 'doc_id', 0.6, 0.2, THREE)},
+part_lines as (
+  select doc_id, unnest(l) as line, generate_subscripts(l, 1) - 1 as pos from (select doc_id, {lines('text')} as l from parts)),
+{packed(115, False, 'part_lines')},
+keyed as (
+  select p.split, p.quality as label, k.doc_id || '-' || k.chunk as seq_key, k.text as sequence
+  from packed k join parts p using (doc_id)),
+least_of as (
+  select split, case when count(*) < 2 then 0 else min(n) end as n
+  from (select split, label, count(*) as n from keyed group by 1, 2) group by 1),
+examples as (
+  select k.* from keyed k join least_of o using (split)
+  qualify row_number() over (partition by k.split, k.label order by md5(k.seq_key || ':42'), k.seq_key) <= o.n)"""
+ORACLES["finetune_set"] = f"with recursive {FINETUNE} select * from examples"
+ORACLES["finetune_counts"] = f"with recursive {FINETUNE} select split, count(*) as n_examples from examples group by split"
+ORACLES["encode_examples"] = f"""
+with recursive {VOCAB}, {PIECES}, {FINETUNE},
+numbered as (
+  select *, split || '-' || row_number() over (partition by split order by md5(seq_key || ':42'), seq_key) as guid from examples),
+seq_words as (
+  select guid, unnest(l) as word, generate_subscripts(l, 1) as idx from (select guid, {basic('sequence')} as l from numbered)),
+seq_tokens as (
+  select guid, flatten(list(m.pieces order by idx))[1:126] as tokens from seq_words join matched m using (word) group by 1),
+tokens as (
+  select n.guid, n.split, n.label, ['[CLS]'] || coalesce(t.tokens, []) || ['[SEP]'] as tokens
+  from numbered n left join seq_tokens t using (guid)),
+placed as (select guid, unnest(tokens) as token, generate_subscripts(tokens, 1) as idx from tokens),
+coded as (select guid, list(v.id order by idx) as ids from placed p join vocab v using (token) group by 1)
+select guid, split, label as label_id,
+  array_to_string(ids || list_transform(range(128 - len(ids)), lambda x: 0), ' ') as input_ids,
+  array_to_string(list_transform(range(128), lambda x: case when x < len(ids) then 1 else 0 end), ' ') as input_mask,
+  array_to_string(list_transform(range(128), lambda x: 0), ' ') as segment_ids
+from coded join tokens using (guid)"""
+
+# --- features -----------------------------------------------------------------------------------
+
+ORACLES["pool_mean_std"] = """
+with cells as (
+  select vec_id // 10 as report_id, generate_subscripts(embedding, 1) - 1 as idx, cast(unnest(embedding) as double) as v from embeddings)
+select report_id, cast(idx as integer) as idx, round(avg(v), 6) as value from cells group by report_id, idx
+union all
+select report_id, cast(idx + 64 as integer), round(stddev_pop(v), 6) from cells group by report_id, idx"""
+
+PARTS = f"""
+vectors as (
+  select vec_id as report_id, embedding, case when label >= 5 then 1 else 0 end as y,
+         case when label >= 5 then 'positive' else 'negative' end as change_nominal from embeddings),
+cut as {split('vectors', 'report_id', 0.8, None, ('train', 'test'))},
+sizes as (select split, min(n) as n from (select split, y, count(*) as n from cut group by 1, 2) group by 1),
+parts as (
+  select c.* from cut c join sizes s using (split)
+  qualify row_number() over (partition by c.split, y order by md5(report_id || ':42'), report_id) <= s.n),
+cells as (
+  select report_id, split, y, generate_subscripts(embedding, 1) - 1 as idx, cast(unnest(embedding) as double) as v from parts),
+fitted as (
+  select idx, avg(v) as m, case when stddev_pop(v) = 0 then 1 else stddev_pop(v) end as s from cells where split = 'train' group by idx),
+scaled as (select c.report_id, c.split, c.y, c.idx, (c.v - f.m) / f.s as z from cells c join fitted f using (idx))"""
+
+ORACLES["standardize"] = f"with {PARTS} select report_id, split, cast(idx as integer) as idx, round(z, 6) as value from scaled"
+ORACLES["label_encode"] = """
+select vec_id as report_id, case when label >= 5 then 'positive' else 'negative' end as change_nominal,
+       case when label >= 5 then 1 else 0 end as y from embeddings"""
+
+STEPS = "steps as (select conv_id as report_id, count(*) as n_steps from conversations group by 1)"
+ORACLES["steps_hist"] = f"with {STEPS} select n_steps as length, count(*) as occurences from steps group by 1"
+ORACLES["longest_report"] = f"with {STEPS} select report_id, n_steps from steps order by n_steps desc, report_id limit 1"
+ORACLES["length_batches"] = f"with {STEPS} select report_id, n_steps from steps"
+
+# --- classifiers --------------------------------------------------------------------------------
+
+BAYES = """
+smoothing as (select 1e-9 * max(v) as e from (select idx, var_pop(z) as v from scaled where split = 'train' group by idx)),
+classes as (
+  select y as c, idx, avg(z) as m, var_pop(z) + (select e from smoothing) as v from scaled where split = 'train' group by y, idx),
+priors as (
+  select y as c, ln(count(*) / (select count(*) from parts where split = 'train')) as p from parts where split = 'train' group by y),
+fits as (
+  select t.report_id, t.y, k.c, max(p.p) - 0.5 * sum(ln(2 * pi() * k.v) + (t.z - k.m) ** 2 / k.v) as fit
+  from scaled t join classes k using (idx) join priors p on p.c = k.c where t.split = 'test' group by 1, 2, 3),
+nb as (
+  select report_id, y, cast(arg_max(c, fit) as integer) as pred,
+         1 / (1 + exp(max(fit) filter (c = 0) - max(fit) filter (c = 1))) as score
+  from fits group by 1, 2)"""
+KNN = """
+rows as (select report_id, split, y, list(z order by idx) as z from scaled group by 1, 2, 3),
+near as (
+  select a.report_id, a.y, b.y as label from rows a, rows b where a.split = 'test' and b.split = 'train'
+  qualify row_number() over (partition by a.report_id order by list_distance(a.z, b.z), b.report_id) <= 15),
+knn as (
+  select report_id, y, case when sum(label) * 2 > count(*) then 1 else 0 end as pred, sum(label) / count(*) as score
+  from near group by 1, 2)"""
+ORACLES["nb_predict"] = f"with {PARTS}, {BAYES} select report_id, y, pred, round(score, 6) as score from nb"
+ORACLES["knn_predict"] = f"with {PARTS}, {KNN} select report_id, y, pred, round(score, 6) as score from knn"
+
+FOLDED = """
+folded as (
+  select vec_id as report_id, embedding, case when label >= 5 then 1 else 0 end as y,
+         ntile(5) over (partition by label >= 5 order by md5(vec_id || ':42'), vec_id) - 1 as own
+  from embeddings)"""
+CURVE = """
+per_fold as (
+  select fold, x, sum(right_one) filter (side = 'train') / count(*) filter (side = 'train') as train,
+         sum(right_one) filter (side = 'valid') / count(*) filter (side = 'valid') as valid
+  from judged group by fold, x)"""
+MEANS = """round(avg(train), 6) as train_scores_mean, round(stddev_pop(train), 6) as train_scores_std,
+  round(avg(valid), 6) as valid_scores_mean, round(stddev_pop(valid), 6) as valid_scores_std"""
+
+
+def sized(fractions: tuple[float, ...]) -> str:
+    """Train and validation rows of every (fold, size) cell, scaled by that cell's train part."""
+    listed = ", ".join(f"({i}, cast({f!r} as double))" for i, f in enumerate(fractions))
+    return f"""
+folds as (select unnest(range(5)) as fold),
+ranked as (
+  select f.fold, d.report_id, row_number() over (partition by f.fold order by md5(report_id || ':42'), report_id) as r
+  from folded d join folds f on f.fold <> d.own),
+grid as (
+  select i, greatest(1, cast(floor(fraction * (select count(*) from ranked where fold = 0)) as bigint)) as x
+  from (values {listed}) g(i, fraction)),
+members as (
+  select r.fold, g.x, r.report_id, 'train' as side from ranked r join grid g on r.r <= g.x
+  union all
+  select d.own, g.x, d.report_id, 'valid' from folded d, grid g),
+cells as (
+  select m.fold, m.x, m.side, m.report_id, d.y, generate_subscripts(d.embedding, 1) as idx, cast(unnest(d.embedding) as double) as v
+  from members m join folded d using (report_id)),
+fitted as (
+  select fold, x, idx, avg(v) as m, case when stddev_pop(v) = 0 then 1 else stddev_pop(v) end as s
+  from cells where side = 'train' group by 1, 2, 3),
+scaled as (select c.fold, c.x, c.side, c.report_id, c.y, c.idx, (c.v - f.m) / f.s as z from cells c join fitted f using (fold, x, idx))"""
+
+
+ORACLES["nb_learning_curve"] = f"""
+with {FOLDED}, {sized(NB_SIZES)},
+smoothing as (
+  select fold, x, 1e-9 * max(v) as e from
+    (select fold, x, idx, var_pop(z) as v from scaled where side = 'train' group by 1, 2, 3) group by 1, 2),
+classes as (
+  select s.fold, s.x, s.y as c, s.idx, avg(z) as m, var_pop(z) + max(e) as v
+  from scaled s join smoothing using (fold, x) where side = 'train' group by 1, 2, 3, 4),
+priors as (
+  select fold, x, y as c, ln(count(*) / sum(count(*)) over (partition by fold, x)) as p
+  from scaled where side = 'train' and idx = 1 group by 1, 2, 3),
+fits as (
+  select t.fold, t.x, t.side, t.report_id, t.y, k.c, max(p.p) - 0.5 * sum(ln(2 * pi() * k.v) + (t.z - k.m) ** 2 / k.v) as fit
+  from scaled t join classes k using (fold, x, idx) join priors p on p.fold = k.fold and p.x = k.x and p.c = k.c
+  group by 1, 2, 3, 4, 5, 6),
+judged as (
+  select fold, x, side, report_id, case when arg_max(c, fit) = any_value(y) then 1 else 0 end as right_one from fits group by 1, 2, 3, 4),
+{CURVE}
+select x as train_sizes, {MEANS} from per_fold group by x"""
+
+ORACLES["knn_learning_curve"] = f"""
+with {FOLDED}, {sized(SIZES)},
+rows as (select fold, x, side, report_id, y, list(z order by idx) as z from scaled group by 1, 2, 3, 4, 5),
+near as (
+  select a.fold, a.x, a.side, a.report_id, a.y, b.y as label
+  from rows a join rows b on a.fold = b.fold and a.x = b.x and b.side = 'train'
+  qualify row_number() over (partition by a.fold, a.x, a.side, a.report_id order by list_distance(a.z, b.z), b.report_id) <= 15),
+judged as (
+  select fold, x, side, report_id, case when (sum(label) * 2 > count(*)) = (any_value(y) = 1) then 1 else 0 end as right_one
+  from near group by 1, 2, 3, 4),
+{CURVE}
+select x as train_sizes, {MEANS} from per_fold group by x"""
+
+ORACLES["knn_validation_curve"] = f"""
+with {FOLDED},
+folds as (select unnest(range(5)) as fold),
+cells as (
+  select f.fold, d.report_id, d.y, d.own, generate_subscripts(d.embedding, 1) as idx, cast(unnest(d.embedding) as double) as v
+  from folded d, folds f),
+fitted as (
+  select fold, idx, avg(v) as m, case when stddev_pop(v) = 0 then 1 else stddev_pop(v) end as s
+  from cells where own <> fold group by 1, 2),
+rows as (
+  select c.fold, c.report_id, c.y, case when c.own = c.fold then 'valid' else 'train' end as side,
+         list((c.v - f.m) / f.s order by c.idx) as z
+  from cells c join fitted f using (fold, idx) group by 1, 2, 3, 4),
+near as (
+  select a.fold, a.side, a.report_id, a.y, b.y as label,
+         row_number() over (partition by a.fold, a.report_id order by list_distance(a.z, b.z), b.report_id) as r
+  from rows a join rows b on a.fold = b.fold and b.side = 'train'),
+votes as (
+  select fold, side, y, r as x, sum(label) over (partition by fold, report_id order by r) as ones
+  from near where r <= 349),
+judged as (
+  select fold, side, x, case when (ones * 2 > x) = (y = 1) then 1 else 0 end as right_one from votes where x % 2 = 1 and x >= 3),
+{CURVE}
+select x as n_neighbors, {MEANS} from per_fold group by x"""
+
+ORACLES["epoch_curve"] = f"""
+with per_fold as (
+  select hour(ts) as epoch, user_id % 5 as fold, avg(value / 500) filter (event_id % 2 = 0) as train,
+         avg(value / 500) filter (event_id % 2 = 1) as valid
+  from events group by 1, 2)
+select cast(epoch as integer) as epochs, {MEANS} from per_fold group by 1"""
+
+# --- evaluation ---------------------------------------------------------------------------------
+
+ORACLES["confusion_matrix"] = f"""
+with {PARTS}, {BAYES}
+select cast(a as integer) as y, cast(b as integer) as pred, count(nb.y) as n
+from range(2) t(a), range(2) u(b) left join nb on nb.y = a and nb.pred = b group by 1, 2"""
+
+_PER_CLASS = """
+per_class as (
+  select c as label, count(*) filter (y = c and pred = c) as tp, count(*) filter (pred = c) as said, count(*) filter (y = c) as support,
+         count(*) as total
+  from nb, range(2) t(c) group by c),
+rated as (
+  select *, coalesce(tp / nullif(said, 0), 0) as p, coalesce(tp / nullif(support, 0), 0) as r,
+         coalesce(2 * tp / nullif(said + support, 0), 0) as f from per_class)"""
+ORACLES["class_report"] = f"""
+with {PARTS}, {BAYES}, {_PER_CLASS}
+select cast(label as varchar) as label, round(p, 4) as precision, round(r, 4) as recall, round(f, 4) as f1_score, support from rated
+union all
+select 'accuracy', round(sum(tp) / max(total), 4), round(sum(tp) / max(total), 4), round(sum(tp) / max(total), 4), max(total) from rated
+union all
+select 'macro avg', round(avg(p), 4), round(avg(r), 4), round(avg(f), 4), max(total) from rated
+union all
+select 'weighted avg', round(sum(p * support) / max(total), 4), round(sum(r * support) / max(total), 4),
+       round(sum(f * support) / max(total), 4), max(total) from rated"""
+
+_STEPS_OF_SCORES = """
+groups as (select score, sum(y) as pos, count(*) - sum(y) as neg from knn group by score),
+running as (
+  select *, sum(pos) over down as tp, sum(neg) over down as fp, sum(pos) over () as all_pos, sum(neg) over () as all_neg,
+         lead(pos) over down as next_pos, lead(neg) over down as next_neg, row_number() over down as i
+  from groups window down as (order by score desc))"""
+ORACLES["roc_points"] = f"""
+with {PARTS}, {KNN}, {_STEPS_OF_SCORES}
+select round(score, 6) as threshold, round(fp / all_neg, 6) as fpr, round(tp / all_pos, 6) as tpr from running
+where i = 1 or next_pos is null or next_pos <> pos or next_neg <> neg
+union all select round(max(score) + 1, 6), 0.0, 0.0 from knn"""
+ORACLES["auc"] = f"""
+with {PARTS}, {KNN}, {_STEPS_OF_SCORES},
+curve as (
+  select fp / all_neg as x, tp / all_pos as t, coalesce(lag(fp / all_neg) over (order by score desc), 0) as x0,
+         coalesce(lag(tp / all_pos) over (order by score desc), 0) as t0 from running)
+select round(sum((x - x0) * (t + t0) / 2), 6) as auc from curve"""
+
+
+def company(source: str) -> str:
+    return f"""
+company as (
+  select cik, min_by(ticker, (split <> 'train', report_id)) as ticker, min_by(name, (split <> 'train', report_id)) as name,
+         count(*) filter (split = 'train' and change_nominal = 'positive') as train_positives,
+         count(*) filter (split = 'train' and change_nominal <> 'positive') as train_negatives,
+         count(*) filter (split = 'test' and change_nominal = 'positive') as test_positives,
+         count(*) filter (split = 'test' and change_nominal <> 'positive') as test_negatives
+  from {source} group by cik),
+drift as (
+  select *, train_positives / nullif(train_positives + train_negatives, 0) as train_positive_ratio,
+    (train_positives * test_positives + train_negatives * test_negatives)
+      / nullif(sqrt(train_positives ** 2 + train_negatives ** 2) * sqrt(test_positives ** 2 + test_negatives ** 2), 0)
+      as cosine_similarity_train_test
+  from company)"""
+
+
+_COUNTS = """cik, ticker, name, train_positives, train_negatives, round(train_positive_ratio, 6) as train_positive_ratio,
+  test_positives, test_negatives, round(cosine_similarity_train_test, 6) as cosine_similarity_train_test"""
+_NAMED = """
+named as (
+  select *, report_id % 40 as cik, 'T' || (report_id % 40) as ticker, 'Company ' || (report_id % 80) as name from parts)"""
+
+def predictions(m: str) -> str:
+    return f"""
+{m}_by_company as (
+  select report_id % 40 as cik, count(*) filter (pred = 1) as {m}_up, count(*) filter (pred <> 1) as {m}_down,
+         count(*) filter (pred = 1 and y = 1) / count(*) as {m}_acc, count(*) filter (pred = y) / count(*) as {m}_true
+  from {m} group by 1)"""
+
+
+_MODEL_COLUMNS = ", ".join(
+    f"coalesce({m}_up, 0) as {m}_test_pred_positives, coalesce({m}_down, 0) as {m}_test_pred_negatives, "
+    f"round({m}_acc, 6) as {m}_accuracy, round({m}_true, 6) as {m}_true_accuracy"
+    for m in ("nb", "knn")
+)
+ORACLES["company_drift"] = f"""
+with {PARTS}, {BAYES}, {KNN}, {_NAMED}, {company('named')}, {predictions('nb')}, {predictions('knn')}
+select {_COUNTS}, {_MODEL_COLUMNS}
+from drift left join nb_by_company using (cik) left join knn_by_company using (cik)"""
+ORACLES["similarity_points"] = f"""
+with {PARTS}, {BAYES}, {_NAMED}, {company('named')}, {predictions('nb')}
+select cik, round(cosine_similarity_train_test, 6) as cosine_similarity_train_test, round(nb_acc, 6) as nb_accuracy
+from drift join nb_by_company using (cik) where cosine_similarity_train_test is not null"""
+ORACLES["company_direction_counts"] = f"""
+with {REPORTS}, {TRADING_DAY}, {LABELLED},
+parts as {split("(select *, 'Customer ' || cik as name from labelled) q", 'report_id', 0.8, None, ('train', 'test'))},
+{company('parts')}
+select {_COUNTS} from drift"""

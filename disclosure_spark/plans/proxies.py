@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from disclosure_spark.session import spread
+
 # The first eight quarter starts of the order history, as composition column labels.
 COMPOSITION_DATES = (
     "01/04/1995", "01/07/1995", "01/10/1995", "01/01/1996", "01/04/1996", "01/07/1996", "01/10/1996", "01/01/1997",
@@ -76,7 +78,11 @@ def cik_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("report_id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("report_id"), "text"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

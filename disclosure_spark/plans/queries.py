@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from disclosure_spark.functions import text as X
-from disclosure_spark.operators import corpora, membership, packing, prices, sampling
+from disclosure_spark.operators import (
+    corpora, curves, evaluation, features, membership, models, neighbours, packing, prices, sampling,
+)
 from disclosure_spark.operators import text as text_ops
 from disclosure_spark.plans import proxies as V
 
@@ -124,19 +126,19 @@ def load_errors(spark, sf_dir):
 
 @register
 def strip_header(spark, sf_dir):
-    pages = V.table(spark, sf_dir, "pages")
+    pages = V.pages(spark, sf_dir)
     return pages.select("page_id", X.strip_header(F.col("html"), "</head>").alias("text"))
 
 
 @register
 def strip_exhibits(spark, sf_dir):
-    pages = V.table(spark, sf_dir, "pages")
+    pages = V.pages(spark, sf_dir)
     return pages.select("page_id", X.strip_exhibits(F.col("html"), "<footer").alias("text"))
 
 
 @register
 def clean_filing(spark, sf_dir):
-    pages = V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("report_id"), F.col("html").alias("text"))
+    pages = V.pages(spark, sf_dir).select(F.col("page_id").alias("report_id"), F.col("html").alias("text"))
     docs = V.documents(spark, sf_dir).withColumn("report_id", -F.col("report_id") - 1)
     both = pages.unionByName(docs)
     return text_ops.clean_reports(both, header="</head>", exhibit="<footer")
@@ -205,11 +207,249 @@ def split_replay(spark, sf_dir):
     """A balanced 80/20 split of the labelled documents, replayed on every document by file key."""
     path = F.concat(F.lit("./data/multiline_reports/multiline_report"), F.col("doc_id"))
     labels = V.table(spark, sf_dir, "labels").select("doc_id", "quality")
-    split = sampling.exact_split(labels, "doc_id", (0.8,), ("train", "test"))
-    kept = sampling.balance_classes(split, "doc_id", "quality", within=["split"])
+    kept = sampling.classifier_split(labels, "doc_id", "quality")
     kept = kept.withColumn("key", X.file_key(F.concat(path, F.lit(".csv"))))
     index = V.table(spark, sf_dir, "documents").select("doc_id", X.file_key(path).alias("key"))
     replayed = sampling.replay_split(
         index, kept.filter("split = 'train'").select("key"), kept.filter("split = 'test'").select("key"), "key"
     )
     return replayed.select("doc_id", "key", "split")
+
+
+# --- sub-words and model-ready corpora ----------------------------------------------------------
+
+
+def vocabulary_of(spark, sf_dir):
+    """Tokens in id order; the benchmark table stands in for the vocabulary file."""
+    return corpora.vocabulary_tokens(corpora.build_vocabulary(V.table(spark, sf_dir, "benchmark")))
+
+
+@register
+def vocabulary(spark, sf_dir):
+    return corpora.build_vocabulary(V.table(spark, sf_dir, "benchmark"))
+
+
+@register
+def wordpiece(spark, sf_dir):
+    pieces = corpora.word_pieces(V.documents(spark, sf_dir), vocabulary_of(spark, sf_dir))
+    return pieces.select("word", "n", F.array_join("pieces", " ").alias("pieces"))
+
+
+@register
+def subtoken_runs(spark, sf_dir):
+    pieces = corpora.word_pieces(V.documents(spark, sf_dir), vocabulary_of(spark, sf_dir))
+    return corpora.subtoken_runs(pieces)
+
+
+@register
+def mlm_instances(spark, sf_dir):
+    vocab = vocabulary_of(spark, sf_dir)
+    instances = corpora.mlm_instances(corpora.tokenize(V.documents(spark, sf_dir), vocab), vocab)
+    joined = {c: F.array_join(F.col(c).cast("array<string>"), " ") for c in ("tokens", "masked_positions", "masked_labels")}
+    return instances.withColumns(joined)
+
+
+@register
+def oov_rate(spark, sf_dir):
+    vocab = vocabulary_of(spark, sf_dir)
+    return corpora.oov_rate(corpora.mlm_instances(corpora.tokenize(V.documents(spark, sf_dir), vocab), vocab))
+
+
+def _finetune(spark, sf_dir):
+    docs = sampling.exact_split(V.labelled_documents(spark, sf_dir), "report_id")
+    return corpora.finetune_set(docs, 128)
+
+
+@register
+def finetune_set(spark, sf_dir):
+    return _finetune(spark, sf_dir)
+
+
+@register
+def finetune_counts(spark, sf_dir):
+    return corpora.example_counts(_finetune(spark, sf_dir))
+
+
+@register
+def encode_examples(spark, sf_dir):
+    coded = corpora.encode_examples(_finetune(spark, sf_dir), vocabulary_of(spark, sf_dir), 128)
+    joined = {c: F.array_join(F.col(c).cast("array<string>"), " ") for c in ("input_ids", "input_mask", "segment_ids")}
+    return coded.withColumns(joined)
+
+
+# --- features -----------------------------------------------------------------------------------
+
+
+@register
+def pool_mean_std(spark, sf_dir):
+    pooled = features.pool_sequences(V.sequence_features(spark, sf_dir))
+    return pooled.select("report_id", F.posexplode("features").alias("idx", "value")).withColumn("value", F.round("value", 6))
+
+
+def _classifier_parts(spark, sf_dir):
+    kept = sampling.classifier_split(V.vectors(spark, sf_dir), "report_id", "change_nominal")
+    return kept.filter("split = 'train'").drop("split"), kept.filter("split = 'test'").drop("split")
+
+
+@register
+def standardize(spark, sf_dir):
+    train, test = features.scale_split(*_classifier_parts(spark, sf_dir))
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return both.select("report_id", "split", F.posexplode("features").alias("idx", "value")).withColumn("value", F.round("value", 6))
+
+
+@register
+def label_encode(spark, sf_dir):
+    named = V.vectors(spark, sf_dir).select("report_id", "change_nominal")
+    return features.encode_labels(named, "change_nominal")
+
+
+def _steps(spark, sf_dir):
+    return V.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("report_id"), F.col("turn").alias("step"), F.split("text", " ").alias("embedding")
+    )
+
+
+@register
+def steps_hist(spark, sf_dir):
+    return features.steps_histogram(features.step_counts(_steps(spark, sf_dir)))
+
+
+@register
+def longest_report(spark, sf_dir):
+    return features.longest_report(features.step_counts(_steps(spark, sf_dir)))
+
+
+@register
+def length_batches(spark, sf_dir):
+    return features.length_batches(_steps(spark, sf_dir))
+
+
+# --- classifiers and curves ---------------------------------------------------------------------
+
+K_NEIGHBOURS = 15
+
+
+def _nb(train, test):
+    return models.score_naive_bayes(models.fit_naive_bayes(train), test)
+
+
+def _knn(train, test):
+    return models.score_knn(train, test, K_NEIGHBOURS)
+
+
+def _scored_nb(spark, sf_dir):
+    return _nb(*features.scale_split(*_classifier_parts(spark, sf_dir)))
+
+
+def _scored_knn(spark, sf_dir):
+    return _knn(*features.scale_split(*_classifier_parts(spark, sf_dir)))
+
+
+@register
+def nb_predict(spark, sf_dir):
+    return _scored_nb(spark, sf_dir).select("report_id", "y", "pred", F.round("score", 6).alias("score"))
+
+
+@register
+def knn_predict(spark, sf_dir):
+    return _scored_knn(spark, sf_dir).select("report_id", "y", "pred", F.round("score", 6).alias("score"))
+
+
+def _curve(df, x):
+    return df.select(x, *[F.round(c, 6).alias(c) for c in df.columns if c != x])
+
+
+@register
+def nb_learning_curve(spark, sf_dir):
+    return _curve(curves.nb_learning_curve(V.vectors(spark, sf_dir)), "train_sizes")
+
+
+@register
+def knn_learning_curve(spark, sf_dir):
+    return _curve(curves.knn_learning_curve(V.vectors(spark, sf_dir), K_NEIGHBOURS), "train_sizes")
+
+
+@register
+def knn_validation_curve(spark, sf_dir):
+    return _curve(curves.knn_validation_curve(V.vectors(spark, sf_dir)), "n_neighbors")
+
+
+@register
+def epoch_curve(spark, sf_dir):
+    accuracy = F.col("value") / 500
+    scores = V.table(spark, sf_dir, "events").groupBy(
+        F.hour("ts").alias("epoch"), (F.col("user_id") % 5).alias("fold")
+    ).agg(
+        F.avg(F.when(F.col("event_id") % 2 == 0, accuracy)).alias("train"),
+        F.avg(F.when(F.col("event_id") % 2 == 1, accuracy)).alias("valid"),
+    )
+    return _curve(curves.epoch_curve(scores), "epochs")
+
+
+# --- evaluation and audit -----------------------------------------------------------------------
+
+
+@register
+def confusion_matrix(spark, sf_dir):
+    return evaluation.confusion_matrix(_scored_nb(spark, sf_dir))
+
+
+@register
+def class_report(spark, sf_dir):
+    return evaluation.class_report(_scored_nb(spark, sf_dir))
+
+
+@register
+def roc_points(spark, sf_dir):
+    points = evaluation.roc_points(_scored_knn(spark, sf_dir))
+    return points.select(*[F.round(c, 6).alias(c) for c in points.columns])
+
+
+@register
+def auc(spark, sf_dir):
+    return evaluation.roc_auc(_scored_knn(spark, sf_dir)).select(F.round("auc", 6).alias("auc"))
+
+
+def _named(df):
+    cik = F.col("report_id") % 40
+    return df.withColumns({
+        "cik": cik, "ticker": F.concat(F.lit("T"), cik),
+        "name": F.concat(F.lit("Company "), F.col("report_id") % 80),
+    })
+
+
+def _drift(spark, sf_dir):
+    parts = _classifier_parts(spark, sf_dir)
+    scaled = features.scale_split(*parts)
+    scored = [
+        _named(score(*scaled)).select("cik", "y", "pred", F.lit(name).alias("model"))
+        for name, score in (("nb", _nb), ("knn", _knn))
+    ]
+    train, test = (_named(d) for d in parts)
+    return evaluation.company_drift(train, test, scored[0].unionByName(scored[1]), ("nb", "knn"))
+
+
+def _round_doubles(df):
+    return df.select(*[F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in df.schema])
+
+
+@register
+def company_drift(spark, sf_dir):
+    return _round_doubles(evaluation.by_train_ratio(_drift(spark, sf_dir)))
+
+
+@register
+def similarity_points(spark, sf_dir):
+    return _round_doubles(evaluation.similarity_points(_drift(spark, sf_dir), "nb"))
+
+
+@register
+def company_direction_counts(spark, sf_dir):
+    """Direction counts per company over all labelled filings, split 80/20."""
+    labelled = labelled_reports(spark, sf_dir).select(
+        "report_id", "cik", "ticker", F.concat(F.lit("Customer "), "cik").alias("name"), "change_nominal"
+    )
+    parts = sampling.exact_split(labelled, "report_id", (0.8,), ("train", "test"))
+    counts = evaluation.company_counts(parts.filter("split = 'train'"), parts.filter("split = 'test'"))
+    return _round_doubles(counts)

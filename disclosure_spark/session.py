@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,13 +55,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Mark a frame for broadcast only after counting that it has at most ``max_rows`` rows.
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a narrow scan at least one partition per core before costly per-row work.
 
-    The frame is materialized first, so the count does not compute it twice.  Beyond the bound it
-    comes back without a hint and Spark plans a shuffle join.
+    A scan of large data already has far more partitions than that and is left as it is.
     """
-    small = materialize(df, "small")
-    if small.limit(max_rows + 1).count() > max_rows:
-        return small
-    return F.broadcast(small)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def local_if_small(df: DataFrame, max_rows: int = 100_000) -> tuple[DataFrame, bool]:
+    """Hold a summary of at most ``max_rows`` rows as a local relation; tell whether it fitted.
+
+    At most one row beyond the bound is fetched.  A larger frame is written to the shared work
+    folder instead, so that in both cases it is computed once.
+    """
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
+        return materialize(df, "large"), False
+    if table.num_rows == 0:
+        return df.sparkSession.createDataFrame([], df.schema), True
+    return df.sparkSession.createDataFrame(table), True
+
+
+def single_value(df: DataFrame) -> Column:
+    """The only value of a one-row, one-column frame, computed once and used as a constant."""
+    return local_if_small(df, 1)[0].scalar()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Mark a frame for broadcast only after seeing that it has at most ``max_rows`` rows.
+
+    Beyond the bound it comes back without a hint and Spark plans a shuffle join.
+    """
+    frame, fits = local_if_small(df, max_rows)
+    return F.broadcast(frame) if fits else frame
