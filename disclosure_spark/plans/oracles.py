@@ -636,3 +636,22 @@ with {REPORTS}, {TRADING_DAY}, {LABELLED},
 parts as {split("(select *, 'Customer ' || cik as name from labelled) q", 'report_id', 0.8, None, ('train', 'test'))},
 {company('parts')}
 select {_COUNTS} from drift"""
+
+# --- sinks and streams --------------------------------------------------------------------------
+
+ORACLES["lines_by_word_count"] = f"with {DOC_LINES} select {words('line')} as words_in_sequence, line from doc_lines"
+ORACLES["price_insert"] = f"""
+with {TRADING_DAY} select ticker, strftime(date, '%Y-%m-%d') as date, open, close from trading_day"""
+ORACLES["corpus_metrics"] = f"""
+with counted as (select {words('text')} as n from documents)
+select 'corpus' as job, unnest(['n_documents', 'n_words', 'most_words']) as metric,
+       unnest([cast(count(*) as varchar), cast(cast(sum(n) as bigint) as varchar), cast(max(n) as varchar)]) as value from counted"""
+ORACLES["stream_clean"] = f"""
+with body as (select doc_id as report_id, {HEADER.format(unix('text'))} as t from documents),
+flat as (select report_id, {single_line(EXHIBIT.format('t'))} as t from body),
+cut as (select report_id, list_filter({sentences('t')}, lambda s: {meaningful('s')}) as s from flat)
+select report_id, cast(generate_subscripts(s, 1) - 1 as integer) as pos, unnest(s) as sentence from cut"""
+ORACLES["stream_prices"] = ORACLES["json_series_parse"]
+ORACLES["stream_labels"] = ORACLES["label_price_change"].replace(
+    "select report_id, ticker, strftime(filing_date, '%Y-%m-%d') as filing_date, form_type,", "select report_id, ticker,"
+)

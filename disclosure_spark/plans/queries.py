@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from disclosure_spark.functions import text as X
 from disclosure_spark.operators import (
-    corpora, curves, evaluation, features, membership, models, neighbours, packing, prices, sampling,
+    corpora, curves, evaluation, features, membership, models, packing, prices, sampling,
 )
 from disclosure_spark.operators import text as text_ops
 from disclosure_spark.plans import proxies as V
+from disclosure_spark.session import work_dir
+from disclosure_spark.sources import sinks
+from disclosure_spark.streaming import intake
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -453,3 +456,113 @@ def company_direction_counts(spark, sf_dir):
     parts = sampling.exact_split(labelled, "report_id", (0.8,), ("train", "test"))
     counts = evaluation.company_counts(parts.filter("split = 'train'"), parts.filter("split = 'test'"))
     return _round_doubles(counts)
+
+
+# --- sinks, approximate models and streams ------------------------------------------------------
+
+
+@register
+def lines_by_word_count(spark, sf_dir):
+    """Lines written to one folder per word count and read back."""
+    path = work_dir(spark, "lines-by-count")
+    sinks.write_lines_by_count(text_ops.lines_by_word_count(V.documents(spark, sf_dir)), path)
+    back = spark.read.schema("value string, words_in_sequence long").text(path)
+    return back.select("words_in_sequence", F.col("value").alias("line"))
+
+
+@register
+def price_insert(spark, sf_dir):
+    """Insert under a primary key: half the prices are stored, the whole table comes in again."""
+    path = work_dir(spark, "trading-day")
+    incoming = V.trading_day(spark, sf_dir)
+    sinks.write_trading_days(incoming.filter(F.col("ticker") % 2 == 0), path)
+    sinks.append_new(incoming, path, ["date", "ticker"])
+    return spark.read.parquet(path).select("ticker", _day("date"), "open", "close")
+
+
+@register
+def corpus_metrics(spark, sf_dir):
+    """Scalar metrics written as lines of the shared metrics table and read back."""
+    path = work_dir(spark, "metrics")
+    words = V.documents(spark, sf_dir).select(X.word_count(F.col("text")).alias("n"))
+    row = text_ops.metrics_row(words, n_documents=F.count("*"), n_words=F.sum("n"), most_words=F.max("n"))
+    sinks.append_metrics(row, path, "corpus")
+    return spark.read.parquet(path)
+
+
+@register
+def svm_rff(spark, sf_dir):
+    train, test = features.scale_split(*_classifier_parts(spark, sf_dir))
+    options = {"gamma": 0.01, "n_inputs": 64}
+    model = models.fit_kernel_machine(train, n_rows=train.count(), **options)
+    return models.score_kernel_machine(model, test, **options).select("report_id", "y", "pred", "score")
+
+
+@register
+def svm_validation_curve(spark, sf_dir):
+    return _curve(curves.svm_validation_curve(V.vectors(spark, sf_dir), n_inputs=64, max_iter=10), "gamma")
+
+
+@register
+def pca_points(spark, sf_dir):
+    data = V.vectors(spark, sf_dir)
+    return features.project(features.scale(data, features.moments(data))).select("report_id", "change_nominal", "pc1", "pc2")
+
+
+@register
+def embed_hook(spark, sf_dir):
+    """The embedding hook over all packed chunks, with letter frequencies standing in for a network."""
+    chunks = packing.pack_reports(V.documents(spark, sf_dir), 512)
+    return features.embed(chunks, letter_shares)
+
+
+def letter_shares(texts):
+    import numpy as np
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return np.array([[t.lower().count(c) / max(1, len(t)) for c in letters] for t in texts])
+
+
+@register
+def stream_clean(spark, sf_dir):
+    """Documents cleaned as a file stream."""
+    raw = intake.file_stream(spark, V.table(spark, sf_dir, "documents").schema, f"{sf_dir}/documents*.parquet")
+    raw = raw.select(F.col("doc_id").alias("report_id"), "text")
+    out = work_dir(spark, "clean")
+    intake.stream_clean_reports(raw, out, work_dir(spark, "progress"), header="</head>", exhibit="<footer").awaitTermination()
+    return spark.read.schema("report_id long, pos int, sentence string").parquet(out)
+
+
+@register
+def stream_prices(spark, sf_dir):
+    """Vendor responses loaded as a file stream, in two batches that overlap."""
+    landed = work_dir(spark, "landed")
+    payloads = V.daily_payloads(spark, sf_dir)
+    table, errors, progress = (work_dir(spark, n) for n in ("prices", "errors", "progress"))
+    for part in (payloads.filter(F.col("ticker") % 2 == 0), payloads):
+        part.coalesce(1).write.mode("append").parquet(landed)
+        stream = intake.file_stream(spark, payloads.schema, landed)
+        intake.stream_prices(stream, table, errors, progress).awaitTermination()
+    return spark.read.parquet(table).select(_day("date"), "ticker", "open", "close")
+
+
+@register
+def stream_labels(spark, sf_dir):
+    """Reports and prices arriving in two batches, split at a calendar date."""
+    landed = work_dir(spark, "landed")
+    store, progress = work_dir(spark, "store"), work_dir(spark, "progress")
+    report = V.reports(spark, sf_dir).select(
+        F.lit("report").alias("kind"), "ticker", F.col("filing_date").alias("date"), "report_id",
+        F.lit(None).cast("double").alias("open"), F.lit(None).cast("double").alias("close"),
+    )
+    price = V.trading_day(spark, sf_dir).select(
+        F.lit("price").alias("kind"), "ticker", "date", F.lit(None).cast("long").alias("report_id"), "open", "close"
+    )
+    rows = report.unionByName(price)
+    for early in (True, False):
+        before = F.col("date") < "1998-06-01"
+        rows.filter(before if early else ~before).write.mode("append").parquet(landed)
+        stream = intake.file_stream(spark, rows.schema, landed)
+        intake.stream_labels(stream, store, progress).awaitTermination()
+    labels = spark.read.parquet(f"{store}/labels")
+    return labels.select("report_id", "ticker", F.round("change_ratio", 6).alias("change_ratio"), "change_nominal")
