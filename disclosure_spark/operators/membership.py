@@ -83,7 +83,7 @@ def filter_members(filings: DataFrame, membership: DataFrame) -> DataFrame:
     """Filings whose company is in the newest snapshot on or before the filing date."""
     calendar = broadcast_if_small(snapshot_calendar(filings, membership))
     dated = filings.join(calendar, "filing_date")
-    return dated.join(membership.select("snapshot_date", "cik").distinct(), ["snapshot_date", "cik"], "left_semi")
+    return dated.join(membership.select("snapshot_date", "cik"), ["snapshot_date", "cik"], "left_semi")
 
 
 def with_company(filings: DataFrame, cik_map: DataFrame) -> DataFrame:

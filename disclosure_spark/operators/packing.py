@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from disclosure_spark.functions.text import lines_of, word_count
+from disclosure_spark.functions.vectors import subarray
 
 
 def word_budget(max_len: int) -> int:
@@ -52,10 +53,11 @@ def _bounds_udf(budget: int, lossless: bool):
 
 
 def _cut(lines: Column, bounds: Column) -> Column:
-    chunks = F.sequence(F.lit(0), F.shiftright(F.size(bounds), 1) - 1)
+    last = F.shiftright(F.size(bounds), 1) - 1
+    chunks = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     return F.transform(
         chunks,
-        lambda i: F.array_join(F.slice(lines, bounds[i * 2] + 1, bounds[i * 2 + 1]), " "),
+        lambda i: F.array_join(subarray(lines, bounds[i * 2], bounds[i * 2 + 1]), " "),
     )
 
 
@@ -77,5 +79,6 @@ def pack_reports(
     fold = _bounds_udf(word_budget(max_len), mode == "lossless")
     lined = docs.select(key, *keep, lines_of(F.col(text)).alias("_lines"))
     counted = lined.withColumn("_n", F.transform("_lines", lambda s: word_count(s).cast("int")))
-    bounded = counted.withColumn("_at", fold("_n")).filter(F.size("_at") > 0)
+    # no filter on empty packings: it would be pushed below the fold and run it twice
+    bounded = counted.withColumn("_at", fold("_n"))
     return bounded.select(key, *keep, F.posexplode(_cut(F.col("_lines"), F.col("_at"))).alias("chunk", "text"))

@@ -27,19 +27,22 @@ def label_price_change(reports: DataFrame, trading_day: DataFrame, days: int = F
     reports by an equality join, whose hot keys AQE may split.  Reports without enough prices are
     left out.
     """
-    price = forward_window(trading_day, days).select(
-        "ticker", "date", F.lit(1).alias("side"), F.struct("open", "close_after").alias("quote")
-    )
+    quotes = trading_day.select("ticker", "date", F.lit(1).alias("side"), "open", "close")
     asked = reports.select("ticker", F.col("filing_date").alias("date")).distinct()
-    asked = asked.select("ticker", "date", F.lit(0).alias("side"), F.lit(None).cast(price.schema["quote"].dataType).alias("quote"))
+    nothing = F.lit(None).cast("double")
+    asked = asked.select("ticker", "date", F.lit(0).alias("side"), nothing.alias("open"), nothing.alias("close"))
+    # one shuffle by ticker serves both windows
+    rows = quotes.unionByName(asked).repartition("ticker")
+    own_side = W.partitionBy("ticker", "side").orderBy("date")
+    rows = rows.withColumn("close_after", F.lead("close", days - 1).over(own_side))
+    quote = F.when(F.col("side") == 1, F.struct("open", "close_after"))
     # Newest first, prices before questions on the same day: the last price seen is the first one
     # on or after the filing date, and the frame only ever grows.
     newest_first = (
         W.partitionBy("ticker").orderBy(F.desc("date"), F.desc("side")).rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     answered = (
-        price.unionByName(asked)
-        .withColumn("next", F.last("quote", ignorenulls=True).over(newest_first))
+        rows.withColumn("next", F.last(quote, ignorenulls=True).over(newest_first))
         .filter((F.col("side") == 0) & F.col("next.close_after").isNotNull() & F.col("next.open").isNotNull())
         .select("ticker", F.col("date").alias("filing_date"), change_ratio().alias("change_ratio"))
         .filter(F.col("change_ratio").isNotNull())

@@ -314,13 +314,17 @@ copies as (
 runs as (
   select doc_id, dup, seq_id, ['[CLS]'] || tokens[seq_id * t + 1 : seq_id * t + t] || ['[SEP]'] as original
   from (select *, unnest(range(cast(floor((len(tokens) - 1) / t) as bigint) + 1)) as seq_id from copies)),
+seeded as (select *, md5(doc_id || ':' || seq_id || ':' || dup || ':12345') as d from runs),
+coded as (
+  select * exclude (d), list_transform(range(4), lambda i: cast('0x' || substr(d, 8 * i + 1, 8) as bigint) % 2147483647) as c
+  from seeded),
 masked as (
   select *, list_sort(list_transform(
       list_sort(list_transform(range(1, len(original) - 1),
-        lambda p: {{'h': md5(doc_id || ':' || seq_id || ':' || dup || ':' || p || ':12345'), 'p': p}}))
+        lambda p: ((((c[4] * p + c[3]) % 2147483647) * p + c[2]) % 2147483647 * p + c[1]) % 2147483647 * 4096 + p))
         [1 : cast(least(20, greatest(1, round_even(len(original) * 0.15, 0))) as bigint)],
-      lambda r: r.p)) as positions
-  from runs),
+      lambda r: r % 4096)) as positions
+  from coded),
 labels as (select *, list_transform(positions, lambda p: original[p + 1]) as masked_labels from masked)"""
 
 _U = uniform("doc_id || ':' || seq_id || ':' || dup || ':' || p || ':replace:12345'") + " % 100"

@@ -13,7 +13,7 @@ from disclosure_spark.operators import (
 )
 from disclosure_spark.operators import text as text_ops
 from disclosure_spark.plans import proxies as V
-from disclosure_spark.session import work_dir
+from disclosure_spark.session import materialize, work_dir
 from disclosure_spark.sources import sinks
 from disclosure_spark.streaming import intake
 
@@ -453,6 +453,7 @@ def company_direction_counts(spark, sf_dir):
     labelled = labelled_reports(spark, sf_dir).select(
         "report_id", "cik", "ticker", F.concat(F.lit("Customer "), "cik").alias("name"), "change_nominal"
     )
+    labelled = materialize(labelled, "labelled-index")
     parts = sampling.exact_split(labelled, "report_id", (0.8,), ("train", "test"))
     counts = evaluation.company_counts(parts.filter("split = 'train'"), parts.filter("split = 'test'"))
     return _round_doubles(counts)
