@@ -44,7 +44,7 @@ def hash_cuts(
 
     ``ranks`` gets the histogram (columns ``by``, ``total``) and returns an array of 1-based ranks.
     The result has one row per group: ``by`` and ``cuts``, an array with one ``(h, k)`` per rank in
-    the same order; a rank of 0 has a null cut, which no row is below.  ``key`` must be unique.
+    the same order; a rank of 0 has a cut of nulls, which every row is beyond.  ``key`` must be unique.
     """
     by = list(by)
     keyed = _keyed(df, key, seed, by)
@@ -65,13 +65,14 @@ def hash_cuts(
     hits = ranked.join(targets, [*by, "b"]).filter(F.col("rn") == F.col("local")).select(*by, "i", "at")
     at_type = hits.schema["at"].dataType
     found = hits.unionByName(empty.withColumn("at", F.lit(None).cast(at_type)))
-    return found.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "at"))).getField("at").alias("cuts"))
+    ordered = F.sort_array(F.collect_list(F.struct("i", "at"))).getField("at")
+    return found.groupBy(*by).agg(F.transform(ordered, lambda c: F.struct(c["h"].alias("h"), c["k"].alias("k"))).alias("cuts"))
 
 
 def passed_cuts(key: Column, cuts: Column, seed: int = SEED) -> Column:
     """How many cuts a row lies beyond (0 for rows up to and including the first cut)."""
     here = F.struct(hash_order(key, seed).alias("h"), key.alias("k"))
-    return F.size(F.filter(cuts, lambda c: c.isNull() | (here > c)))
+    return F.size(F.filter(cuts, lambda c: c["h"].isNull() | (here > c)))
 
 
 def _attach(df: DataFrame, cuts: DataFrame, by: Sequence[str]) -> DataFrame:
