@@ -140,10 +140,17 @@ def company_counts(train: DataFrame, test: DataFrame, order: str = "report_id")
     def count(side: int, positive: bool) -> Column:
         return F.count_if((F.col("side") == side) & (up if positive else ~up))
 
-    counts = rows.groupBy("cik").agg(
-        F.min_by(F.struct("ticker", "name"), F.struct("side", order)).alias("who"),
-        count(0, True).alias("train_positives"), count(0, False).alias("train_negatives"),
-        count(1, True).alias("test_positives"), count(1, False).alias("test_negatives"),
+    # First one row per company and spelling of its names, which hashing combines before the
+    # shuffle; the earliest spelling is then picked from those few rows.
+    names = ("train_positives", "train_negatives", "test_positives", "test_negatives")
+    spelled = rows.groupBy(*COMPANY_KEYS).agg(
+        *[count(side, positive).alias(n) for n, (side, positive) in zip(names, ((0, True), (0, False), (1, True), (1, False)))],
+        F.min(F.when(F.col("side") == 0, F.col(order))).alias("in_train"),
+        F.min(F.when(F.col("side") == 1, F.col(order))).alias("in_test"),
+    )
+    rank = F.struct(F.col("in_train").isNull(), F.coalesce("in_train", "in_test"))
+    counts = spelled.groupBy("cik").agg(
+        F.min_by(F.struct("ticker", "name"), rank).alias("who"), *[F.sum(n).alias(n) for n in names]
     )
     a, b, c, d = (F.col(x) for x in ("train_positives", "train_negatives", "test_positives", "test_negatives"))
     norms = F.sqrt((a * a + b * b).cast("double")) * F.sqrt((c * c + d * d).cast("double"))

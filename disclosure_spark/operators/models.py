@@ -75,7 +75,7 @@ def fit_kernel_machine(
     lifted = lifted.select(F.col(label).cast("double").alias(label), "_z")
     margin = LinearSVC(
         featuresCol="_z", labelCol=label, regParam=1.0 / (C * n_rows), maxIter=max_iter,
-        rawPredictionCol="_margin", predictionCol="_svc",
+        standardization=False, rawPredictionCol="_margin", predictionCol="_svc",
     )
     if not probability:
         return Pipeline(stages=[margin]).fit(lifted)

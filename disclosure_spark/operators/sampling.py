@@ -71,8 +71,10 @@ def hash_cuts(
 
 def passed_cuts(key: Column, cuts: Column, seed: int = SEED) -> Column:
     """How many cuts a row lies beyond (0 for rows up to and including the first cut)."""
-    here = F.struct(hash_order(key, seed).alias("h"), key.alias("k"))
-    return F.size(F.filter(cuts, lambda c: c["h"].isNull() | (here > c)))
+    here = F.array(F.struct(hash_order(key, seed).alias("h"), key.alias("k")))
+    # the one-element array holds the digest, so it is taken once per row and not once per cut
+    beyond = F.transform(here, lambda at: F.size(F.filter(cuts, lambda c: c["h"].isNull() | (at > c))))
+    return F.get(beyond, F.lit(0))
 
 
 def _attach(df: DataFrame, cuts: DataFrame, by: Sequence[str]) -> DataFrame:

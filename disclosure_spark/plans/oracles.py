@@ -659,3 +659,25 @@ ORACLES["stream_prices"] = ORACLES["json_series_parse"]
 ORACLES["stream_labels"] = ORACLES["label_price_change"].replace(
     "select report_id, ticker, strftime(filing_date, '%Y-%m-%d') as filing_date, form_type,", "select report_id, ticker,"
 )
+
+# --- keys, paths and step tables ----------------------------------------------------------------
+
+ORACLES["file_paths"] = """
+select doc_id, './data/Edgar/' || source || '/multiline_report' || doc_id || '.txt' as path,
+       'multiline_report' || doc_id as key, 'multiline_report' || doc_id || '.txt' as name from documents"""
+ORACLES["mean_features"] = """
+with cells as (
+  select vec_id // 10 as report_id, generate_subscripts(embedding, 1) - 1 as idx, cast(unnest(embedding) as double) as v from embeddings)
+select report_id, cast(idx as integer) as idx, round(avg(v), 6) as value from cells group by report_id, idx"""
+ORACLES["scaled_steps"] = f"""
+with reports as (select distinct vec_id // 10 as report_id from embeddings),
+parts as {split('reports', 'report_id', 0.8, None, ('train', 'test'))},
+cells as (
+  select vec_id // 10 as report_id, cast(vec_id % 10 as integer) as step, generate_subscripts(embedding, 1) - 1 as idx,
+         cast(unnest(embedding) as double) as v from embeddings),
+placed as (select c.*, p.split from cells c join parts p using (report_id)),
+fitted as (
+  select idx, avg(v) as m, case when stddev_pop(v) = 0 then 1 else stddev_pop(v) end as s from placed where split = 'train' group by idx)
+select p.report_id, p.split, p.step, cast(p.idx as integer) as idx, round((p.v - f.m) / f.s, 6) as value
+from placed p join fitted f using (idx)"""
+ORACLES["sequence_total"] = "select count(*) as n_sequences from embeddings"

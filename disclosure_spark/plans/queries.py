@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from disclosure_spark.functions import text as X
+from disclosure_spark.functions.vectors import take_dims
 from disclosure_spark.operators import (
     corpora, curves, evaluation, features, membership, models, packing, prices, sampling,
 )
@@ -504,6 +505,11 @@ def svm_validation_curve(spark, sf_dir):
     return _curve(curves.svm_validation_curve(V.vectors(spark, sf_dir), n_inputs=64, max_iter=10), "gamma")
 
 
+@register
+def svm_learning_curve(spark, sf_dir):
+    return _curve(curves.svm_learning_curve(V.vectors(spark, sf_dir), n_inputs=64, max_iter=10), "train_sizes")
+
+
 @register
 def pca_points(spark, sf_dir):
     data = V.vectors(spark, sf_dir)
@@ -567,3 +573,38 @@ def stream_labels(spark, sf_dir):
         intake.stream_labels(stream, store, progress).awaitTermination()
     labels = spark.read.parquet(f"{store}/labels")
     return labels.select("report_id", "ticker", F.round("change_ratio", 6).alias("change_ratio"), "change_nominal")
+
+
+# --- keys, paths and step tables ----------------------------------------------------------------
+
+
+@register
+def file_paths(spark, sf_dir):
+    """Windows paths of the data drive rewritten, with the report key and the file name."""
+    path = F.concat(F.lit("D:\\Edgar\\"), "source", F.lit("\\multiline_report"), "doc_id", F.lit(".txt"))
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", X.local_path(path).alias("path"))
+    return docs.withColumns({"key": X.file_key(F.col("path")), "name": X.file_name(F.col("path"))})
+
+
+@register
+def mean_features(spark, sf_dir):
+    """The first half of the pooled features (the means)."""
+    pooled = features.pool_sequences(V.sequence_features(spark, sf_dir))
+    means = pooled.select("report_id", take_dims(F.col("features"), 64).alias("features"))
+    return means.select("report_id", F.posexplode("features").alias("idx", "value")).withColumn("value", F.round("value", 6))
+
+
+@register
+def scaled_steps(spark, sf_dir):
+    """Sequence features of a report split, scaled with the raw train steps."""
+    steps = V.sequence_features(spark, sf_dir)
+    index = sampling.exact_split(steps.select("report_id").distinct(), "report_id", (0.8,), ("train", "test"))
+    joined = features.attach_steps(index, steps).withColumnRenamed("embedding", "features")
+    train, test = features.scale_split(joined.filter("split = 'train'"), joined.filter("split = 'test'"))
+    cells = train.unionByName(test).select("report_id", "split", "step", F.posexplode("features").alias("idx", "value"))
+    return cells.withColumn("value", F.round("value", 6))
+
+
+@register
+def sequence_total(spark, sf_dir):
+    return text_ops.metrics_row(V.sequence_features(spark, sf_dir), n_sequences=F.count("*"))

@@ -79,10 +79,8 @@ def _index(raw: DataFrame, *more: Column) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per text file: ``(path, text)`` with Unix line ends."""
-    reader = spark.read.option("wholetext", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    whole = reader.text(path)
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    whole = reader.text(path, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("path"), X.unix_newlines(F.col("value")).alias("text"))
 
 
@@ -109,7 +107,7 @@ def read_index_features(spark: SparkSession, index: DataFrame, path: str) -> Dat
 
 def read_daily_payloads(spark: SparkSession, path: str, status: int = 200) -> DataFrame:
     """Landed vendor responses ``{ticker}.json`` as ``(ticker, status, body)``."""
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    whole = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     ticker = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
     return whole.select(ticker.alias("ticker"), F.lit(status).alias("status"), F.col("value").alias("body"))
 
