@@ -292,6 +292,7 @@ def pool_mean_std(spark, sf_dir):
 
 def _classifier_parts(spark, sf_dir):
     kept = sampling.classifier_split(V.vectors(spark, sf_dir), "report_id", "change_nominal")
+    kept = materialize(kept, "classifier-parts")  # scaling, fitting and scoring all read it
     return kept.filter("split = 'train'").drop("split"), kept.filter("split = 'test'").drop("split")
 
 

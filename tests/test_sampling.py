@@ -86,3 +86,13 @@ def test_replay(spark):
     train = spark.createDataFrame([("a",), ("b",), ("b",)], "key string")
     test = spark.createDataFrame([("b",), ("c",)], "key string")
     assert rows(SP.replay_split(index, train, test, "key")) == [("a", "train"), ("b", "train"), ("c", "test")]
+
+
+def test_broadcast_only_below_the_bound(spark):
+    from disclosure_spark.session import broadcast_if_small
+
+    big = spark.range(1000).withColumn("x", F.lit(1))
+    for bound, hinted in ((10, False), (50, True)):
+        side = broadcast_if_small(spark.range(50).select("id", (F.col("id") * 2).alias("v")), bound)
+        assert ("hint" in side._jdf.queryExecution().logical().toString().lower()) is hinted
+        assert big.join(side, "id").count() == 50
