@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from disclosure_spark.llm import html_extract, warc
+from disclosure_spark.llm import html_extract, packing, warc
 from disclosure_spark.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@register
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 @register
 def op3_html_extraction(spark, sf_dir):
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
