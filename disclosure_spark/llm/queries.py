@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from disclosure_spark.llm import html_extract, packing, warc
+from disclosure_spark.llm import fertility, html_extract, packing, warc
 from disclosure_spark.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op3_html_extraction(spark, sf_dir):
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+@register
+def op7_quality_rules(spark, sf_dir):
+    return fertility.apply_rules(table(spark, sf_dir, "documents"))
+
+
 @register
 def op10_warc(spark, sf_dir):
     path = work_dir(spark, "warc")
