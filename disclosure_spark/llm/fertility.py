@@ -30,7 +30,7 @@ VOCABULARY = "piece_bpe_32k.model"
 WINDOW = 128
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-SPREAD = 2.0  # quartile distances beyond the quartiles
+SPREAD = 3.0  # quartile distances beyond the quartiles
 LEAST_DOCUMENTS = 200
 LEAST_WIDTH = {"chars_per_token": 0.05, "byte_share": 0.02, "entropy": 0.01}
 MARKS = "#*$%&|<>"
