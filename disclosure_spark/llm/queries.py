@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from disclosure_spark.llm import byte_cnn, fertility, html_extract, packing, warc
+from disclosure_spark.llm import byte_cnn, chunk_dedup, fertility, html_extract, packing, warc
 from disclosure_spark.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op5_quality_classifier(spark, sf_dir):
     return byte_cnn.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register
+def op6_substring_dedup(spark, sf_dir):
+    return chunk_dedup.remove_repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @register
 def op7_quality_rules(spark, sf_dir):
     return fertility.apply_rules(table(spark, sf_dir, "documents"))
