@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from disclosure_spark.llm import byte_cnn, chunk_dedup, fertility, html_extract, packing, warc
+from disclosure_spark.llm import byte_cnn, chunk_dedup, fertility, html_extract, packing, suffix_dedup, warc
 from disclosure_spark.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@register
+def op1_suffix_array_dedup(spark, sf_dir):
+    removed = suffix_dedup.remove_repeated_strings(table(spark, sf_dir, "documents"))
+    return suffix_dedup.removal_summary(removed)
+
+
 @register
 def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
