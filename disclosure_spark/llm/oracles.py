@@ -13,3 +13,31 @@ select page_id, payload_bytes, payload_digest,
     case when payload_bytes >= 1000 and page_id <> top then top end as refers_to
 from s
 """
+
+_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+ORACLES["op8_benchmark_decontamination"] = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
+bw as (
+    select distinct item, least(13, len(w)) as size, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') as t
+    from (select item, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) as i from b where len(w) > 0)
+),
+dw as (
+    select doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') as t
+    from (
+        select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i
+        from d, (select distinct size from bw) where len(w) >= size
+    )
+),
+h as (select doc_id, item, i, dw.size from dw join bw using (size, t)),
+n as (select doc_id, count(distinct p)::bigint as n_hit from (select doc_id, unnest(range(i, i + size)) as p from h) group by 1),
+s as (
+    select doc_id, count(*)::bigint as n_items, sha256(string_agg(item, ',' order by encode(item))) as items_sha256
+    from (select distinct doc_id, item from h) group by 1
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+    coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join n using (doc_id) left join s using (doc_id)
+"""

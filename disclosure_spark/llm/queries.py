@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from disclosure_spark.llm import byte_cnn, chunk_dedup, fertility, html_extract, packing, suffix_dedup, warc
+from disclosure_spark.llm import byte_cnn, chunk_dedup, fertility, html_extract, packing, suffix_dedup, warc, winnowing
 from disclosure_spark.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,12 @@ def op7_quality_rules(spark, sf_dir):
     return fertility.apply_rules(table(spark, sf_dir, "documents"))
 
 
+@register
+def op8_benchmark_decontamination(spark, sf_dir):
+    judged = winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return winnowing.contamination_summary(judged)
+
+
 @register
 def op10_warc(spark, sf_dir):
     path = work_dir(spark, "warc")
