@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from disclosure_spark.llm import byte_cnn, chunk_dedup, fertility, html_extract, packing, suffix_dedup, warc, winnowing
+from disclosure_spark.llm import byte_cnn, chunk_dedup, fertility, html_extract, packing, set_join, suffix_dedup, warc, winnowing
 from disclosure_spark.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,11 @@ def op8_benchmark_decontamination(spark, sf_dir):
     return winnowing.contamination_summary(judged)
 
 
+@register
+def op9_ngram_jaccard_join(spark, sf_dir):
+    return set_join.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 @register
 def op10_warc(spark, sf_dir):
     path = work_dir(spark, "warc")
