@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TEXT_PER_BUCKET = 4_000_000
+TEXT_PER_BUCKET = 2_000_000
 NO_ID = -(1 << 63)
 
 

@@ -33,7 +33,7 @@ from disclosure_spark.session import materialize
 
 LENGTH, TRIGGER = 100, 32
 HOT_PHRASES, HOT_IN_FLUSH = 64, 16
-SLICE_BYTES, FLUSH_PHRASES = 1_000_000, 400_000
+SLICE_BYTES, FLUSH_PHRASES = 250_000, 120_000
 SAME, SORTED, SCATTERED = 1, 2, 3  # what a found row asks for: nothing more, the suffix array, the hash
 
 _WIDE = np.random.default_rng(40)
@@ -59,7 +59,7 @@ class Hashed:
 
     def __init__(self, buffer: np.ndarray):
         n = len(buffer)
-        room = 1 << max(20, n.bit_length())
+        room = 1 << max(19, n.bit_length())
         self.sums, self.inverse = [], []
         for which in (0, 1):
             power, inverse = _powers(which, room)
@@ -190,12 +190,21 @@ def _dictionary(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": doc, "version": version, "start": start.astype(np.int64), "more": more.astype(np.int64), "state": state.astype(np.int64)})
 
 
+def _portions(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Batches cut into runs of about ``most`` characters of text."""
+    for batch in batches:
+        sizes = batch["text"].str.len().to_numpy(np.int64)
+        part = (np.cumsum(sizes) - sizes) // most
+        for _, rows in batch.groupby(part, sort=True):
+            yield rows
+
+
 _SUFFIX = {"doc": "<i8", "version": "<i8", "start": "<u4"}
 
 
 def _suffixes(batches: Iterator[pd.DataFrame], buckets: int, length: int) -> Iterator[pd.DataFrame]:
     """Of each document's ambiguous phrases: the bytes (for the suffix arrays) or the hash of each suffix."""
-    for batch in batches:
+    for batch in _portions(batches, 4 * SLICE_BYTES):
         slices: dict[int, list[tuple]] = {}
         keys, docs, versions, starts = [], [], [], []
         for doc, version, text, found in zip(batch["doc"].tolist(), batch["version"].tolist(), batch["text"], batch["found"], strict=True):
