@@ -35,7 +35,7 @@ from disclosure_spark.session import broadcast_if_small, materialize
 
 WORDS, PERCENT = 4, 85
 SMALL_GROUP = 6
-SLICE_BYTES, FLUSH_SIGNATURES = 1_000_000, 600_000
+SLICE_BYTES, FLUSH_SIGNATURES = 500_000, 250_000
 MAX_BROADCAST = 200_000
 BAND_RATIO = 1.63
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -75,8 +75,8 @@ def bands(percent: int = PERCENT, limit: int = 1 << 40) -> list[int]:
 
 
 @functools.cache
-def allocate(band: int, percent: int = PERCENT) -> tuple[int, int, int]:
-    """Segments, how many of them send one-deletion neighbours, and segments to spare for empty ones.
+def allocate(band: int, percent: int = PERCENT) -> tuple[int, int, int, int]:
+    """Segments, how many of them send one-deletion neighbours, and segments to spare for empty and for costly ones.
 
     The cost is the number of rows of a set plus, per row, the chance that unrelated sets agree, which
     halves with each shingle of a segment and weighs ``chance`` rows.
@@ -84,8 +84,8 @@ def allocate(band: int, percent: int = PERCENT) -> tuple[int, int, int]:
     low, high = bands(percent)[band], bands(percent)[band + 1] - 1
     most = (100 - percent) * (high + 100 * high // percent) // (100 + percent)
     if most > 2:
-        spare = 1 + most // 20
-        return most + 1 + spare, 0, spare
+        empty, costly = 1 + most // 20, 1 + most // 8
+        return most + 1 + empty + costly, 0, empty, costly
     chance, best = 100.0, None
     for deletions in range((most + 1) // 2 + 1):
         segments = most + 1 - deletions
@@ -94,7 +94,7 @@ def allocate(band: int, percent: int = PERCENT) -> tuple[int, int, int]:
         cost = rows + chance * (segments * 0.5**held + deletions * held * 0.5 ** max(held - 1, 0))
         if deletions <= segments and (best is None or cost < best[0]):
             best = (cost, segments, deletions)
-    return best[1], best[2], 0
+    return best[1], best[2], 0, 0
 
 
 def schemes(size: int, percent: int = PERCENT) -> list[int]:
@@ -106,11 +106,11 @@ def schemes(size: int, percent: int = PERCENT) -> list[int]:
     return [own, own - 1] if own and -(-percent * size // 100) < edges[own] else [own]
 
 
-def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Signature hashes and the number of the set each belongs to."""
+def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signature hashes, the number of the set each belongs to, and the band it was made for."""
     plan = [(i, band, *allocate(band, percent)) for i, s in enumerate(sets) for band in schemes(len(s), percent)]
     if not plan:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     segments = np.array([p[2] for p in plan])
     sizes = np.array([len(sets[p[0]]) for p in plan])
     base = np.cumsum(segments) - segments
@@ -137,10 +137,11 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarr
         at = np.flatnonzero(slot - base[row] < deletions[row])
         out.append(mix((content[slot[at]] - value[at]) ^ place[slot[at]]))
         of.append(row[at])
-    return np.concatenate(out), np.array([p[0] for p in plan])[np.concatenate(of)]
+    at = np.concatenate(of)
+    return np.concatenate(out), np.array([p[0] for p in plan])[at], band[at]
 
 
-_SIGNED = {"signature": "<u4", "class": "<i8"}
+_SIGNED = {"signature": "<u4", "class": "<i8", "band": "u1"}
 _CLASSED = {"doc": "<i8", "version": "<i8", "class": "<i8", "size": "<i8"}
 DOCUMENT, PAIR, MEMBER = 0, 1, 2
 
@@ -153,17 +154,17 @@ def _class_id(s: np.ndarray) -> int:
 
 def _sign(batches: Iterator[pd.DataFrame], buckets: int, words: int, percent: int) -> Iterator[pd.DataFrame]:
     """Signature records per bucket, once per class and flush; the class of each document goes along."""
-    pending: list[tuple[np.ndarray, np.ndarray]] = []
+    pending: list[tuple[np.ndarray, ...]] = []
     count = 0
 
     def flush() -> Iterator[pd.DataFrame]:
-        signature, name = (np.concatenate([p[i] for p in pending]) for i in (0, 1))
+        signature, name, band = (np.concatenate([p[i] for p in pending]) for i in range(3))
         order = np.lexsort((name, signature))
-        signature, name = signature[order], name[order]
-        once = packed.runs(signature, name)
-        signature, name = signature[once], name[once]
+        order = order[packed.runs(signature[order], name[order])]
+        signature, name, band = signature[order], name[order], band[order]
         bucket = (signature % np.uint64(buckets)).astype(np.int64)
-        yield packed.send(bucket, {"signature": (signature >> np.uint64(32)).astype("<u4"), "class": name}, tuple(_SIGNED)).assign(doc=None, version=None, size=None)
+        columns = {"signature": (signature >> np.uint64(32)).astype("<u4"), "class": name, "band": band.astype(np.uint8)}
+        yield packed.send(bucket, columns, tuple(_SIGNED)).assign(doc=None, version=None, size=None)
 
     for batch in batches:
         texts = batch["text"].tolist()
@@ -178,10 +179,10 @@ def _sign(batches: Iterator[pd.DataFrame], buckets: int, words: int, percent: in
                 "doc": batch["doc"].to_numpy(np.int64)[a:b + 1], "version": batch["version"].to_numpy(np.int64)[a:b + 1],
                 "class": names, "size": np.array([len(s) for s in sets], dtype="<i8"),
             }
-            yield packed.send(names % buckets, columns, tuple(_CLASSED)).assign(signature=None)
+            yield packed.send(names % buckets, columns, tuple(_CLASSED)).assign(signature=None, band=None)
             _, first = np.unique(names, return_index=True)
-            signature, of = signatures([sets[i] for i in first], percent)
-            pending.append((signature, names[first][of]))
+            signature, of, band = signatures([sets[i] for i in first], percent)
+            pending.append((signature, names[first][of], band))
             count += len(signature)
             a, size = b + 1, 0
             if count >= FLUSH_SIGNATURES:
@@ -217,9 +218,8 @@ def _collide(rows: pd.DataFrame) -> pd.DataFrame:
     s = packed.receive(rows[~classed], _SIGNED)
     if len(s["class"]):
         order = np.lexsort((s["class"], s["signature"]))
-        signature, name = s["signature"][order], s["class"][order].astype(np.int64)
-        once = packed.runs(signature, name)
-        signature, name = signature[once], name[once]
+        order = order[packed.runs(s["signature"][order], s["class"][order])]
+        signature, name, band = s["signature"][order], s["class"][order].astype(np.int64), s["band"][order]
         starts = np.flatnonzero(packed.runs(signature))
         sizes = np.diff(starts, append=len(name))
         small = (sizes > 1) & (sizes <= SMALL_GROUP)
@@ -228,54 +228,97 @@ def _collide(rows: pd.DataFrame) -> pd.DataFrame:
         large = np.repeat(sizes > SMALL_GROUP, sizes)
         group = signature[large].astype(np.int64) << 31 | (int(rows["bucket"].iloc[0]) & 0x7FFFFFFF)
         n = int(large.sum())
-        parts.append((np.full(n, MEMBER), name[large], group, np.repeat(sizes, sizes)[large], np.zeros(n, np.int64)))
+        parts.append((np.full(n, MEMBER), name[large], group, band[large], np.zeros(n, np.int64)))
     return pd.DataFrame({k: np.concatenate([np.asarray(p[i], dtype=np.int64) for p in parts]) for i, k in enumerate(("kind", "a", "b", "c", "d"))})
 
 
-def _verify(batches: Iterator[pd.DataFrame], words: int, percent: int) -> Iterator[pd.DataFrame]:
-    """Whether hub and class are linked, and of a star the part of the difference that the next round needs."""
-    for batch in batches:
-        memory: dict[int, np.ndarray] = {}
-        linked, parts = [], []
-        for hub, hub_text, text, star in zip(batch["hub"], batch["hub_text"], batch["text"], batch["star"], strict=True):
-            if hub not in memory:
-                memory.clear()
-                memory[hub] = shingles(hub_text, words)
-            h, x = memory[hub], shingles(text, words)
-            new = x[~np.isin(x, h, assume_unique=True)]
-            both = len(x) - len(new)
-            union = len(h) + len(new)
-            linked.append(100 * both >= percent * union)
-            part = np.empty(0, dtype=np.uint64)
-            if star:
-                lost = h[~np.isin(h, x, assume_unique=True)]
-                part = np.concatenate((new, lost))[: prefix_length(len(h), len(x), len(new) + len(lost), linked[-1], percent)]
-            parts.append(part.astype(np.int64))
-        yield batch[["hub", "class", "star"]].assign(linked=linked, part=parts)
+def _absent(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Elements of a sorted set that another one lacks."""
+    return x[h[np.minimum(np.searchsorted(h, x), len(h) - 1)] != x] if len(h) else x
+
 
+def _verify(batches: Iterator[pd.DataFrame], words: int, percent: int) -> Iterator[pd.DataFrame]:
+    """Whether hub and class are linked, and of a star the parts of the difference that the next round needs."""
+    known: dict[int, np.ndarray] = {}
 
-def prefix_length(hub: int, size: int, difference: int, linked: bool, percent: int) -> int:
-    """Leading elements of a difference set that a linked pair must share, one of the two not linked to the hub.
+    def shingled(name: int, text: str) -> np.ndarray:
+        if name not in known:
+            if len(known) >= 2000:
+                known.clear()
+            known[name] = shingles(text, words)
+        return known[name]
 
-    A pair needs an overlap of at least half of |Dx| + |Dy| - H(x, y).  The least over all partners y is
-    taken: of any size the threshold allows, with |Dy| at least the difference in size to the hub, and
-    beyond H(y, hub) where x itself is linked.
+    for batch in batches:
+        linked, apart, near = [], [], []
+        for hub, hub_text, name, text, star in zip(batch["hub"], batch["hub_text"], batch["class"], batch["text"], batch["star"], strict=True):
+            h, x = shingled(hub, hub_text), shingled(name, text)
+            new = _absent(x, h)
+            linked.append(100 * (len(x) - len(new)) >= percent * (len(h) + len(new)))
+            parts = [np.empty(0, dtype=np.int64)] * 2
+            if star:
+                difference = np.concatenate((new, _absent(h, x))).view(np.int64)
+                for i, other in enumerate((False, True)):
+                    if not (linked[-1] and other):
+                        part = difference[: prefix_length(len(h), len(x), len(difference), linked[-1], other, percent)]
+                        parts[1 if linked[-1] else i] = part
+            apart.append(parts[0])
+            near.append(parts[1])
+        yield batch[["hub", "class", "star"]].assign(linked=linked, apart=apart, near=near)
+
+
+def prefix_length(hub: int, size: int, difference: int, linked: bool, other_linked: bool, percent: int) -> int:
+    """Leading elements of Dx that a linked pair (x, y) shares, with y linked to the hub or not as told and not both linked.
+
+    The pair needs an overlap of half of |Dx| + |Dy| - H(x, y).  The least is taken over all sizes of y that
+    the threshold allows; |Dy| is at least the difference in size to the hub and at least |Dx| - H(x, y),
+    and beyond H(y, hub) just where y is not linked.
     """
-    other = np.arange(-(-percent * size // 100), 100 * size // percent + 1)
-    apart = np.abs(other - hub)
-    if linked:
-        apart = np.maximum(apart, (100 - percent) * (other + hub) // (100 + percent) + 1)
-    need = difference + apart - (100 - percent) * (size + other) // (100 + percent)
-    overlap = max(1, -(-int(need.min()) // 2)) if len(need) else difference + 1
+    y = np.arange(-(-percent * size // 100), 100 * size // percent + 1)
+    between = (100 - percent) * (size + y) // (100 + percent)
+    to_hub = (100 - percent) * (hub + y) // (100 + percent)
+    least = np.maximum(np.abs(y - hub), difference - between)
+    if other_linked:
+        possible = least <= to_hub
+    else:
+        least, possible = np.maximum(least, to_hub + 1), np.ones(len(y), dtype=bool)
+    if not possible.any():
+        return 0
+    overlap = max(1, -(-int((difference + least - between)[possible].min()) // 2))
     return max(0, difference - overlap + 1)
 
 
 def _stars(members: DataFrame) -> DataFrame:
     """(hub, class) for every large group; the hub is the member with most matches in all groups."""
-    degree = members.groupBy(F.col("class").alias("of")).agg(F.sum(F.col("members") - 1).alias("degree"))
-    ranked = members.join(degree, F.col("class") == F.col("of"))
-    hubs = ranked.groupBy(F.col("group").alias("g")).agg(F.max(F.struct("degree", "class"))["class"].alias("hub"))
-    return members.join(hubs, F.col("group") == F.col("g")).filter("hub <> class").select("hub", "class").distinct()
+    sized = members.groupBy(F.col("group").alias("g")).agg((F.count("*") - 1).alias("others")).filter("others > 0")
+    known = members.join(sized, F.col("group") == F.col("g")).select("group", "class", "others")
+    degree = known.groupBy(F.col("class").alias("of")).agg(F.sum("others").alias("degree"))
+    hubs = known.join(degree, F.col("class") == F.col("of")).groupBy(F.col("group").alias("g")).agg(
+        F.max(F.struct("degree", "class"))["class"].alias("hub")
+    )
+    return known.join(hubs, F.col("group") == F.col("g")).filter("hub <> class").select("hub", "class").distinct()
+
+
+def _next_groups(stars: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of small groups and members of large ones for the classes that their hub left open.
+
+    Classes not linked to the hub meet each other by one part of their difference, and linked ones by another;
+    in a mixed group only pairs of a linked and another class are open.
+    """
+    apart = stars.filter("not linked").select("hub", "class", "linked", F.lit(False).alias("mixed"), F.explode("apart").alias("element"))
+    near = stars.select("hub", "class", "linked", F.lit(True).alias("mixed"), F.explode("near").alias("element"))
+    element = apart.unionByName(near).select(F.xxhash64("hub", "mixed", "element").alias("group"), "class", "linked", "mixed").distinct()
+    sizes = element.groupBy(F.col("group").alias("g")).agg(F.count_if("linked").alias("yes"), F.count_if(~F.col("linked")).alias("no"))
+    sizes = sizes.filter("no > 1 or yes > 0 and no > 0")
+    again = element.join(sizes, F.col("group") == F.col("g")).drop("g").filter("mixed and yes > 0 and no > 0 or not mixed and no > 1")
+    again = materialize(again, "members")
+    small = F.when(F.col("mixed"), F.col("yes") * F.col("no") <= 8 * SMALL_GROUP).otherwise(F.col("no") <= SMALL_GROUP)
+    few = again.filter(small)
+    other = few.select(F.col("group").alias("g"), F.col("class").alias("b"), F.col("linked").alias("other_linked"))
+    open_pair = F.when(F.col("mixed"), ~F.col("linked") & F.col("other_linked")).otherwise(F.col("class") < F.col("b"))
+    pairs = few.join(other, (F.col("group") == F.col("g")) & open_pair)
+    pairs = pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).filter("a <> b").distinct()
+    many = again.filter(~small).select("group", "class").distinct()
+    return pairs, many if many.limit(1).count() else None
 
 
 def links(pairs: DataFrame, members: DataFrame | None, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -289,24 +332,15 @@ def links(pairs: DataFrame, members: DataFrame | None, texts: DataFrame, words:
             work = work.unionByName(_stars(members).withColumn("star", F.lit(True)))
         work = work.join(one, F.col("class") == F.col("one")).join(two, F.col("hub") == F.col("two"))
         verified = work.select("hub", "class", "star", "text", "hub_text").mapInPandas(
-            lambda batches: _verify(batches, words, percent), "hub long, class long, star boolean, linked boolean, part array<long>"
+            lambda batches: _verify(batches, words, percent),
+            "hub long, class long, star boolean, linked boolean, apart array<long>, near array<long>",
         )
         verified = materialize(verified, "verified")
         found.append(verified.filter("linked").select(F.col("hub").alias("a"), F.col("class").alias("b")))
         stars = verified.filter("star")
         if members is None or not stars.filter("not linked").limit(1).count():
             break
-        element = stars.select("hub", "class", "linked", F.explode("part").alias("element"))
-        element = element.select(F.xxhash64("hub", "element").alias("group"), "class", "linked").distinct()
-        sizes = element.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("members"), F.bool_or(~F.col("linked")).alias("open"))
-        again = element.join(sizes.filter("members > 1 and open"), F.col("group") == F.col("g")).select("group", "class", "linked", "members")
-        again = materialize(again, "members")
-        few = again.filter(F.col("members") <= SMALL_GROUP)
-        other = few.select(F.col("group").alias("g"), F.col("class").alias("b"), F.col("linked").alias("l"))
-        pairs = few.join(other, (F.col("group") == F.col("g")) & (F.col("class") < F.col("b")) & ~(F.col("linked") & F.col("l")))
-        pairs = pairs.select(F.col("class").alias("a"), "b").distinct()
-        many = again.filter(F.col("members") > SMALL_GROUP).select("group", "class", "members").distinct()
-        members = many if many.limit(1).count() else None
+        pairs, members = _next_groups(stars)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -338,6 +372,17 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _costly_dropped(members: DataFrame, percent: int) -> DataFrame:
+    """Members of large groups, without the classes whose large groups fit into the segments to spare.
+
+    If a pair shares only costly and empty segments, both of its sets have more of them than can be spared.
+    """
+    spare = F.array(*[F.lit(allocate(b, percent)[3]) for b in range(len(bands(percent)) - 1)])
+    counts = members.groupBy(F.col("class").alias("of"), F.col("band").alias("in_band")).agg(F.count("*").alias("n"))
+    counts = counts.filter(F.col("n") > F.element_at(spare, F.col("in_band").cast("int") + 1))
+    return members.join(counts, (F.col("class") == F.col("of")) & (F.col("band") == F.col("in_band")), "left_semi").select("class", "group")
+
+
 def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Set size and component of every document, and the number of links of its class."""
     base = packed.identified(docs, id_col, text_col)
@@ -349,7 +394,8 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rows = materialize(signed.groupBy("bucket").applyInPandas(_collide, "kind long, a long, b long, c long, d long"), "collisions")
     classed = rows.filter(F.col("kind") == DOCUMENT).select(F.col("a").alias("class"), F.col("b").alias("doc"), F.col("c").alias("version"), F.col("d").alias("n_shingles"))
     pairs = rows.filter(F.col("kind") == PAIR).select("a", "b").distinct()
-    members = rows.filter(F.col("kind") == MEMBER).select(F.col("a").alias("class"), F.col("b").alias("group"), F.col("c").alias("members"))
+    members = rows.filter(F.col("kind") == MEMBER).select(F.col("a").alias("class"), F.col("b").alias("group"), F.col("c").alias("band"))
+    members = materialize(_costly_dropped(members, percent), "members")
     pairs = materialize(pairs, "pairs")
 
     wanted = members.select("class").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("class"))).distinct()
