@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from disclosure_spark.llm import byte_cnn, chunk_dedup, fertility, html_extract, packing, set_join, suffix_dedup, warc, winnowing
+from disclosure_spark.llm import attention_lm, byte_cnn, chunk_dedup, fertility, html_extract, packing, set_join, suffix_dedup, warc, winnowing
 from disclosure_spark.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op3_html_extraction(spark, sf_dir):
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+@register
+def op4_lm_scoring(spark, sf_dir):
+    return attention_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @register
 def op5_quality_classifier(spark, sf_dir):
     return byte_cnn.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
