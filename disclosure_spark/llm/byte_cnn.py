@@ -27,7 +27,7 @@ POSITIONS = 60
 CHUNK_BYTES = STRIDE * (POSITIONS - 1) + WIDTH
 SAMPLE_PER_CLASS = 1500
 TRAIN_CHUNKS = 8
-EPOCHS, BATCH, RATE, DECAY = 10, 64, 0.006, 1e-4
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 10, 250, 64, 0.006, 1e-4
 BLOCK_POSITIONS = POSITIONS * 2000
 ACCEPT = 0.7
 
@@ -96,8 +96,10 @@ def train(chunks: np.ndarray, labels: np.ndarray, seed: int = 7) -> Network:
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in w.items()}
     windows = STRIDE * np.arange(POSITIONS)[:, None] + np.arange(WIDTH)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
-    step, steps = 0, EPOCHS * -(-len(labels) // BATCH)
-    for _ in range(EPOCHS):
+    per_epoch = -(-len(labels) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
+    step, steps = 0, epochs * per_epoch
+    for _ in range(epochs):
         order = rng.permutation(len(labels))
         for a in range(0, len(order), BATCH):
             rows = order[a:a + BATCH]
@@ -178,6 +180,17 @@ def score_quality(docs: DataFrame, network: Network, id_col: str = "doc_id", tex
     return base.mapInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], "score double"]))
 
 
+def keep_accepted(docs: DataFrame, network: Network, text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
+    """The rows whose text scores at least ``accept``, with all of their columns."""
+    weights = Network(network.weights, network.constant)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[np.array([weights.score(_bytes(t)) >= accept for t in batch[text_col]], dtype=bool)]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """Train on the labels and score all documents."""
     scored = score_quality(docs, fit(docs, labels))

@@ -134,17 +134,49 @@ def removed_spans(raw: bytes, repeats: np.ndarray, min_run: int = MIN_RUN) -> li
     return spans
 
 
+def with_repeats(identified: DataFrame) -> DataFrame:
+    """Add ``starts``, the starts of repeated chunks, to rows of ``doc``, ``version`` and ``text``."""
+    chunks = materialize(repeated_chunks(identified.select("doc", "version", "text")), "chunks")
+    repeats = chunks.groupBy(F.col("doc").alias("of"), F.col("version").alias("v")).agg(
+        F.collect_list("start").alias("starts")  # bounded by the length of one document
+    )
+    return identified.join(repeats, (F.col("doc") == F.col("of")) & (F.col("version") == F.col("v")), "left").drop("of", "v")
+
+
+def rewrite_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+    """The documents with all of their columns, repeated passages taken out of the text."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    joined = with_repeats(packed.identified(docs.select("*", row), id_col, text_col, "row"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = []
+            for text, starts in zip(batch["text"], batch["starts"], strict=True):
+                if starts is not None:
+                    raw, at, pieces = text.encode(), 0, []
+                    for a, b in removed_spans(raw, np.asarray(starts, dtype=np.int64), min_run):
+                        pieces.append(raw[at:a])
+                        at = b
+                    text = (b"".join(pieces) + raw[at:]).decode()
+                texts.append(text)
+            yield batch.drop(columns=["text", "starts"]).assign(new_text=texts)
+
+    others = [c for c in docs.columns if c != text_col]
+    kinds = dict(docs.dtypes)
+    flat = joined.select(*[F.col("row")[c].alias(f"c{i}") for i, c in enumerate(others)], "text", "starts")
+    schema = ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(others)], "new_text string"])
+    done = flat.mapInPandas(cut, schema)
+    named = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text_col: F.col("new_text")}
+    return done.select(*[named[c].alias(c) for c in docs.columns])
+
+
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """Remaining text and removed spans of every document.
 
     Only chunk records and the starts of repeats are shuffled by digest; the texts cross once, to meet the
     starts of their repeats.
     """
-    base = packed.identified(docs, id_col, text_col)
-    repeats = materialize(repeated_chunks(base), "chunks").groupBy(F.col("doc").alias("of"), F.col("version").alias("v")).agg(
-        F.collect_list("start").alias("starts")  # bounded by the length of one document
-    )
-    joined = base.join(repeats, (F.col("doc") == F.col("of")) & (F.col("version") == F.col("v")), "left")
+    joined = with_repeats(packed.identified(docs, id_col, text_col))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -22,17 +22,17 @@ def bucket_count(docs: DataFrame, text_col: str = "text", per_bucket: int = TEXT
     return max(1, -(-(total or 0) // per_bucket))
 
 
-def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *carried: str) -> DataFrame:
     """``doc`` (integer id, nulls first), ``version`` and ``text``.
 
     Rows that share an id are versions of one document; the version is 0 where no id repeats, else a hash
-    of the text, so that equal rows are one version and different texts keep apart.
+    of the text, so that equal rows are one version and different texts keep apart.  ``carried`` columns come along.
     """
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     repeats = docs.groupBy(ids.alias("doc")).count().filter("count > 1").limit(1).count() > 0
     text = F.coalesce(F.col(text_col), F.lit(""))
     version: Column = F.xxhash64(text) if repeats else F.lit(0).cast("long")
-    return docs.select(ids.alias("doc"), version.alias("version"), text.alias("text"))
+    return docs.select(ids.alias("doc"), version.alias("version"), text.alias("text"), *carried)
 
 
 def plain_id(doc: str = "doc") -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from disclosure_spark.llm import attention_lm, byte_cnn, chunk_dedup, fertility, html_extract, packing, set_join, suffix_dedup, warc, winnowing
 from disclosure_spark.session import work_dir
 
@@ -74,3 +75,8 @@ def op10_warc(spark, sf_dir):
     path = work_dir(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.capture_summary(warc.assemble_captures(warc.read_records(spark, path)))
+
+
+@register
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)

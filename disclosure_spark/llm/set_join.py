@@ -414,4 +414,22 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     least = named.filter(F.col("doc") != packed.NO_ID).groupBy(F.col("root").alias("r")).agg(F.min("doc").alias("component"))
     joined = named.join(least, F.col("root") == F.col("r"), "left")
     component = F.when(F.col("n_shingles") == 0, packed.plain_id()).otherwise(F.col("component"))
-    return joined.select(packed.plain_id().alias("doc_id"), "version", "n_shingles", component.alias("component_id"), "class", "n_links")
+    return joined.select(packed.plain_id().alias("doc_id"), "version", "n_shingles", component.alias("component_id"), "root", "n_links")
+
+
+def keep_one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all of their columns, one (that of the smallest id) of each component.
+
+    Documents without words are no copies of each other and stay.
+    """
+    groups = similar_groups(docs, words, percent, id_col, text_col)
+    ids = groups.select(F.coalesce("doc_id", F.lit(packed.NO_ID)).alias("doc"), "version", "n_shingles", "root")
+    first = ids.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc", "version")).alias("s")).select("s.doc", "s.version")
+    kept = first.unionByName(ids.filter("n_shingles = 0").select("doc", "version").distinct())
+    kept = materialize(kept.select(F.col("doc").alias("of"), F.col("version").alias("v")), "kept")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    base = packed.identified(docs.select("*", row), id_col, text_col, "row")
+    left = base.join(kept, (F.col("doc") == F.col("of")) & (F.col("version") == F.col("v")), "left_semi")
+    if docs.count() > base.select("doc", "version").distinct().count():
+        left = left.filter(F.length(F.trim("text")) > 0).dropDuplicates(["doc", "version"]).unionByName(left.filter(F.length(F.trim("text")) == 0))
+    return left.select("row.*")

@@ -114,11 +114,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     joined = whole.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("version") == F.col("hit_version")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        "doc_id", "version", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (CONTAMINATED_SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are not contaminated, with all of their columns."""
+    judged = decontaminate(docs, benchmark, id_col, text_col)
+    bad = judged.filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version")).distinct()
+    bad = broadcast_if_small(materialize(bad, "contaminated"), MAX_BROADCAST)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(row, F.col(id_col).alias("own_id"), F.xxhash64(text).alias("own_version"))
+    same = F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_version") == F.col("bad_version"))
+    return base.join(bad, same, "left_anti").select("row.*")
+
+
 def contamination_summary(judged: DataFrame) -> DataFrame:
     """Number and digest of the items in place of their list."""
     return judged.select(
