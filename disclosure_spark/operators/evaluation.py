@@ -113,7 +113,7 @@ def roc_points(scored: DataFrame, drop_intermediate: bool = True) -> DataFrame:
         bend = (F.col("next.pos") != F.col("pos")) | (F.col("next.neg") != F.col("neg"))
         kept = steps.filter(first | F.col("next").isNull() | bend)
     points = kept.select(F.col("score").alias("threshold"), fpr, tpr)
-    origin = scored.agg((F.max("score") + 1).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    origin = steps.agg((F.max("score") + 1).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return origin.unionByName(points)
 
 

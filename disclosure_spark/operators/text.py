@@ -31,8 +31,9 @@ def count_words(docs: DataFrame, key: str = "report_id", text: str = "text") ->
 
 
 def words_per_line(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Histogram: words per line -> number of lines."""
-    return _lines_with_count(docs, text).groupBy("words_in_sequence").agg(F.count("*").alias("appearances"))
+    """Histogram: words per line -> number of lines, by rising number of words."""
+    counted = _lines_with_count(docs, text).groupBy("words_in_sequence").agg(F.count("*").alias("appearances"))
+    return counted.orderBy("words_in_sequence")
 
 
 def lines_by_word_count(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from disclosure_spark.functions.text import ABBREVIATIONS
 from disclosure_spark.functions.wordpiece import BASIC_TOKEN, CONTROL, SPECIAL
 from disclosure_spark.operators.curves import NB_SIZES, SIZES
-from disclosure_spark.plans.proxies import COMPOSITION_DATES
 
 ORACLES: dict[str, str] = {}
 
@@ -88,16 +87,14 @@ ORACLES["filing_filter"] = """
 select o_orderkey as report_id, o_custkey as cik, strftime(o_orderdate, '%Y-%m-%d') as filing_date, o_orderpriority as form_type
 from orders where year(o_orderdate) between 1996 and 1999 and o_orderpriority in ('1-URGENT', '2-HIGH')"""
 
-_DATES = ", ".join(f"strptime('{d}', '%d/%m/%Y')::date" for d in COMPOSITION_DATES)
 ORACLES["unpivot_composition"] = f"""
 with {MEMBERSHIP}, {CIK_MAP},
 firsts as (select ticker, min_by(cik, ord) as cik from cik_map group by ticker),
 hit as (
   select distinct m.snapshot_date, f.cik
   from membership m join firsts f on f.ticker = 'Supplier#' || lpad(cast(m.cik as varchar), 9, '0')
-  where m.snapshot_date in ({_DATES}) and m.snapshot_date > date '1995-06-30')
-select strftime(snapshot_date, '%Y-%m-%d') as snapshot_date, cik from hit
-qualify row_number() over (partition by hit.snapshot_date order by cik) <= 500"""
+  where m.snapshot_date > date '1995-06-30')
+select strftime(snapshot_date, '%Y-%m-%d') as snapshot_date, cik from hit"""
 
 ORACLES["members_per_snapshot"] = f"""
 with {MEMBERSHIP}
@@ -112,8 +109,7 @@ from (select distinct l_orderkey, l_suppkey as cik from lineitem) f left join fi
 ORACLES["unmatched_tickers"] = f"""
 with {MEMBERSHIP}
 select distinct 'Supplier#' || lpad(cast(cik as varchar), 9, '0') as ticker from membership
-where snapshot_date in ({_DATES})
-  and 'Supplier#' || lpad(cast(cik as varchar), 9, '0') not in (select s_name from supplier)"""
+where 'Supplier#' || lpad(cast(cik as varchar), 9, '0') not in (select s_name from supplier)"""
 
 ORACLES["membership_asof"] = f"""
 with {SPARSE_REPORTS}, {MEMBERSHIP},
@@ -259,7 +255,7 @@ def basic(expr: str) -> str:
 _SPECIAL = ", ".join(f"('{t}', {i})" for i, t in enumerate(SPECIAL))
 VOCAB = f"""
 bench_words as (select lower(unnest({basic('text')})) as w from benchmark),
-top as (select w, count(*) as n from bench_words group by w order by n desc, w limit 2000),
+top as (select w, count(*) as n from bench_words group by w),
 chars as (select distinct unnest(string_split(w, '')) as c from bench_words),
 kinds as (
   select t as token, 0 as kind, -i as n from (values {_SPECIAL}) s(t, i)

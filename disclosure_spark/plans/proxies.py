@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 
 from disclosure_spark.session import spread
 
-# The first eight quarter starts of the order history, as composition column labels.
-COMPOSITION_DATES = (
-    "01/04/1995", "01/07/1995", "01/10/1995", "01/01/1996", "01/04/1996", "01/07/1996", "01/10/1996", "01/01/1997",
-)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -60,7 +54,8 @@ def composition_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("Ticker"),
         F.date_format("snapshot_date", "dd/MM/yyyy").alias("label"),
     )
-    wide = cells.groupBy("Ticker").pivot("label", list(COMPOSITION_DATES)).agg(F.first(F.lit("X")))
+    labels = [r["label"] for r in cells.select("label").distinct().orderBy("label").collect()]  # one per quarter of the calendar
+    wide = cells.groupBy("Ticker").pivot("label", labels).agg(F.first(F.lit("X")))
     return wide.withColumns({"ISIN Code": F.lit(""), "Company Name": F.col("Ticker")})
 
 

@@ -29,17 +29,23 @@ def build_session(app: str = "disclosure_spark", master: str | None = None, **co
 
 
 @functools.cache
-def _test_root() -> str:
+def _local_root() -> str:
     return tempfile.mkdtemp(prefix="disclosure-", dir="/tmp")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``.  Only where that is unset
-    (a single-machine test run) is a temporary folder taken instead, one per process.
+    The cluster names the shared folder in ``spark.checkpoint.dir``.  Only where that is unset and
+    the session runs inside one process is a temporary folder taken instead, one per process; on
+    any other master its files would stay on single machines, so the setting is demanded.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _test_root()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -70,6 +70,12 @@ def stream_prices(payloads: DataFrame, table: str, errors: str, checkpoint: str)
     return _per_batch(payloads, checkpoint, step)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, wherever it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stream_labels(events: DataFrame, store: str, checkpoint: str, days: int = prices.FORWARD_DAYS) -> StreamingQuery:
     """Label reports once enough trading days after their filing date have arrived.
 
@@ -93,13 +99,19 @@ def stream_labels(events: DataFrame, store: str, checkpoint: str, days: int = pr
         batch.filter("kind = 'price'").select("ticker", "date", "open", "close").write.mode("overwrite").parquet(
             f"{store}/prices/batch={number}"
         )
-        trading = spark.read.schema(kept).parquet(f"{store}/prices").filter(F.col("batch") <= number).drop("batch")
         pending = _read_or_empty(spark, f"{store}/pending-{number - 1}", waiting)
         asked = batch.filter("kind = 'report'").select("report_id", "ticker", F.col("date").alias("filing_date"))
         open_reports = pending.unionByName(asked)
+        # a day that is delivered again counts once, as it came first; only days that a report waits for are read
+        since = open_reports.groupBy("ticker").agg(F.min("filing_date").alias("since"))
+        stored = spark.read.schema(kept).parquet(f"{store}/prices").filter(F.col("batch") <= number)
+        stored = stored.join(since, "ticker").filter(F.col("date") >= F.col("since"))
+        trading = stored.groupBy("ticker", "date").agg(F.min_by(F.struct("open", "close"), F.struct("batch", "open", "close")).alias("day"))
+        trading = trading.select("ticker", "date", "day.open", "day.close")
         answers = f"{store}/labels/batch={number}"
         prices.label_price_change(open_reports, trading, days).write.mode("overwrite").parquet(answers)
         done = spark.read.parquet(answers).select("report_id")
         open_reports.join(done, "report_id", "left_anti").write.mode("overwrite").parquet(f"{store}/pending-{number}")
+        _remove(spark, f"{store}/pending-{number - 2}")  # a batch that is run again needs the one before it alone
 
     return _per_batch(events, checkpoint, step)
