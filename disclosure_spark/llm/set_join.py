@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from disclosure_spark.llm import packed
@@ -35,6 +36,7 @@ from disclosure_spark.session import broadcast_if_small, materialize
 
 WORDS, PERCENT = 4, 85
 SMALL_GROUP = 6
+OPEN_PAIRS = 200  # of a group of a later round that are verified one by one
 SLICE_BYTES, FLUSH_SIGNATURES = 500_000, 250_000
 MAX_BROADCAST = 200_000
 BAND_RATIO = 1.63
@@ -249,21 +251,17 @@ def _verify(batches: Iterator[pd.DataFrame], words: int, percent: int) -> Iterat
         return known[name]
 
     for batch in batches:
-        linked, apart, near = [], [], []
+        linked, whole, apart, near = [], [], [], []
         for hub, hub_text, name, text, star in zip(batch["hub"], batch["hub_text"], batch["class"], batch["text"], batch["star"], strict=True):
             h, x = shingled(hub, hub_text), shingled(name, text)
             new = _absent(x, h)
             linked.append(100 * (len(x) - len(new)) >= percent * (len(h) + len(new)))
-            parts = [np.empty(0, dtype=np.int64)] * 2
-            if star:
-                difference = np.concatenate((new, _absent(h, x))).view(np.int64)
-                for i, other in enumerate((False, True)):
-                    if not (linked[-1] and other):
-                        part = difference[: prefix_length(len(h), len(x), len(difference), linked[-1], other, percent)]
-                        parts[1 if linked[-1] else i] = part
-            apart.append(parts[0])
-            near.append(parts[1])
-        yield batch[["hub", "class", "star"]].assign(linked=linked, apart=apart, near=near)
+            difference = np.concatenate((new, _absent(h, x))).view(np.int64) if star else new[:0].view(np.int64)
+            lengths = [prefix_length(len(h), len(x), len(difference), linked[-1], other, percent) if star else 0 for other in (False, True)]
+            whole.append(difference)
+            apart.append(0 if linked[-1] else lengths[0])
+            near.append(lengths[0] if linked[-1] else lengths[1])
+        yield batch[["hub", "class", "star"]].assign(linked=linked, difference=whole, apart=apart, near=near)
 
 
 def prefix_length(hub: int, size: int, difference: int, linked: bool, other_linked: bool, percent: int) -> int:
@@ -304,14 +302,19 @@ def _next_groups(stars: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     Classes not linked to the hub meet each other by one part of their difference, and linked ones by another;
     in a mixed group only pairs of a linked and another class are open.
     """
-    apart = stars.filter("not linked").select("hub", "class", "linked", F.lit(False).alias("mixed"), F.explode("apart").alias("element"))
-    near = stars.select("hub", "class", "linked", F.lit(True).alias("mixed"), F.explode("near").alias("element"))
-    element = apart.unionByName(near).select(F.xxhash64("hub", "mixed", "element").alias("group"), "class", "linked", "mixed").distinct()
+    each = stars.select("hub", "class", "linked", "apart", "near", F.explode("difference").alias("element"))
+    counts = each.groupBy(F.col("hub").alias("h"), F.col("element").alias("e")).agg(F.count("*").alias("n"))
+    rarest = W.partitionBy("hub", "class").orderBy("n", "element")  # one document's elements
+    ranked = each.join(counts, (F.col("hub") == F.col("h")) & (F.col("element") == F.col("e"))).withColumn("rank", F.row_number().over(rarest))
+    ranked = ranked.filter("n > 1 and rank <= greatest(apart, near)")
+    sides = F.filter(F.array(F.when(F.col("rank") <= F.col("apart"), False), F.when(F.col("rank") <= F.col("near"), True)), lambda m: m.isNotNull())
+    element = ranked.select("hub", "class", "linked", "element", F.explode(sides).alias("mixed"))
+    element = element.select(F.xxhash64("hub", "mixed", "element").alias("group"), "class", "linked", "mixed").distinct()
     sizes = element.groupBy(F.col("group").alias("g")).agg(F.count_if("linked").alias("yes"), F.count_if(~F.col("linked")).alias("no"))
     sizes = sizes.filter("no > 1 or yes > 0 and no > 0")
     again = element.join(sizes, F.col("group") == F.col("g")).drop("g").filter("mixed and yes > 0 and no > 0 or not mixed and no > 1")
     again = materialize(again, "members")
-    small = F.when(F.col("mixed"), F.col("yes") * F.col("no") <= 8 * SMALL_GROUP).otherwise(F.col("no") <= SMALL_GROUP)
+    small = F.when(F.col("mixed"), F.col("yes") * F.col("no") <= OPEN_PAIRS).otherwise(F.col("no") * (F.col("no") - 1) <= 2 * OPEN_PAIRS)
     few = again.filter(small)
     other = few.select(F.col("group").alias("g"), F.col("class").alias("b"), F.col("linked").alias("other_linked"))
     open_pair = F.when(F.col("mixed"), ~F.col("linked") & F.col("other_linked")).otherwise(F.col("class") < F.col("b"))
@@ -333,7 +336,7 @@ def links(pairs: DataFrame, members: DataFrame | None, texts: DataFrame, words:
         work = work.join(one, F.col("class") == F.col("one")).join(two, F.col("hub") == F.col("two"))
         verified = work.select("hub", "class", "star", "text", "hub_text").mapInPandas(
             lambda batches: _verify(batches, words, percent),
-            "hub long, class long, star boolean, linked boolean, apart array<long>, near array<long>",
+            "hub long, class long, star boolean, linked boolean, difference array<long>, apart long, near long",
         )
         verified = materialize(verified, "verified")
         found.append(verified.filter("linked").select(F.col("hub").alias("a"), F.col("class").alias("b")))
