@@ -146,7 +146,7 @@ def with_repeats(identified: DataFrame) -> DataFrame:
 def rewrite_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """The documents with all of their columns, repeated passages taken out of the text."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    joined = with_repeats(packed.identified(docs.select("*", row), id_col, text_col, "row"))
+    joined = with_repeats(packed.identified(docs.select(row), f"row.`{id_col}`", f"row.`{text_col}`", "row"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

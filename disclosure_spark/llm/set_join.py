@@ -431,7 +431,7 @@ def keep_one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, i
     kept = first.unionByName(ids.filter("n_shingles = 0").select("doc", "version").distinct())
     kept = materialize(kept.select(F.col("doc").alias("of"), F.col("version").alias("v")), "kept")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    base = packed.identified(docs.select("*", row), id_col, text_col, "row")
+    base = packed.identified(docs.select(row), f"row.`{id_col}`", f"row.`{text_col}`", "row")
     left = base.join(kept, (F.col("doc") == F.col("of")) & (F.col("version") == F.col("v")), "left_semi")
     if docs.count() > base.select("doc", "version").distinct().count():
         left = left.filter(F.length(F.trim("text")) > 0).dropDuplicates(["doc", "version"]).unionByName(left.filter(F.length(F.trim("text")) == 0))
