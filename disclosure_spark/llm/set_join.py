@@ -415,7 +415,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     named = named.select("doc", "version", "class", "n_shingles", F.coalesce("root", "class").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     named = materialize(named, "named")
     least = named.filter(F.col("doc") != packed.NO_ID).groupBy(F.col("root").alias("r")).agg(F.min("doc").alias("component"))
-    joined = named.join(least, F.col("root") == F.col("r"), "left")
+    joined = named.join(materialize(least, "least"), F.col("root") == F.col("r"), "left")
     component = F.when(F.col("n_shingles") == 0, packed.plain_id()).otherwise(F.col("component"))
     return joined.select(packed.plain_id().alias("doc_id"), "version", "n_shingles", component.alias("component_id"), "root", "n_links")
 
