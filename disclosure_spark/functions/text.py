@@ -100,7 +100,7 @@ def local_path(path: Column) -> Column:
 
 def file_key(path: Column) -> Column:
     """The stable report key inside any derived file path, null where there is none."""
-    key = F.regexp_extract(path, r"multiline_report\d+", 0)
+    key = F.regexp_extract(path, r"multiline_report\d+", 0)  # Fixed value: names of derived files
     return F.when(key != "", key)
 
 
@@ -110,7 +110,7 @@ def file_name(path: Column) -> Column:
 
 def bare_ticker(ticker: Column) -> Column:
     """Ticker without a trailing remark in brackets."""
-    return F.regexp_replace(ticker, r"\s\(\S*\)", "")
+    return F.regexp_replace(ticker, r"\s\(\S*\)", "")  # Fixed value: form of the remark
 
 
 def compact_date(value: Column) -> Column:

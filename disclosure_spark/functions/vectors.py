@@ -6,14 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
 def round_all(a: Column, digits: int = 6) -> Column:
     """Round every element half to even."""
     return F.transform(a, lambda x: F.bround(x, digits))

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from disclosure_spark.functions.text import bare_ticker, header_date
 from disclosure_spark.session import broadcast_if_small
 
+# Descriptive columns of the composition table, years and forms of the study.
 DESCRIPTIVE = ("Ticker", "ISIN Code", "Company Name")
 FIRST_YEAR, LAST_YEAR = 2004, 2018
 FORMS = ("10-K", "10-Q")
-SNAPSHOT_SIZE = 500
 
 
 def select_filings(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from disclosure_spark.schemas import DAILY_PAYLOAD
 
-FORWARD_DAYS = 3
+FORWARD_DAYS = 3  # Fixed value: trading days of a price move
 
 
 def forward_window(trading_day: DataFrame, days: int = FORWARD_DAYS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from disclosure_spark.functions import text as X
+from disclosure_spark.functions.vectors import take_dims
 from disclosure_spark.operators import (
     corpora, curves, evaluation, features, membership, models, packing, prices, sampling,
 )
@@ -209,7 +210,7 @@ def balance_classes(spark, sf_dir):
 @register
 def split_replay(spark, sf_dir):
     """A balanced 80/20 split of the labelled documents, replayed on every document by file key."""
-    path = F.concat(F.lit("./data/multiline_reports/multiline_report"), F.col("doc_id"))
+    path = F.concat(F.lit("./reports/multiline_report"), F.col("doc_id"))
     labels = V.table(spark, sf_dir, "labels").select("doc_id", "quality")
     kept = sampling.classifier_split(labels, "doc_id", "quality")
     kept = kept.withColumn("key", X.file_key(F.concat(path, F.lit(".csv"))))
@@ -605,9 +606,9 @@ def file_paths(spark, sf_dir):
 @register
 def mean_features(spark, sf_dir):
     """The first half of the pooled features (the means)."""
-    pooled = features.pool_sequences(V.sequence_features(spark, sf_dir))
-    half = F.slice("features", F.lit(1), (F.size("features") / 2).cast("int"))
-    means = pooled.select("report_id", half.alias("features"))
+    steps = V.sequence_features(spark, sf_dir)
+    pooled = features.pool_sequences(steps)
+    means = pooled.select("report_id", take_dims(F.col("features"), _width(steps, "embedding")).alias("features"))
     return means.select("report_id", F.posexplode("features").alias("idx", "value")).withColumn("value", F.round("value", 6))
 
 
