@@ -12,7 +12,11 @@ verified pair by pair.  In a large group each is verified against one hub, the c
 Two classes that are both linked to the hub are connected.  For the rest, the differences to the hub
 decide: |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, so a linked pair of which one is not linked to the hub shares
 an element in the first part of both difference sets, shingles outside the hub first.  These elements
-form the groups of the next round, until none is left.  No group is expanded into all of its pairs, and no link is lost.
+form the groups of the next round, until none is left.  For components no group is expanded into all of its pairs.
+
+Numbers of links.  A pair of classes that are both linked to a hub is connected, but may itself be linked or not.
+``_links_of_spokes`` compares the differences to the hub of all such pairs in salted blocks and counts each linked pair
+once, at the least of the hubs that both are linked to; every other link is an edge of its own.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a text of fewer words
 than a shingle is one shingle; rows that repeat or share an id are compared like any other; a null id never
@@ -36,6 +40,8 @@ from disclosure_spark.session import broadcast_if_small, materialize
 
 WORDS, PERCENT = 4, 85
 SMALL_GROUP = 6
+SPOKE_BLOCK = 1500  # spokes of a hub on either side of a block of pairs
+DENSE = 24  # classes from which on an element is counted by a matrix product
 OPEN_PAIRS = 200  # of a group of a later round that are verified one by one
 SLICE_BYTES, FLUSH_SIGNATURES = 500_000, 250_000
 MAX_BROADCAST = 200_000
@@ -251,7 +257,7 @@ def _verify(batches: Iterator[pd.DataFrame], words: int, percent: int) -> Iterat
         return known[name]
 
     for batch in batches:
-        linked, whole, apart, near = [], [], [], []
+        linked, whole, apart, near, sizes = [], [], [], [], []
         for hub, hub_text, name, text, star in zip(batch["hub"], batch["hub_text"], batch["class"], batch["text"], batch["star"], strict=True):
             h, x = shingled(hub, hub_text), shingled(name, text)
             new = _absent(x, h)
@@ -259,9 +265,10 @@ def _verify(batches: Iterator[pd.DataFrame], words: int, percent: int) -> Iterat
             difference = np.concatenate((new, _absent(h, x))).view(np.int64) if star else new[:0].view(np.int64)
             lengths = [prefix_length(len(h), len(x), len(difference), linked[-1], other, percent) if star else 0 for other in (False, True)]
             whole.append(difference)
+            sizes.append(len(x))
             apart.append(0 if linked[-1] else lengths[0])
             near.append(lengths[0] if linked[-1] else lengths[1])
-        yield batch[["hub", "class", "star"]].assign(linked=linked, difference=whole, apart=apart, near=near)
+        yield batch[["hub", "class", "star"]].assign(linked=linked, difference=whole, apart=apart, near=near, size=sizes)
 
 
 def prefix_length(hub: int, size: int, difference: int, linked: bool, other_linked: bool, percent: int) -> int:
@@ -324,9 +331,12 @@ def _next_groups(stars: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return pairs, many if many.limit(1).count() else None
 
 
-def links(pairs: DataFrame, members: DataFrame | None, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Verified links (a, b) between classes; every linked pair is connected through them."""
-    found = []
+def links(pairs: DataFrame, members: DataFrame | None, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between classes, through which every linked pair is connected, and the linked spokes of all hubs.
+
+    A linked pair that is no link of the first frame has a hub in the second one to which both are linked.
+    """
+    found, spokes = [], []
     one = texts.select(F.col("class").alias("one"), F.col("text"))
     two = texts.select(F.col("class").alias("two"), F.col("text").alias("hub_text"))
     while True:
@@ -336,18 +346,110 @@ def links(pairs: DataFrame, members: DataFrame | None, texts: DataFrame, words:
         work = work.join(one, F.col("class") == F.col("one")).join(two, F.col("hub") == F.col("two"))
         verified = work.select("hub", "class", "star", "text", "hub_text").mapInPandas(
             lambda batches: _verify(batches, words, percent),
-            "hub long, class long, star boolean, linked boolean, difference array<long>, apart long, near long",
+            "hub long, class long, star boolean, linked boolean, difference array<long>, apart long, near long, size long",
         )
         verified = materialize(verified, "verified")
         found.append(verified.filter("linked").select(F.col("hub").alias("a"), F.col("class").alias("b")))
         stars = verified.filter("star")
+        spokes.append(stars.filter("linked").select("hub", "class", "size", "difference"))
         if members is None or not stars.filter("not linked").limit(1).count():
             break
         pairs, members = _next_groups(stars)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    out, near = found[0], spokes[0]
+    for more, others in zip(found[1:], spokes[1:], strict=True):
+        out, near = out.unionByName(more), near.unionByName(others)
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), near.dropDuplicates(["hub", "class"])
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of elements that each of the left sets shares with each of the right ones."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    values = np.concatenate([*left, *right])
+    if not len(values):
+        return out
+    number = np.unique(values, return_inverse=True)[1]
+    cut = sum(map(len, left))
+    rows = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    a, b = number[:cut], number[cut:]
+    size = int(number.max()) + 1
+    in_a, in_b = np.bincount(a, minlength=size), np.bincount(b, minlength=size)
+    both = (in_a > 0) & (in_b > 0)
+    dense = both & (np.maximum(in_a, in_b) >= DENSE)
+    few = both & ~dense
+    columns = np.flatnonzero(dense)
+    place = np.full(size, -1)
+    for k in range(0, len(columns), 2048):
+        part = columns[k:k + 2048]
+        place[:] = -1
+        place[part] = np.arange(len(part))
+        marks = []
+        for row, held, n in ((rows[0], a, len(left)), (rows[1], b, len(right))):
+            use = place[held] >= 0
+            mark = np.zeros((n, len(part)), dtype=np.float32)
+            mark[row[use], place[held[use]]] = 1
+            marks.append(mark)
+        out += marks[0] @ marks[1].T
+    if few.any():
+        use_a, use_b = few[a], few[b]
+        order = np.argsort(b[use_b], kind="stable")
+        held, row_b = b[use_b][order], rows[1][use_b][order]
+        first = np.searchsorted(held, a[use_a])
+        times = in_b[a[use_a]]
+        at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        cells = np.repeat(rows[0][use_a], times) * len(right) + row_b[at]
+        out += np.bincount(cells, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _count_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of each class with the spokes of the other side of a block, of pairs that no lesser hub counts."""
+    side = rows["side"].to_numpy()
+    left = rows[side == 0].reset_index(drop=True)
+    same = bool(rows["lower"].iloc[0] == rows["upper"].iloc[0])
+    right = left if same else rows[side == 1].reset_index(drop=True)
+    own = _shared(left["lesser"].tolist(), right["lesser"].tolist()) == 0
+    if same:
+        own = np.triu(own, 1)
+    if not own.any():
+        return pd.DataFrame({"of": np.empty(0, dtype=np.int64), "n": np.empty(0, dtype=np.int64)})
+    use_left, use_right = own.any(axis=1), own.any(axis=0)
+    own, left, right = own[np.ix_(use_left, use_right)], left[use_left], right[use_right]
+    d = [np.array(list(map(len, part["difference"]))) for part in (left, right)]
+    apart = d[0][:, None] + d[1] - 2 * _shared(left["difference"].tolist(), right["difference"].tolist()).astype(np.int64)
+    both = left["size"].to_numpy(np.int64)[:, None] + right["size"].to_numpy(np.int64)
+    linked = own & (100 * (both - apart) >= percent * (both + apart))
+    names = np.concatenate((left["class"].to_numpy(np.int64), right["class"].to_numpy(np.int64)))
+    n = np.concatenate((linked.sum(axis=1), linked.sum(axis=0)))
+    return pd.DataFrame({"of": names[n > 0], "n": n[n > 0]})
+
+
+def _links_of_spokes(spokes: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """(of, n): links of each class with classes that share a hub with it; ``hubs`` lists the hubs of every class.
+
+    A hub with many spokes is cut into blocks of pairs by a hash of the class, so no task takes all of its pairs.
+    """
+    parts = spokes.groupBy(F.col("hub").alias("h")).agg(F.count("*").alias("n")).filter("n > 1")
+    parts = parts.select("h", F.ceil(F.col("n") / SPOKE_BLOCK).cast("int").alias("parts"))
+    cut = spokes.join(parts, F.col("hub") == F.col("h")).join(hubs, F.col("class") == F.col("node"))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    lesser = F.filter("hubs", lambda x: x < F.col("hub"))
+    cut = cut.select("hub", "class", "size", "difference", lesser.alias("lesser"), "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    blocks = cut.select(
+        "hub", F.least("part", "with").alias("lower"), F.greatest("part", "with").alias("upper"),
+        F.when(F.col("part") <= F.col("with"), 0).otherwise(1).alias("side"), "class", "size", "difference", "lesser",
+    )
+    counted = blocks.groupBy("hub", "lower", "upper").applyInPandas(lambda rows: _count_block(rows, percent), "of long, n long")
+    return counted
+
+
+def link_counts(edges: DataFrame, spokes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(of, n_links): number of classes that each class is linked with."""
+    hubs = materialize(spokes.groupBy(F.col("class").alias("node")).agg(F.collect_list("hub").alias("hubs")), "hubs")
+    two = hubs.select(F.col("node").alias("node_b"), F.col("hubs").alias("hubs_b"))
+    met = edges.join(hubs, F.col("a") == F.col("node"), "left").join(two, F.col("b") == F.col("node_b"), "left")
+    alone = met.filter(~F.coalesce(F.arrays_overlap("hubs", "hubs_b"), F.lit(False)))  # the others count at a hub
+    alone = alone.select(F.explode(F.array("a", "b")).alias("of"), F.lit(1).cast("long").alias("n"))
+    return alone.unionByName(_links_of_spokes(spokes, hubs, percent)).groupBy("of").agg(F.sum("n").alias("n_links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -386,8 +488,8 @@ def _costly_dropped(members: DataFrame, percent: int) -> DataFrame:
     return members.join(counts, (F.col("class") == F.col("of")) & (F.col("band") == F.col("in_band")), "left_semi").select("class", "group")
 
 
-def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Set size and component of every document, and the number of links of its class."""
+def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> DataFrame:
+    """Set size and component of every document, and the number of links of its class (null unless ``counted``)."""
     base = packed.identified(docs, id_col, text_col)
     buckets = packed.bucket_count(base)
     columns = {**_SIGNED, **_CLASSED}
@@ -407,12 +509,17 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     speakers = broadcast_if_small(materialize(speakers, "speakers"), MAX_BROADCAST)
     texts = base.join(speakers, (F.col("doc") == F.col("of")) & (F.col("version") == F.col("v"))).select("class", "text")
     texts = materialize(texts, "texts")
-    edges = materialize(links(pairs, members, texts, words, percent), "links")
+    edges, spokes = links(pairs, members, texts, words, percent)
+    edges = materialize(edges, "links")
 
     roots = materialize(components(edges), "roots")
-    degree = edges.select(F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(F.count("*").alias("n_links"))
-    named = classed.join(roots, F.col("class") == F.col("node"), "left").join(degree, F.col("class") == F.col("of"), "left")
-    named = named.select("doc", "version", "class", "n_shingles", F.coalesce("root", "class").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    named = classed.join(roots, F.col("class") == F.col("node"), "left")
+    n_links = F.lit(None).cast("long")
+    if counted:
+        degree = materialize(link_counts(edges, spokes, percent), "degree")
+        named = named.join(degree, F.col("class") == F.col("of"), "left")
+        n_links = F.coalesce("n_links", F.lit(0).cast("long"))
+    named = named.select("doc", "version", "class", "n_shingles", F.coalesce("root", "class").alias("root"), n_links.alias("n_links"))
     named = materialize(named, "named")
     least = named.filter(F.col("doc") != packed.NO_ID).groupBy(F.col("root").alias("r")).agg(F.min("doc").alias("component"))
     joined = named.join(materialize(least, "least"), F.col("root") == F.col("r"), "left")
@@ -425,7 +532,7 @@ def keep_one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, i
 
     Documents without words are no copies of each other and stay.
     """
-    groups = similar_groups(docs, words, percent, id_col, text_col)
+    groups = similar_groups(docs, words, percent, id_col, text_col, counted=False)
     ids = groups.select(F.coalesce("doc_id", F.lit(packed.NO_ID)).alias("doc"), "version", "n_shingles", "root")
     first = ids.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc", "version")).alias("s")).select("s.doc", "s.version")
     kept = first.unionByName(ids.filter("n_shingles = 0").select("doc", "version").distinct())

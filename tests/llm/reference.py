@@ -54,6 +54,23 @@ def jaccard_components(rows, size=4, percent=85):
     return sorted((doc, len(sets[i]), least[root(i)] if sets[i] else doc) for i, (doc, _) in enumerate(rows))
 
 
+def jaccard_links(rows, size=4, percent=85):
+    """(id, number of other sets linked with the set of the row), comparing every pair of distinct sets."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset())
+    distinct = list({s for s in sets if s})
+    n = Counter()
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            o = len(a & b)
+            if o and 100 * o >= percent * (len(a) + len(b) - o):
+                n[a] += 1
+                n[b] += 1
+    return sorted((doc, n[s]) for (doc, _), s in zip(rows, sets, strict=True))
+
+
 def unigram_scores(rows):
     """id -> (tokens, known, training tokens, base score)."""
     counts = Counter()

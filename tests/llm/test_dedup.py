@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from disclosure_spark.llm import chunk_dedup, set_join, suffix_dedup
 
 from ..conftest import rows
-from .reference import jaccard_components, repeated_strings
+from .reference import jaccard_components, jaccard_links, repeated_strings
 
 SCHEMA = "doc_id long, text string"
 
@@ -95,6 +95,23 @@ def test_components_equal_brute_force(spark):
     assert rows(got) == sorted(jaccard_components(data), key=repr)
 
 
+@pytest.mark.parametrize("block", [1500, 40])
+def test_links_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(set_join, "SPOKE_BLOCK", block)
+    r = random.Random(6)
+    base = [f"t{i}" for i in range(160)]
+    near = []
+    for i in range(150):  # one template; each text has a word of its own, most also one that others share
+        b = list(base)
+        b[r.randrange(160)] = f"own{i}"
+        b[r.randrange(160)] = f"some{i % 7}"
+        b += [f"end{i % 5}"] * (i % 3)
+        near.append((10_000 + i, " ".join(b)))
+    data = shingled() + near
+    got = set_join.similar_groups(spark.createDataFrame(data, SCHEMA).repartition(3)).select("doc_id", "n_links")
+    assert rows(got) == sorted(jaccard_links(data), key=repr)
+
+
 def test_one_of_each_group_stays(spark):
     a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
     data = [(4, a), (2, a + " end"), (2, a + " end"), (7, b), (8, None), (9, "")]
