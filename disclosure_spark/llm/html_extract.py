@@ -2,8 +2,9 @@
 
 A page is cut into blocks at block-level tags.  The first pass labels each block from its length, its
 share of stop words, its share of linked characters and the containers it lies in.  Blocks that stay
-ambiguous (short ones, or ones with a middling share of stop words) take, in a second pass, the label
-of the nearest decided neighbours.
+ambiguous (short ones, or ones with few stop words) take, in a second pass, the label of the nearest decided
+neighbours.  Stop words alone condemn no block: on a page without an article or main element a long block with few
+links outside boilerplate containers goes only between two blocks of links on a page that has prose with stop words.
 
 Defined results: a null or empty page gives an empty text; unclosed tags, comments and scripts end with
 the page; repeated rows give repeated rows; an empty table gives an empty result; other columns of the
@@ -56,7 +57,7 @@ FRAME_NAMES = frozenset(
 )
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200
-STOP_LOW, STOP_HIGH = 0.30, 0.32
+STOP_HIGH = 0.32
 MAX_LINKS = 0.2
 BAD, AMBIGUOUS_SHORT, AMBIGUOUS_TEXT, GOOD = 0, 1, 2, 3
 
@@ -184,7 +185,22 @@ def first_pass(block: Block) -> int:
         return AMBIGUOUS_SHORT
     if share >= STOP_HIGH:
         return GOOD if n > LENGTH_HIGH else AMBIGUOUS_TEXT
-    return AMBIGUOUS_TEXT if share >= STOP_LOW or block.frame else BAD  # words alone don't condemn a block of a frame
+    return AMBIGUOUS_TEXT  # words alone don't condemn a block
+
+
+def _decide_long(blocks: list[Block], labels: list[int]) -> list[int]:
+    """Labels with the long ambiguous blocks decided: bad only between two blocks of links, and only where the page has good ones."""
+    if GOOD not in labels:
+        return [GOOD if label == AMBIGUOUS_TEXT else label for label in labels]
+    decided = [i for i, label in enumerate(labels) if label == GOOD or label == BAD and not blocks[i].bad]
+    out, k = list(labels), 0
+    for i, label in enumerate(labels):
+        while k < len(decided) and decided[k] < i:
+            k += 1
+        if label == AMBIGUOUS_TEXT:
+            between = 0 < k < len(decided) and labels[decided[k - 1]] == labels[decided[k]] == BAD
+            out[i] = BAD if between else GOOD
+    return out
 
 
 def second_pass(blocks: list[Block], labels: list[int]) -> list[bool]:
@@ -192,8 +208,11 @@ def second_pass(blocks: list[Block], labels: list[int]) -> list[bool]:
 
     If the two sides disagree, the nearer side wins, and at equal distance a text with stop words stays.
     The ends of a frame count as decided for it, so a block of a frame goes only between two bad ones.
+    On a page without frames the long ambiguous blocks are decided first, in the same way, and then count for the short ones.
     """
     n = len(blocks)
+    if not any(b.frame for b in blocks):
+        labels = _decide_long(blocks, labels)
     before: list[int | None] = [None] * n
     after: list[int | None] = [None] * n
     for order, found in ((range(n), before), (range(n - 1, -1, -1), after)):

@@ -155,3 +155,14 @@ def test_archive_round_trip(spark, tmp_path):
     assert got == sorted([(1, n, "revisit", 5), (5, n, "response", None), (5, n, "response", None), (3, n, "revisit", 5), (4, 5, "response", None), (6, 5, "response", None), (7, 0, "response", None)], key=repr)
     stored = captures.filter("record_type = 'response' and payload_bytes > 1000").head()
     assert bytes(stored.response.payload).decode() == big and stored.request.http_header.startswith("GET / HTTP/1.1")
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_paragraphs_stay_whatever_their_words_and_wrapper(tag):
+    prose = "It was the best of times and it was the worst of times, and we had all of it before us and none of it behind. " * 2
+    names = "Quarterly revenue rose sharply; analysts expected weaker demand across Asian semiconductor markets."
+    foreign = "Komisja Europejska przedstawiła wczoraj nowe przepisy dotyczące ochrony danych osobowych obywateli."
+    frame = "<nav><a href=/>Home</a></nav>{}<div><a href=x>More of what others have read today</a></div><footer>All rights of this site are kept by its owner and by nobody else.</footer>"
+    for paragraphs in ([names, prose, names, names], [foreign] * 3, [names, prose]):
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        assert html_extract.main_text(frame.format(f"<{tag} class=content>{body}</{tag}>")) == "\n".join(" ".join(p.split()) for p in paragraphs)
