@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from disclosure_spark.llm import byte_cnn, chunk_dedup, packing, set_join, winnowing
 from disclosure_spark.session import work_dir
 
+NEAR_WORDS, NEAR_PERCENT = 5, 80  # near-duplicates of the pipeline; op9 alone has its own contract of 4 and 85
 ORACLE_SQL = None  # a trained network and a tokenizer are beyond SQL
 
 
@@ -22,7 +23,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return set_join.keep_one_each(docs)
+    return set_join.keep_one_each(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,13 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert set(seen[3]) == clean and len(clean) < len(one_each)
     packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(packed["doc_id"]) == clean and packed.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_near_duplicates_of_the_stage_share_five_words_at_80_percent(spark):
+    words = [f"w{i}" for i in range(1000)]
+    other = [f"x{i}" if i % 45 == 20 and i < 22 * 45 else w for i, w in enumerate(words)]
+    assert sum(a != b for a, b in zip(words, other, strict=True)) == 22
+    data = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(other[:700]))]
+    kept = corpus_pipeline.keep_one_each(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
+    one_each = {doc for doc, _, component in jaccard_components(data, size=5, percent=80) if doc == component}
+    assert {x.doc_id for x in kept.collect()} == one_each == {1, 3}
