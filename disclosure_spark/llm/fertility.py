@@ -7,8 +7,8 @@ quartiles over all of its documents; a text outside any band is rejected.  Count
 lines and repeated three-word windows come along as the plain rules.
 
 Defined results: null and empty texts have no words and fail the plain rules; repeated rows are judged
-alike; a language with few documents takes the bands of the whole table; an empty table gives an empty
-result; other columns are ignored.
+alike; a language with few documents has a band of its own as well, wider the fewer they are; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,10 +101,12 @@ def repeated_words(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def window_entropy(ids: np.ndarray, window: int = WINDOW) -> float:
-    """Mean entropy of token windows as a share of the largest possible; a short rest joins no window unless it is all there is."""
+    """Mean entropy of token windows as a share of the largest possible; the last window reaches back from the end, so every token counts."""
     if len(ids) < 2:
         return 0.0
     rows = ids[: len(ids) // window * window].reshape(-1, window) if len(ids) >= window else ids[None, :]
+    if len(ids) > window and len(ids) % window:
+        rows = np.concatenate((rows, ids[None, -window:]))
     rows = np.sort(rows, axis=1)
     n = rows.shape[1]
     start = np.ones(rows.shape, dtype=bool)
@@ -165,14 +167,18 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def bands(measured: DataFrame, group_col: str = "band", spread: float = SPREAD) -> DataFrame:
-    """Lower and upper limit of each measure per group, and for the whole table in the row of the null group."""
+    """Lower and upper limit of each measure per group, from its own documents alone.
+
+    Below ``LEAST_DOCUMENTS`` the spread grows with the root of what is missing, as the error of quartiles does.
+    """
     limits = []
+    wide = F.lit(spread) * F.sqrt(F.greatest(F.lit(1.0), F.lit(LEAST_DOCUMENTS) / F.count("*")))
     for m in MEASURES:
         q = F.percentile_approx(m, [0.25, 0.5, 0.75], 2000)
         width = F.greatest(q[2] - q[0], F.lit(LEAST_WIDTH[m]))
-        limits += [(q[0] - spread * width).alias(f"{m}_low"), (q[2] + spread * width).alias(f"{m}_high")]
+        limits += [(q[0] - wide * width).alias(f"{m}_low"), (q[2] + wide * width).alias(f"{m}_high")]
     worded = measured.filter("n_tokens > 0")
-    return worded.rollup(group_col).agg(F.count("*").alias("documents"), F.grouping(group_col).alias("whole"), *limits)
+    return worded.groupBy(group_col).agg(F.count("*").alias("documents"), *limits)
 
 
 def apply_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, spread: float = SPREAD, **options) -> DataFrame:
@@ -182,12 +188,10 @@ def apply_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent:
     measured = materialize(measured, "fertility")
     limits = materialize(bands(measured, spread=spread), "bands")
     names = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
-    whole = limits.filter("whole = 1").select(*[F.col(n).alias(f"whole_{n}") for n in names])
-    own = limits.filter(f"whole = 0 and documents >= {LEAST_DOCUMENTS}").select("band", *names)
-    judged = measured.join(broadcast_if_small(own), "band", "left").join(F.broadcast(whole), how="left", on=F.lit(True))
+    judged = measured.join(broadcast_if_small(limits.select("band", *names)), "band", "left")
     inside = F.lit(True)
     for m in MEASURES:
-        inside &= F.col(m).between(F.coalesce(f"{m}_low", f"whole_{m}_low"), F.coalesce(f"{m}_high", f"whole_{m}_high"))
+        inside &= F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
