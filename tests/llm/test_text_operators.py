@@ -99,6 +99,16 @@ def test_base_scores_are_exact_and_the_model_reads_context(spark):
     assert sum(row.score for row in held) > sum(row.base_score for row in held)
 
 
+def test_scores_do_not_depend_on_the_words_sent(spark):
+    r = random.Random(3)
+    data = [(i, " ".join(r.choice(["alpha", "beta", "gamma", f"rare{r.randrange(60)}", f"w{i}"]) for _ in range(40))) for i in range(80)]
+    frame = spark.createDataFrame(data, SCHEMA)
+    few, all_ = ({x.doc_id: x for x in attention_lm.score_documents(frame, most_sent=n).collect()} for n in (1, 1 << 19))
+    for i, _ in data:
+        assert few[i].score == pytest.approx(all_[i].score, rel=1e-6) and few[i].base_score == pytest.approx(all_[i].base_score)
+        assert few[i].n_known == all_[i].n_known
+
+
 def test_classifier_separates_held_out_texts(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("aeiourstln") for _ in range(r.randint(2, 8)))
