@@ -109,6 +109,18 @@ def test_scores_do_not_depend_on_the_words_sent(spark):
         assert few[i].n_known == all_[i].n_known
 
 
+def test_classes_and_weights_learn_from_every_training_text(spark):
+    path, end = tokens.vocabulary_path(attention_lm.VOCABULARY), 5
+    data = [(i, " ".join(["red", "green", "blue"][(i + k) % 3] for k in range(2500))) for i in range(6)]
+    frame = spark.createDataFrame(data, SCHEMA).repartition(3)
+    column = attention_lm.context_columns(np.zeros(60_000, dtype=np.int64))
+    got = attention_lm.contexts_and_windows(frame, path, end, column, 16).toPandas()
+    memory = tokens.word_ids(path)
+    n = sum(len(v) // 4 for _, t in data for w in t.split() for v in [memory.learn({w})[w]])
+    assert got["n"].sum() == 2 * (n + len(data))  # all neighbours on both sides, beyond the first 1,024 ids of a text as well
+    assert abs(got["window"].notna().sum() - n / 16) <= 4 * len(data)
+
+
 def test_classifier_separates_held_out_texts(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("aeiourstln") for _ in range(r.randint(2, 8)))
