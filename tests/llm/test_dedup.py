@@ -62,6 +62,18 @@ def test_chunks_resist_shifts_and_short_phrases_stay(spark):
     assert {d.doc_id: d.text for d in again.collect()} == {i: d.text for i, d in got.items()}
 
 
+def test_passages_are_removed_to_their_ends(spark):
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(900)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    passages = [text(50) for _ in range(40)]
+    data = [(i, f"{text(30)} {p} {text(30)}") for i, p in enumerate(passages)]
+    data += [(100 + i, f"{text(20)} 0 {p} 1 {text(20)}") for i, p in enumerate(passages)]
+    got = {d.doc_id: d for d in chunk_dedup.remove_repeated_passages(spark.createDataFrame(data, SCHEMA)).collect()}
+    whole = [got[100 + i].n_removed == len(p) and p not in got[100 + i].text for i, p in enumerate(passages)]
+    assert sum(whole) >= 38  # before: none to its ends
+
+
 def shingled():
     r = random.Random(5)
     vocabulary = [f"w{i}" for i in range(3000)]
