@@ -41,3 +41,59 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
     coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join n using (doc_id) left join s using (doc_id)
 """
+
+_CRC32 = """crc_step(k, bit, v) as (
+    select k, 0, k::bigint from range(256) as r(k)
+    union all
+    select k, bit + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from crc_step where bit < 8
+), crc_table as (select list(v order by k) as t from crc_step where bit = 8)"""  # Fixed value: the reflected polynomial of crc32
+
+
+def _crc32(text: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)),
+        lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])))"""
+
+
+def _part(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::varchar))::varchar || ':' || {value}::varchar, '-')"
+
+
+def _leaf(count: str) -> str:
+    return "sha256(" + " || ".join(map(_part, ("doc_id", "source", "lang", count, "text"))) + ")"
+
+
+ORACLES["op11_merkle_manifest"] = f"""
+with recursive {_CRC32}, d as (
+    select row_number() over () as rid, doc_id, lang, {_leaf("n_chars")} as leaf,
+        case when {_crc32("doc_id::varchar")} % 7 = 0 then {_leaf("(n_chars + 1)")} end as forged
+    from documents, crc_table
+), leaves as (
+    select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n from d
+), low(lang, lvl, pos, n, h) as (
+    select lang, 0, pos, n, leaf from leaves
+    union all
+    select lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from low where n > 1 group by lang, lvl, n, pos // 2
+), subs as (
+    select lang, lvl as height, h, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from low where n = 1
+), top(lvl, pos, n, h) as (
+    select 0, pos, n, h from subs
+    union all
+    select lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from top where n > 1 group by lvl, n, pos // 2
+), whole as (select lvl as top_height, h as root from top where n = 1),
+steps as (
+    select rid, leaves.lang, leaves.pos as leaf_pos, subs.pos as sub_pos, height, unnest(range(height + top_height)) as step
+    from leaves join subs on leaves.lang is not distinct from subs.lang, whole
+), path as (
+    select rid, step, (case when step < height then leaf_pos >> step else sub_pos >> (step - height) end) % 2 = 1 as is_right, coalesce(low.h, top.h) as h
+    from steps
+    left join low on step < height and steps.lang is not distinct from low.lang and low.lvl = step and low.pos = xor(leaf_pos >> step, 1::bigint)
+    left join top on step >= height and top.lvl = step - height and top.pos = xor(sub_pos >> (step - height), 1::bigint)
+), fold(rid, step, acc) as (
+    select rid, 0::bigint, coalesce(forged, leaf) from leaves
+    union all
+    select rid, step + 1, sha256(case when h is null then acc when is_right then h || acc else acc || h end) from fold join path using (rid, step)
+), proofs as (select rid, sha256(coalesce(string_agg(h, '' order by step), '')) as proof from path group by rid),
+folded as (select rid, max_by(acc, step) as acc from fold group by rid)
+select doc_id, leaf, subs.h as subroot, root, coalesce(proof, sha256('')) as proof_sha256, acc as folded_root, acc = root as verified
+from leaves join subs on leaves.lang is not distinct from subs.lang cross join whole left join proofs using (rid) join folded using (rid)
+"""
