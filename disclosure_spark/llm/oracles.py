@@ -97,3 +97,34 @@ folded as (select rid, max_by(acc, step) as acc from fold group by rid)
 select doc_id, leaf, subs.h as subroot, root, coalesce(proof, sha256('')) as proof_sha256, acc as folded_root, acc = root as verified
 from leaves join subs on leaves.lang is not distinct from subs.lang cross join whole left join proofs using (rid) join folded using (rid)
 """
+
+# A run of period q has at least 16 words in a row that equal those q later, so runs of 16 words that come again give all candidates.
+ORACLES["op12_periodic_runs"] = rf"""
+with recursive {_CRC32}, d as (
+    select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w,
+        coalesce({_crc32("doc_id::varchar")}, 0) as h
+    from documents, crc_table
+), e as (
+    select *, len(w) as n, case when len(w) > 0 then (h // 10) % len(w) end as a, (h // 10) % 8 as g8 from d
+), v as (
+    select rid, doc_id, n, case when h % 10 = 0 and n > 0
+        then list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g8)) end]) else w end as w
+    from e
+), places as (select rid, n, unnest(range(n)) as i, w from v where n >= 24),
+grams as (select rid, n, i, array_to_string(w[i + 1:i + 16], ' ') as t from places where i + 16 <= n),
+same as (select l.rid, l.n, l.i, r.i - l.i as q from grams l join grams r on l.rid = r.rid and l.t = r.t and r.i > l.i and 3 * (r.i - l.i) <= l.n),
+islands as (
+    select rid, q, min(i) as s, count(*) + 15 + q as len
+    from (select *, i - row_number() over (partition by rid, q order by i) as island from same) group by rid, q, island
+), runs as (select rid, s, len, min(q) as q from islands where len >= greatest(24, 3 * q) group by rid, s, len),
+listed as (select rid, count(*) as n_runs, sha256(string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q)) as runs_sha256 from runs group by rid),
+best as (select * from runs qualify row_number() over (partition by rid order by len / q desc, s, q) = 1),
+dropped as (select distinct rid, unnest(range(s + q, s + len)) as i from runs),
+kept as (
+    select rid, string_agg(w[i + 1], ' ' order by i) as t
+    from (select rid, unnest(range(n)) as i, w from v) anti join dropped using (rid, i) group by rid
+)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, s::bigint as start, len::bigint as length, q::bigint as period, (1000 * len // q)::bigint as exponent_milli,
+    coalesce(runs_sha256, sha256('')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+from v left join listed using (rid) left join best using (rid) left join kept using (rid)
+"""

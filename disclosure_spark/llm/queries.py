@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from disclosure_spark.llm import attention_lm, byte_cnn, chunk_dedup, fertility, html_extract, merkle, packing, set_join, suffix_dedup, warc, winnowing
+from disclosure_spark.llm import attention_lm, byte_cnn, chunk_dedup, fertility, html_extract, merkle, packing, periodic, set_join, suffix_dedup, warc, winnowing
 from disclosure_spark.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,11 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.verification_summary(merkle.manifest(table(spark, sf_dir, "documents")))
 
 
+@register
+def op12_periodic_runs(spark, sf_dir):
+    return periodic.run_summary(table(spark, sf_dir, "documents"))
+
+
 @register
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
