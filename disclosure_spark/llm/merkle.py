@@ -3,7 +3,7 @@
 Incremental witnesses.  The leaves of a tree arrive in order.  Every open subtree keeps the partial witnesses of
 its leaves; when the next sibling of the same height completes, each side's witnesses take up the root
 of the other and the two become one open subtree.  At the end the last subtrees close, alone (the digest is hashed by
-itself) or with their left neighbour.  Leaves are dealt to aligned blocks of ``BLOCK`` leaves, one append stream each;
+itself) or with their left neighbour.  Leaves are dealt to aligned blocks of 2 ** ``BLOCK_LEVELS`` leaves, one append stream each;
 block roots are appended in the same way, level by level, until one node is left per group, and the roots of the
 groups are the leaves of the last tree.  So a row's witness is the one in its block, then the one of the
 block, and so on up to the root.
@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 from disclosure_spark.session import broadcast_if_small, materialize
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-BLOCK_LEVELS = 11
-BLOCK = 1 << BLOCK_LEVELS
+BLOCK_LEVELS = 11  # a block holds 2 ** 11 leaves
 ROWS_PER_PART = 400_000
 MAX_BROADCAST = 20_000  # summaries of blocks, at most two kilobytes each
 TAMPER_EVERY = 7
@@ -92,13 +91,13 @@ class Append:
         return tree[1]
 
 
-def _appended(rows: pd.DataFrame) -> pd.DataFrame:
+def _appended(rows: pd.DataFrame, levels: int) -> pd.DataFrame:
     """Witness of each node of a block, and the root of the block in the row of its first node."""
     rows = rows.sort_values("at", ignore_index=True)
     stream = Append()
     for node in rows["node"]:
         stream.add(node)
-    root = stream.close(BLOCK_LEVELS if rows["nodes"].iloc[0] > BLOCK else 0)
+    root = stream.close(levels if rows["nodes"].iloc[0] > 1 << levels else 0)
     roots = [root] + [None] * (len(rows) - 1)
     return rows[["tree", "at", "id", "node", "forged"]].assign(steps=stream.witnesses, root=roots)
 
@@ -137,7 +136,7 @@ def _placed(nodes: DataFrame, order: list[Column]) -> DataFrame:
     return joined.withColumn("at", F.col("offset") + F.col("place")).drop("of", "part", "in_part", "place", "offset")
 
 
-def trees(nodes: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+def trees(nodes: DataFrame, order: list[Column], levels: int = BLOCK_LEVELS) -> tuple[DataFrame, DataFrame]:
     """Witness steps of every node within its tree, and the root of every tree.
 
     ``nodes`` has the strings ``tree``, ``node`` and ``forged`` and an ``id`` of any kind; a tree takes its nodes by ``order``.
@@ -146,32 +145,32 @@ def trees(nodes: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
     schema = "tree string, at long, id string, node string, forged string, steps array<string>, root string"
 
     def append(level: DataFrame, name: str) -> DataFrame:
-        blocks = level.withColumn("block", F.col("at").bitwiseAND(F.lit(-BLOCK)))
-        return materialize(blocks.groupBy("tree", "block").applyInPandas(_appended, schema), name)
+        blocks = level.withColumn("block", F.shiftright("at", levels))
+        return materialize(blocks.groupBy("tree", "block").applyInPandas(lambda rows: _appended(rows, levels), schema), name)
 
     first = append(_placed(nodes, order), "witnesses")
-    levels, last = [], first
+    above, last = [], first
     while True:
         roots = last.filter(F.col("root").isNotNull())
         if not roots.filter(F.col("at") > 0).limit(1).count():
             break
-        number = F.shiftright("at", BLOCK_LEVELS)
+        number = F.shiftright("at", levels)
         sizes = roots.groupBy(F.col("tree").alias("of")).agg(F.count("*").alias("nodes"))
-        above = roots.select("tree", number.alias("at"), "id", F.col("root").alias("node"), F.lit(None).cast("string").alias("forged"))
-        last = append(above.join(sizes, F.col("tree").eqNullSafe(F.col("of"))).drop("of"), "block_witnesses")
-        levels.append(last)
-    if not levels:
+        blocks = roots.select("tree", number.alias("at"), "id", F.col("root").alias("node"), F.lit(None).cast("string").alias("forged"))
+        last = append(blocks.join(sizes, F.col("tree").eqNullSafe(F.col("of"))).drop("of"), "block_witnesses")
+        above.append(last)
+    if not above:
         return first.select("tree", F.col("id").cast(kind).alias("id"), "node", "forged", "steps"), roots.select("tree", "root")
     upper = None
-    for depth, level in enumerate(reversed(levels), 1):  # from the top down, so that every join has one small side
+    for depth, level in enumerate(reversed(above), 1):  # from the top down, so that every join has one small side
         part = level.select(F.col("tree").alias("of"), F.col("at").alias("number"), F.col("steps").alias("more"))
         if upper is not None:
-            joined = part.join(upper, F.col("of").eqNullSafe(F.col("up_of")) & (F.shiftright("number", BLOCK_LEVELS) == F.col("up_number")))
+            joined = part.join(upper, F.col("of").eqNullSafe(F.col("up_of")) & (F.shiftright("number", levels) == F.col("up_number")))
             part = materialize(joined.select("of", "number", F.concat("more", "up_more").alias("more")), "block_paths")
-        if depth < len(levels):
+        if depth < len(above):
             upper = broadcast_if_small(part.select(F.col("of").alias("up_of"), F.col("number").alias("up_number"), F.col("more").alias("up_more")), MAX_BROADCAST)
     part = broadcast_if_small(part, MAX_BROADCAST)
-    whole = first.join(part, F.col("tree").eqNullSafe(F.col("of")) & (F.shiftright("at", BLOCK_LEVELS) == F.col("number")))
+    whole = first.join(part, F.col("tree").eqNullSafe(F.col("of")) & (F.shiftright("at", levels) == F.col("number")))
     whole = whole.select("tree", F.col("id").cast(kind).alias("id"), "node", "forged", F.concat("steps", "more").alias("steps"))
     return whole, roots.select("tree", "root")
 
@@ -187,7 +186,7 @@ def folded(node: Column, steps: Column) -> Column:
     return F.aggregate(steps, node, up)
 
 
-def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, id_col: str = "doc_id", group_col: str = "lang", count_col: str = "n_chars") -> DataFrame:
+def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, id_col: str = "doc_id", group_col: str = "lang", count_col: str = "n_chars", levels: int = BLOCK_LEVELS) -> DataFrame:
     """Per row its ``leaf``, the ``subroot`` of its group, the ``root``, its witness ``steps``, and ``forged``.
 
     ``forged`` is the leaf of the row with one more in ``count_col``, for the rows that ``tampered`` names.
@@ -199,10 +198,10 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, id_col: str = "doc
         F.col(f"`{group_col}`").cast("string").alias("tree"), key.alias("id"), leaf(own).alias("node"),
         F.when(tampered(key), leaf(other)).alias("forged"),
     )
-    leaves, subroots = trees(materialize(nodes, "hashed"), [F.col("id").asc_nulls_first()])
+    leaves, subroots = trees(materialize(nodes, "hashed"), [F.col("id").asc_nulls_first()], levels)
     nothing = F.lit(None).cast("string")
     above = subroots.select(F.lit("all").alias("tree"), F.col("tree").alias("id"), F.col("root").alias("node"), nothing.alias("forged"))
-    groups, roots = trees(materialize(above, "subroots"), [F.col("id").asc_nulls_first()])
+    groups, roots = trees(materialize(above, "subroots"), [F.col("id").asc_nulls_first()], levels)
     groups = groups.join(F.broadcast(roots.select(F.col("tree").alias("all"), "root")), F.col("tree") == F.col("all"))  # one row
     groups = groups.select(F.col("id").alias("of"), F.col("node").alias("subroot"), F.col("steps").alias("more"), "root")
     joined = leaves.join(broadcast_if_small(groups, MAX_BROADCAST), F.col("tree").eqNullSafe(F.col("of")))

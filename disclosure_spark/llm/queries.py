@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from disclosure_spark.llm import attention_lm, byte_cnn, chunk_dedup, fertility, html_extract, merkle, packing, periodic, set_join, suffix_dedup, warc, winnowing
+from disclosure_spark.llm import attention_lm, byte_cnn, chunk_dedup, fertility, html_extract, merkle, packing, periodic, set_join, suffix_dedup, url_filter, warc, winnowing
 from disclosure_spark.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,12 @@ def op12_periodic_runs(spark, sf_dir):
     return periodic.run_summary(table(spark, sf_dir, "documents"))
 
 
+@register
+def op13_url_filters(spark, sf_dir):
+    model = url_filter.fit(url_filter.labelled_urls(spark))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark), model)
+
+
 @register
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
