@@ -32,7 +32,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from disclosure_spark.llm import packed
@@ -42,6 +41,8 @@ WORDS, PERCENT = 4, 85
 SMALL_GROUP = 6
 SPOKE_BLOCK = 1500  # spokes of a hub on either side of a block of pairs
 DENSE = 24  # classes from which on an element is counted by a matrix product
+HUB_PARTS = 64  # copies of a hub's text at most
+ROWS_PER_PART = 2000
 OPEN_PAIRS = 200  # of a group of a later round that are verified one by one
 SLICE_BYTES, FLUSH_SIGNATURES = 500_000, 250_000
 MAX_BROADCAST = 200_000
@@ -245,8 +246,12 @@ def _absent(x: np.ndarray, h: np.ndarray) -> np.ndarray:
     return x[h[np.minimum(np.searchsorted(h, x), len(h) - 1)] != x] if len(h) else x
 
 
-def _verify(batches: Iterator[pd.DataFrame], words: int, percent: int) -> Iterator[pd.DataFrame]:
-    """Whether hub and class are linked, and of a star the parts of the difference that the next round needs."""
+def _verify(batches: Iterator[pd.DataFrame], words: int, percent: int, counted: bool) -> Iterator[pd.DataFrame]:
+    """Whether hub and class are linked, and of a star the first part of the difference, as far as the next round needs it.
+
+    All spokes of a hub order their differences alike: shingles outside the hub first, then by hash.  Only a
+    linked spoke of which links are to be counted sends its whole difference.
+    """
     known: dict[int, np.ndarray] = {}
 
     def shingled(name: int, text: str) -> np.ndarray:
@@ -264,10 +269,10 @@ def _verify(batches: Iterator[pd.DataFrame], words: int, percent: int) -> Iterat
             linked.append(100 * (len(x) - len(new)) >= percent * (len(h) + len(new)))
             difference = np.concatenate((new, _absent(h, x))).view(np.int64) if star else new[:0].view(np.int64)
             lengths = [prefix_length(len(h), len(x), len(difference), linked[-1], other, percent) if star else 0 for other in (False, True)]
-            whole.append(difference)
             sizes.append(len(x))
             apart.append(0 if linked[-1] else lengths[0])
             near.append(lengths[0] if linked[-1] else lengths[1])
+            whole.append(difference if linked[-1] and counted else difference[:max(apart[-1], near[-1])])
         yield batch[["hub", "class", "star"]].assign(linked=linked, difference=whole, apart=apart, near=near, size=sizes)
 
 
@@ -309,11 +314,9 @@ def _next_groups(stars: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     Classes not linked to the hub meet each other by one part of their difference, and linked ones by another;
     in a mixed group only pairs of a linked and another class are open.
     """
-    each = stars.select("hub", "class", "linked", "apart", "near", F.explode("difference").alias("element"))
-    counts = each.groupBy(F.col("hub").alias("h"), F.col("element").alias("e")).agg(F.count("*").alias("n"))
-    rarest = W.partitionBy("hub", "class").orderBy("n", "element")  # one document's elements
-    ranked = each.join(counts, (F.col("hub") == F.col("h")) & (F.col("element") == F.col("e"))).withColumn("rank", F.row_number().over(rarest))
-    ranked = ranked.filter("n > 1 and rank <= greatest(apart, near)")
+    needed = F.slice("difference", F.lit(1), F.greatest("apart", "near").cast("int"))
+    ranked = stars.select("hub", "class", "linked", "apart", "near", F.posexplode(needed).alias("place", "element"))
+    ranked = ranked.withColumn("rank", F.col("place") + 1)
     sides = F.filter(F.array(F.when(F.col("rank") <= F.col("apart"), False), F.when(F.col("rank") <= F.col("near"), True)), lambda m: m.isNotNull())
     element = ranked.select("hub", "class", "linked", "element", F.explode(sides).alias("mixed"))
     element = element.select(F.xxhash64("hub", "mixed", "element").alias("group"), "class", "linked", "mixed").distinct()
@@ -331,21 +334,38 @@ def _next_groups(stars: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return pairs, many if many.limit(1).count() else None
 
 
-def links(pairs: DataFrame, members: DataFrame | None, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def _with_texts(work: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The texts beside every hub and class that may be linked or are of a star, in parts of even numbers of rows.
+
+    Sizes are compared before a text moves.  A hub's text goes once to each of up to ``HUB_PARTS`` parts of its spokes.
+    """
+    of_class = texts.select(F.col("class").alias("one"), F.col("size").alias("size_one"))
+    of_hub = texts.select(F.col("class").alias("two"), F.col("size").alias("size_two"))
+    sized = work.join(of_class, F.col("class") == F.col("one")).join(of_hub, F.col("hub") == F.col("two"))
+    close = 100 * F.least("size_one", "size_two") >= percent * F.greatest("size_one", "size_two")
+    sized = sized.filter(F.col("star") | close).select("hub", "class", "star", F.pmod(F.xxhash64("class"), F.lit(HUB_PARTS)).alias("part"))
+    sized = materialize(sized, "candidates")
+    parts = max(work.sparkSession.sparkContext.defaultParallelism, -(-sized.count() // ROWS_PER_PART))
+    one = texts.select(F.col("class").alias("one"), "text")
+    two = texts.select(F.col("class").alias("two"), F.col("text").alias("hub_text"))
+    hubs = sized.select("hub", "part").distinct().join(two, F.col("hub") == F.col("two")).select(F.col("hub").alias("of"), F.col("part").alias("of_part"), "hub_text")
+    spokes = sized.join(one, F.col("class") == F.col("one")).select("hub", "part", "class", "star", "text").repartition(parts, "hub", "part")
+    return spokes.join(hubs, (F.col("hub") == F.col("of")) & (F.col("part") == F.col("of_part"))).select("hub", "class", "star", "text", "hub_text")
+
+
+def links(pairs: DataFrame, members: DataFrame | None, texts: DataFrame, words: int = WORDS, percent: int = PERCENT, counted: bool = True) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between classes, through which every linked pair is connected, and the linked spokes of all hubs.
 
     A linked pair that is no link of the first frame has a hub in the second one to which both are linked.
+    ``texts`` holds class, size and text; differences of spokes are whole only if ``counted``.
     """
     found, spokes = [], []
-    one = texts.select(F.col("class").alias("one"), F.col("text"))
-    two = texts.select(F.col("class").alias("two"), F.col("text").alias("hub_text"))
     while True:
         work = pairs.select(F.col("a").alias("hub"), F.col("b").alias("class"), F.lit(False).alias("star"))
         if members is not None:
             work = work.unionByName(_stars(members).withColumn("star", F.lit(True)))
-        work = work.join(one, F.col("class") == F.col("one")).join(two, F.col("hub") == F.col("two"))
-        verified = work.select("hub", "class", "star", "text", "hub_text").mapInPandas(
-            lambda batches: _verify(batches, words, percent),
+        verified = _with_texts(work, texts, percent).mapInPandas(
+            lambda batches: _verify(batches, words, percent, counted),
             "hub long, class long, star boolean, linked boolean, difference array<long>, apart long, near long, size long",
         )
         verified = materialize(verified, "verified")
@@ -504,12 +524,12 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     pairs = materialize(pairs, "pairs")
 
     wanted = members.select("class").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("class"))).distinct()
-    speakers = classed.join(wanted, "class").groupBy("class").agg(F.min(F.struct("doc", "version")).alias("s"))
-    speakers = speakers.select("class", F.col("s.doc").alias("of"), F.col("s.version").alias("v"))
+    speakers = classed.groupBy("class").agg(F.min(F.struct("doc", "version", "n_shingles")).alias("s")).join(wanted, "class", "left_semi")
+    speakers = speakers.select("class", F.col("s.doc").alias("of"), F.col("s.version").alias("v"), F.col("s.n_shingles").alias("size"))
     speakers = broadcast_if_small(materialize(speakers, "speakers"), MAX_BROADCAST)
-    texts = base.join(speakers, (F.col("doc") == F.col("of")) & (F.col("version") == F.col("v"))).select("class", "text")
+    texts = base.join(speakers, (F.col("doc") == F.col("of")) & (F.col("version") == F.col("v"))).select("class", "size", "text")
     texts = materialize(texts, "texts")
-    edges, spokes = links(pairs, members, texts, words, percent)
+    edges, spokes = links(pairs, members, texts, words, percent, counted)
     edges = materialize(edges, "links")
 
     roots = materialize(components(edges), "roots")

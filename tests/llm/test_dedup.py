@@ -100,11 +100,12 @@ def shingled():
     return data
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize(("words", "percent", "counted"), [(4, 85, True), (5, 80, False)])
+def test_components_equal_brute_force(spark, words, percent, counted):
     data = shingled()
     frame = spark.createDataFrame(data, SCHEMA).withColumn("class", F.lit("own")).repartition(3)
-    got = set_join.similar_groups(frame).select("doc_id", "n_shingles", "component_id")
-    assert rows(got) == sorted(jaccard_components(data), key=repr)
+    got = set_join.similar_groups(frame, words, percent, counted=counted).select("doc_id", "n_shingles", "component_id")
+    assert rows(got) == sorted(jaccard_components(data, words, percent), key=repr)
 
 
 @pytest.mark.parametrize("block", [1500, 40])
@@ -131,9 +132,23 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 7, 8, 9] and kept.columns == ["doc_id", "text", "row"]
 
 
-def test_allocation_covers_every_band():
+@pytest.mark.parametrize(("percent", "first"), [(85, 6), (80, 4)])
+def test_allocation_covers_every_band(percent, first):
     for band in range(12):
-        low, high = set_join.bands()[band], set_join.bands()[band + 1] - 1
-        most = 15 * (high + 100 * high // 85) // 185
-        segments, deletions, empty, costly = set_join.allocate(band)
-        assert segments + deletions - empty - costly >= most + 1 and low >= 6
+        low, high = set_join.bands(percent)[band], set_join.bands(percent)[band + 1] - 1
+        most = (100 - percent) * (high + 100 * high // percent) // (100 + percent)
+        segments, deletions, empty, costly = set_join.allocate(band, percent)
+        assert segments + deletions - empty - costly >= most + 1 and low >= first
+
+
+def test_only_linked_and_counted_spokes_send_whole_differences():
+    import pandas as pd
+
+    base = [f"t{i}" for i in range(200)]
+    texts = {1: [*base[:150], "own"], 2: [f"u{i}" for i in range(200)]}
+    batch = pd.DataFrame([(9, c, True, " ".join(t), " ".join(base[:152])) for c, t in texts.items()], columns=["hub", "class", "star", "text", "hub_text"])
+    for counted in (True, False):
+        near, far = next(set_join._verify(iter([batch]), 4, 85, counted)).itertuples()
+        whole = len(set(set_join.shingles(" ".join(texts[1]))) ^ set(set_join.shingles(" ".join(base[:152]))))
+        assert near.linked and len(near.difference) == (whole if counted else min(whole, near.near))
+        assert not far.linked and len(far.difference) == max(far.apart, far.near) < 60
