@@ -336,6 +336,81 @@ select doc_id as report_id, cast(seq_id as integer) as seq_id, cast(dup as integ
          else words[{_V} % len(words) + 1] end), ' ') as tokens,
   array_to_string(positions, ' ') as masked_positions, array_to_string(masked_labels, ' ') as masked_labels
 from labels, bag"""
+_P = "doc_id || ':' || dup || ':' || seq_id || ':"
+ORACLES["mlm_pairs"] = f"""
+with recursive {VOCAB}, {PIECES},
+line_words as (
+  select doc_id, line, unnest(w) as word, generate_subscripts(w, 1) as idx
+  from (select doc_id, line, {basic('l')} as w from
+    (select doc_id, unnest(ls) as l, generate_subscripts(ls, 1) as line from (select doc_id, {lines("coalesce(text, '')")} as ls from documents)))),
+line_tokens as (
+  select doc_id, line, flatten(list(m.pieces order by idx)) as tokens from line_words join matched m using (word) group by 1, 2),
+docs as (
+  select doc_id, list(tokens order by line) as sents, list(len(tokens) order by line) as lens, count(*) as n,
+    row_number() over (order by md5(doc_id || ':12345'), doc_id) as rank
+  from line_tokens where len(tokens) > 0 group by doc_id),
+docs_upto as (select *, list_transform(range(1, n + 1), lambda i: list_sum(lens[1:i])) as upto, (select count(*) from docs) as n_docs from docs),
+targets as (
+  select doc_id, dup, n, upto, case when {uniform("doc_id || ':' || dup || ':length:12345'")} < 429496729
+    then 2 + {uniform("doc_id || ':' || dup || ':target:12345'")} % 124 else 125 end as t
+  from (select *, unnest(range(5)) as dup from docs_upto)),
+ends as (
+  select doc_id, dup, n, t, f, least(n, 1 + len(list_filter(upto, lambda u: u < t + case when f > 0 then upto[f] else 0 end))) as l
+  from (select *, unnest(range(n)) as f from targets)),
+cuts(doc_id, dup, seq_id, f, m, l, t, random) as (
+  select doc_id, dup, 0::bigint, f,
+    f + case when l - f = 1 then 1 else 1 + {uniform("doc_id || ':' || dup || ':0:split:12345'")} % (l - f - 1) end, l, t,
+    l - f = 1 or {uniform("doc_id || ':' || dup || ':0:next:12345'")} % 2 = 0
+  from ends where f = 0
+  union all
+  select e.doc_id, e.dup, c.seq_id + 1, e.f,
+    e.f + case when e.l - e.f = 1 then 1 else 1 + {uniform("e.doc_id || ':' || e.dup || ':' || (c.seq_id + 1) || ':split:12345'")} % (e.l - e.f - 1) end, e.l, e.t,
+    e.l - e.f = 1 or {uniform("e.doc_id || ':' || e.dup || ':' || (c.seq_id + 1) || ':next:12345'")} % 2 = 0
+  from cuts c join ends e on e.doc_id = c.doc_id and e.dup = c.dup and e.f = case when c.random then c.m else c.l end),
+drawn as (
+  select c.*, flatten(d.sents[f + 1 : m]) as a, d.rank,
+    case when not random or n_docs = 1 then d.rank else 1 + {uniform(_P + "partner:12345'")} % (n_docs - 1) end as other
+  from cuts c join docs_upto d using (doc_id)),
+met as (
+  select w.doc_id, dup, seq_id, random, a, greatest(1, t - len(a)) as need, m, l, sents, n,
+    {uniform("w.doc_id || ':' || dup || ':' || seq_id || ':at:12345'")} % n as b_at
+  from drawn w join (select sents, n, rank as source from docs) d
+    on d.source = case when random and other >= w.rank and (select count(*) from docs) > 1 then other + 1 else other end),
+sides as (
+  select doc_id, dup, seq_id, random, a,
+    case when random then flatten(sents[b_at + 1 : b_at + need])[1:need] else flatten(sents[m + 1 : l]) end as b
+  from met),
+fitted as (
+  select *, len(a) as x, len(b) as y, case when len(a) + len(b) <= 125 then len(a) when len(a) <= 62 and len(a) <= len(b) then len(a)
+      when len(b) <= 62 then 125 - len(b) else 63 end as ka,
+    case when len(a) + len(b) <= 125 then len(b) when len(b) <= 62 and len(b) < len(a) then len(b)
+      when len(a) <= 62 then 125 - len(a) else 62 end as kb
+  from sides),
+runs as (
+  select doc_id, dup, seq_id, random, ka, kb, ['[CLS]'] || a[p + 1 : p + ka] || ['[SEP]'] || b[q + 1 : q + kb] || ['[SEP]'] as original
+  from (select *, {uniform(_P + "front_a:12345'")} % (x - ka + 1) as p, {uniform(_P + "front_b:12345'")} % (y - kb + 1) as q from fitted)),
+seeded as (select *, md5(doc_id || ':' || seq_id || ':' || dup || ':12345') as d from runs),
+coded as (
+  select * exclude (d), list_transform(range(4), lambda i: cast('0x' || substr(d, 8 * i + 1, 8) as bigint) % 2147483647) as c
+  from seeded),
+masked as (
+  select *, list_sort(list_transform(
+      list_sort(list_transform(list_filter(range(1, len(original) - 1), lambda p: p <> ka + 1),
+        lambda p: ((((c[4] * p + c[3]) % 2147483647) * p + c[2]) % 2147483647 * p + c[1]) % 2147483647 * 4096 + p))
+        [1 : cast(least(20, greatest(1, round_even(len(original) * 0.15, 0))) as bigint)],
+      lambda r: r % 4096)) as positions
+  from coded),
+bag as (select list(token order by id) as words from vocab)
+select doc_id as report_id, cast(seq_id as integer) as seq_id, cast(dup as integer) as dup, random as is_random_next,
+  array_to_string(list_transform(range(len(original)), lambda p:
+    case when not list_contains(positions, p) then original[p + 1]
+         when {_U} < 80 then '[MASK]'
+         when {_U} < 90 then original[p + 1]
+         else words[{_V} % len(words) + 1] end), ' ') as tokens,
+  array_to_string(list_transform(range(len(original)), lambda p: case when p < ka + 2 then 0 else 1 end), ' ') as segment_ids,
+  array_to_string(positions, ' ') as masked_positions,
+  array_to_string(list_transform(positions, lambda p: original[p + 1]), ' ') as masked_labels
+from masked, bag"""
 ORACLES["oov_rate"] = f"""
 with recursive {VOCAB}, {PIECES}, {MLM},
 seen as (select token, count(*) as n from (select unnest(masked_labels) as token from labels) group by token)

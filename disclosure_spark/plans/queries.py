@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from disclosure_spark.functions import text as X
 from disclosure_spark.functions.vectors import take_dims
 from disclosure_spark.operators import (
-    corpora, curves, evaluation, features, membership, models, packing, prices, sampling,
+    corpora, curves, evaluation, features, membership, models, packing, pairs, prices, sampling,
 )
 from disclosure_spark.operators import text as text_ops
 from disclosure_spark.plans import proxies as V
@@ -254,6 +254,14 @@ def mlm_instances(spark, sf_dir):
     return instances.withColumns(joined)
 
 
+@register
+def mlm_pairs(spark, sf_dir):
+    vocab = vocabulary_of(spark, sf_dir)
+    instances = pairs.mlm_pairs(pairs.tokenized_sentences(V.documents(spark, sf_dir), vocab), vocab)
+    joined = {c: F.array_join(F.col(c).cast("array<string>"), " ") for c in ("tokens", "segment_ids", "masked_positions", "masked_labels")}
+    return instances.withColumns(joined)
+
+
 @register
 def oov_rate(spark, sf_dir):
     vocab = vocabulary_of(spark, sf_dir)
