@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from disclosure_spark.llm import packed
@@ -247,10 +248,10 @@ def _absent(x: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _verify(batches: Iterator[pd.DataFrame], words: int, percent: int, counted: bool) -> Iterator[pd.DataFrame]:
-    """Whether hub and class are linked, and of a star the first part of the difference, as far as the next round needs it.
+    """Whether hub and class are linked, and of a star the difference in short hashes for the next round.
 
-    All spokes of a hub order their differences alike: shingles outside the hub first, then by hash.  Only a
-    linked spoke of which links are to be counted sends its whole difference.
+    Equal short hashes of different shingles only add candidates.  A whole difference goes along for a
+    linked spoke if links are to be counted.
     """
     known: dict[int, np.ndarray] = {}
 
@@ -262,18 +263,19 @@ def _verify(batches: Iterator[pd.DataFrame], words: int, percent: int, counted:
         return known[name]
 
     for batch in batches:
-        linked, whole, apart, near, sizes = [], [], [], [], []
+        linked, whole, short, apart, near, sizes = [], [], [], [], [], []
         for hub, hub_text, name, text, star in zip(batch["hub"], batch["hub_text"], batch["class"], batch["text"], batch["star"], strict=True):
             h, x = shingled(hub, hub_text), shingled(name, text)
             new = _absent(x, h)
             linked.append(100 * (len(x) - len(new)) >= percent * (len(h) + len(new)))
             difference = np.concatenate((new, _absent(h, x))).view(np.int64) if star else new[:0].view(np.int64)
             lengths = [prefix_length(len(h), len(x), len(difference), linked[-1], other, percent) if star else 0 for other in (False, True)]
+            whole.append(difference if linked[-1] and counted else None)
+            short.append((difference >> 32).astype(np.int32))
             sizes.append(len(x))
             apart.append(0 if linked[-1] else lengths[0])
             near.append(lengths[0] if linked[-1] else lengths[1])
-            whole.append(difference if linked[-1] and counted else difference[:max(apart[-1], near[-1])])
-        yield batch[["hub", "class", "star"]].assign(linked=linked, difference=whole, apart=apart, near=near, size=sizes)
+        yield batch[["hub", "class", "star"]].assign(linked=linked, difference=whole, short=short, apart=apart, near=near, size=sizes)
 
 
 def prefix_length(hub: int, size: int, difference: int, linked: bool, other_linked: bool, percent: int) -> int:
@@ -314,12 +316,18 @@ def _next_groups(stars: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     Classes not linked to the hub meet each other by one part of their difference, and linked ones by another;
     in a mixed group only pairs of a linked and another class are open.
     """
-    needed = F.slice("difference", F.lit(1), F.greatest("apart", "near").cast("int"))
-    ranked = stars.select("hub", "class", "linked", "apart", "near", F.posexplode(needed).alias("place", "element"))
-    ranked = ranked.withColumn("rank", F.col("place") + 1)
+    row = F.xxhash64("hub", "class")
+    each = stars.select(row.alias("row"), "hub", F.explode("short").alias("e")).select("row", F.xxhash64("hub", "e").alias("element"))
+    # elements of one spoke alone come first in every order and match nothing, so only their number counts
+    counts = each.groupBy(F.col("element").alias("of")).agg(F.count("*").alias("n")).filter("n > 1")
+    rarest, one_row = W.partitionBy("row").orderBy("n", "element"), W.partitionBy("row")  # one document's elements
+    ranked = each.join(counts, F.col("element") == F.col("of")).withColumn("place", F.row_number().over(rarest)).withColumn("shared", F.count("*").over(one_row))
+    rows = stars.select(row.alias("star_row"), "class", "linked", "apart", "near", F.size("short").alias("all"))
+    ranked = ranked.join(rows, F.col("row") == F.col("star_row")).withColumn("rank", F.col("all") - F.col("shared") + F.col("place"))
+    ranked = ranked.filter("rank <= greatest(apart, near)")
     sides = F.filter(F.array(F.when(F.col("rank") <= F.col("apart"), False), F.when(F.col("rank") <= F.col("near"), True)), lambda m: m.isNotNull())
-    element = ranked.select("hub", "class", "linked", "element", F.explode(sides).alias("mixed"))
-    element = element.select(F.xxhash64("hub", "mixed", "element").alias("group"), "class", "linked", "mixed").distinct()
+    element = ranked.select("class", "linked", "element", F.explode(sides).alias("mixed"))
+    element = element.select(F.xxhash64("mixed", "element").alias("group"), "class", "linked", "mixed").distinct()
     sizes = element.groupBy(F.col("group").alias("g")).agg(F.count_if("linked").alias("yes"), F.count_if(~F.col("linked")).alias("no"))
     sizes = sizes.filter("no > 1 or yes > 0 and no > 0")
     again = element.join(sizes, F.col("group") == F.col("g")).drop("g").filter("mixed and yes > 0 and no > 0 or not mixed and no > 1")
@@ -357,7 +365,7 @@ def links(pairs: DataFrame, members: DataFrame | None, texts: DataFrame, words:
     """Verified links (a, b) between classes, through which every linked pair is connected, and the linked spokes of all hubs.
 
     A linked pair that is no link of the first frame has a hub in the second one to which both are linked.
-    ``texts`` holds class, size and text; differences of spokes are whole only if ``counted``.
+    ``texts`` holds class, size and text; the spokes have their differences only if ``counted``.
     """
     found, spokes = [], []
     while True:
@@ -366,7 +374,7 @@ def links(pairs: DataFrame, members: DataFrame | None, texts: DataFrame, words:
             work = work.unionByName(_stars(members).withColumn("star", F.lit(True)))
         verified = _with_texts(work, texts, percent).mapInPandas(
             lambda batches: _verify(batches, words, percent, counted),
-            "hub long, class long, star boolean, linked boolean, difference array<long>, apart long, near long, size long",
+            "hub long, class long, star boolean, linked boolean, difference array<long>, short array<int>, apart long, near long, size long",
         )
         verified = materialize(verified, "verified")
         found.append(verified.filter("linked").select(F.col("hub").alias("a"), F.col("class").alias("b")))
@@ -498,14 +506,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _costly_dropped(members: DataFrame, percent: int) -> DataFrame:
-    """Members of large groups, without the classes whose large groups fit into the segments to spare.
+    """Members of large groups; every class leaves as many of its largest groups of a band as it has segments to spare.
 
-    If a pair shares only costly and empty segments, both of its sets have more of them than can be spared.
+    A linked pair shares more groups than that.  The smallest of them, by size and name, is among the largest
+    of neither class, so both stay in it.
     """
     spare = F.array(*[F.lit(allocate(b, percent)[3]) for b in range(len(bands(percent)) - 1)])
-    counts = members.groupBy(F.col("class").alias("of"), F.col("band").alias("in_band")).agg(F.count("*").alias("n"))
-    counts = counts.filter(F.col("n") > F.element_at(spare, F.col("in_band").cast("int") + 1))
-    return members.join(counts, (F.col("class") == F.col("of")) & (F.col("band") == F.col("in_band")), "left_semi").select("class", "group")
+    sizes = members.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("n"))
+    largest = W.partitionBy("class", "band").orderBy(F.desc("n"), "group")  # the segments of one set
+    ranked = members.join(sizes, F.col("group") == F.col("g")).withColumn("rank", F.row_number().over(largest))
+    return ranked.filter(F.col("rank") > F.element_at(spare, F.col("band").cast("int") + 1)).select("class", "group")
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> DataFrame:

@@ -139,16 +139,3 @@ def test_allocation_covers_every_band(percent, first):
         most = (100 - percent) * (high + 100 * high // percent) // (100 + percent)
         segments, deletions, empty, costly = set_join.allocate(band, percent)
         assert segments + deletions - empty - costly >= most + 1 and low >= first
-
-
-def test_only_linked_and_counted_spokes_send_whole_differences():
-    import pandas as pd
-
-    base = [f"t{i}" for i in range(200)]
-    texts = {1: [*base[:150], "own"], 2: [f"u{i}" for i in range(200)]}
-    batch = pd.DataFrame([(9, c, True, " ".join(t), " ".join(base[:152])) for c, t in texts.items()], columns=["hub", "class", "star", "text", "hub_text"])
-    for counted in (True, False):
-        near, far = next(set_join._verify(iter([batch]), 4, 85, counted)).itertuples()
-        whole = len(set(set_join.shingles(" ".join(texts[1]))) ^ set(set_join.shingles(" ".join(base[:152]))))
-        assert near.linked and len(near.difference) == (whole if counted else min(whole, near.near))
-        assert not far.linked and len(far.difference) == max(far.apart, far.near) < 60
