@@ -188,3 +188,14 @@ def test_paragraphs_stay_whatever_their_words_and_wrapper(tag):
     for paragraphs in ([names, prose, names, names], [foreign] * 3, [names, prose]):
         body = "".join(f"<p>{p}</p>" for p in paragraphs)
         assert html_extract.main_text(frame.format(f"<{tag} class=content>{body}</{tag}>")) == "\n".join(" ".join(p.split()) for p in paragraphs)
+
+
+def test_scores_without_training_documents(spark):
+    held_out = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
+    frame = spark.createDataFrame([(i, "some words here") for i in held_out], SCHEMA)
+    got = attention_lm.score_documents(frame).collect()
+    assert sorted(r["doc_id"] for r in got) == held_out
+    for r in got:  # nothing known: every token has the least share, 0.1 of 0.1 * (0 + 1)
+        assert r["held_out"] and (r["n_tokens"], r["n_known"], r["train_tokens"]) == (4, 0, 0)
+        assert r["base_score"] == pytest.approx(0.0) and np.isfinite(r["score"])
+    assert attention_lm.score_documents(frame.limit(0)).count() == 0
