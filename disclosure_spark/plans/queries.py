@@ -225,8 +225,8 @@ def split_replay(spark, sf_dir):
 
 
 def vocabulary_of(spark, sf_dir):
-    """Tokens in id order; the benchmark table stands in for the vocabulary file."""
-    return corpora.vocabulary_tokens(corpora.build_vocabulary(V.table(spark, sf_dir, "benchmark")))
+    """The benchmark table stands in for the vocabulary file."""
+    return corpora.hold(corpora.build_vocabulary(V.table(spark, sf_dir, "benchmark")))
 
 
 @register
