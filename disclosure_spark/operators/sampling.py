@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from disclosure_spark.functions.order import SEED, hash_order
-from disclosure_spark.session import broadcast_if_small, local_if_small, single_value
+from disclosure_spark.session import broadcast_if_small, single_value
 
 _HEX_DIGITS = 3  # 4,096 buckets
 
@@ -144,50 +144,73 @@ def stratified_folds(
     return tiled.withColumn(out, passed_cuts(F.col(key), F.col("cuts"), seed)).drop("cuts").select(*df.columns, out)
 
 
+_CELLS = 1 << 16  # value ranges counted in one pass of a narrowing
+_RANK_AT_MOST = 100_000  # values that one task may rank
+
+
+def values_at_ranks(df: DataFrame, order: str, ranks: Sequence[int]) -> list[int]:
+    """The values standing at the given 1-based ranks of an integer column, found by counts alone.
+
+    Every wanted rank keeps a range of values that holds it, at first from the least to the largest
+    value.  A pass cuts each range into equal cells, counts the rows per cell (partial counts before the
+    shuffle) and keeps the cell with the rank, until the ranges hold few rows or one value.  What is left is
+    ranked, ``_RANK_AT_MOST`` rows a range at any table size.  Values may repeat; nulls are left out.
+    A rank that no row holds raises.
+    """
+    value = F.col(order).cast("long")
+    values = df.select(value.alias("v")).filter("v is not null")
+    seen = values.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    if any(not 1 <= r <= seen.n for r in ranks):
+        raise ValueError(f"ranks {list(ranks)} are not all among {seen.n} rows")
+    at = [{"low": seen.low, "high": seen.high, "rank": r, "rows": seen.n} for r in ranks]
+    while wide := [i for i, a in enumerate(at) if a["rows"] > _RANK_AT_MOST and a["low"] < a["high"]]:
+        cells = max(2, _CELLS // len(wide))
+        width = {i: (at[i]["high"] - at[i]["low"]) // cells + 1 for i in wide}
+        # a range may span more than a long holds, so distances are decimals
+        place = [
+            F.when(F.col("v").between(at[i]["low"], at[i]["high"]), F.struct(
+                F.lit(i).alias("i"),
+                F.expr(f"(cast(v as decimal(20,0)) - {at[i]['low']}bd) div {width[i]}bd").alias("cell"),
+            ))
+            for i in wide
+        ]
+        spots = values.select(F.explode(F.filter(F.array(*place), lambda p: p.isNotNull())).alias("p"))
+        counts = spots.groupBy("p.i", "p.cell").agg(F.count("*").alias("n")).collect()  # at most _CELLS rows
+        found: dict[int, list] = {i: [] for i in wide}
+        for row in counts:
+            found[row["i"]].append((row["cell"], row["n"]))
+        for i in wide:
+            before = 0
+            for cell, n in sorted(found[i]):
+                if before + n >= at[i]["rank"]:
+                    low = at[i]["low"] + cell * width[i]
+                    at[i] = {"low": low, "high": min(at[i]["high"], low + width[i] - 1), "rank": at[i]["rank"] - before, "rows": n}
+                    break
+                before += n
+    open_ = [i for i, a in enumerate(at) if a["low"] < a["high"]]
+    if open_:
+        inside = [F.when(F.col("v").between(at[i]["low"], at[i]["high"]), F.lit(i)) for i in open_]
+        band = values.select("v", F.explode(F.array_compact(F.array(*inside))).alias("i"))
+        wanted = F.element_at(F.create_map(*[F.lit(x) for i in open_ for x in (i, at[i]["rank"])]), F.col("i"))
+        ranked = band.withColumn("rn", F.row_number().over(W.partitionBy("i").orderBy("v"))).filter(F.col("rn") == wanted)
+        for row in ranked.collect():  # one row per rank
+            at[row["i"]]["low"] = row["v"]
+    return [a["low"] for a in at]
+
+
 def contiguous_folds(df: DataFrame, order: str, k: int = 5, *, out: str = "fold") -> DataFrame:
-    """Folds 0..k-1 as near-equal runs of a unique numeric order column (``ntile`` without its one task).
+    """Folds 0..k-1 as near-equal runs of a unique integer order column (``ntile`` without its one task).
 
-    Approximate percentiles with a known error fence each cut in a narrow band; rows below the
-    band are counted, and only the band itself is ranked.
+    The last value of each fold is found by :func:`values_at_ranks`, then every row is labelled where it
+    lies.  Of fewer than k rows the last folds stay empty.  Equal values share the fold of the last one
+    before the cut; a null has no fold.
     """
-    accuracy = 10_000
-    # the sketch errs by one part in ``accuracy``, a tile end lies within k rows of i * n / k
-    slack = (k + 2) / accuracy
-    probs = [p for i in range(1, k) for p in (max(0.0, i / k - slack), min(1.0, i / k + slack))]
-    value = F.col(order)
-    summary = df.agg(
-        F.count("*").alias("n"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
-        F.percentile_approx(value, probs, accuracy).alias("p"),
-    )
-    summary = local_if_small(summary, 1)[0]
-    few = F.col("n") < accuracy  # a small table is its own band
-    fence = summary.select(
-        F.struct(
-            "n",
-            _tile_ends(F.col("n"), k).alias("ranks"),
-            F.array(*[F.when(few, F.col("low")).otherwise(F.col("p")[2 * i]) for i in range(k - 1)]).alias("lo"),
-            F.array(*[F.when(few, F.col("high")).otherwise(F.col("p")[2 * i + 1]) for i in range(k - 1)]).alias("hi"),
-        )
-    )
-    fenced = df.select(value.alias("v"), fence.scalar().alias("f"))
-    below = single_value(
-        fenced.agg(F.array(*[F.count_if(F.col("v") < F.col("f.lo")[i]) for i in range(k - 1)]).alias("below"))
-    )
-    band = F.filter(
-        F.sequence(F.lit(0), F.lit(k - 2)),
-        lambda i: F.col("v").between(F.col("f.lo")[i], F.col("f.hi")[i]),
-    )
-    ranked = (
-        fenced.select("v", F.explode(band).alias("i"), F.col("f.ranks").alias("ranks"))
-        .withColumn("rn", F.row_number().over(W.partitionBy("i").orderBy("v")))
-        .withColumn("below", below)
-        .filter(F.col("rn") + F.col("below")[F.col("i")] == F.col("ranks")[F.col("i")])
-    )
-    cuts = single_value(ranked.agg(F.sort_array(F.collect_list("v")).alias("cuts")))
-    place = F.size(F.filter(F.col("_cuts"), lambda c: value > c))
-    return df.withColumn("_cuts", cuts).withColumn(out, place).drop("_cuts")
+    n = df.filter(F.col(order).isNotNull()).count()
+    ends = [n // k * i + min(i, n % k) for i in range(1, k)]
+    at_ends = values_at_ranks(df, order, sorted({e for e in ends if e})) if n else []
+    cuts = F.array(*[F.lit(c).cast("long") for c in at_ends]) if at_ends else F.array().cast("array<long>")
+    place = F.size(F.filter(cuts, lambda c: F.col(order) > c))
+    return df.withColumn(out, F.when(F.col(order).isNotNull(), place))
 
 
 def hash_rank(df: DataFrame, key: Column, *, by: Sequence[str] = (), seed: int = SEED, out: str = "ord") -> DataFrame:

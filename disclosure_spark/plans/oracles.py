@@ -293,6 +293,15 @@ ORACLES["subtoken_runs"] = f"""
 with recursive {VOCAB}, {PIECES}
 select array_to_string(pieces, ' ') as run, cast(sum(n) as bigint) as n from matched where len(pieces) > 1 group by 1"""
 
+ORACLES["frequent_runs"] = f"""
+with recursive {VOCAB}, {PIECES},
+runs as (select array_to_string(pieces, ' ') as run, cast(sum(n) as bigint) as n from matched where len(pieces) > 1 group by 1)
+select row_number() over (order by n desc, run) as rank, run, n from runs"""
+ORACLES["ordered_index"] = """
+select row_number() over (order by cast(o_orderdate as date), o_orderkey) - 1 as position, o_orderkey as report_id,
+  o_custkey % (select count(*) from supplier) as ticker, strftime(cast(o_orderdate as date), '%Y-%m-%d') as filing_date
+from orders"""
+
 
 def uniform(text: str) -> str:
     return f"cast('0x' || substr(md5({text}), 1, 8) as bigint)"

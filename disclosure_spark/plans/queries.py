@@ -493,6 +493,21 @@ def lines_by_word_count(spark, sf_dir):
     return back.select("words_in_sequence", F.col("value").alias("line"))
 
 
+@register
+def ordered_index(spark, sf_dir):
+    """The report index written in order of date and report, with the position of each row in the files."""
+    path = work_dir(spark, "ordered-index")
+    sinks.write_ordered(V.reports(spark, sf_dir), path, "filing_date", "report_id")
+    return sinks.read_ordered(spark, path).select("position", "report_id", "ticker", _day("filing_date"))
+
+
+@register
+def frequent_runs(spark, sf_dir):
+    """All runs of sub-word tokens, numbered by falling frequency, then by text."""
+    runs = corpora.subtoken_runs(corpora.word_pieces(V.documents(spark, sf_dir), vocabulary_of(spark, sf_dir)))
+    return corpora.ranked_runs(runs)
+
+
 @register
 def price_insert(spark, sf_dir):
     """Insert under a primary key: half the prices are stored, the whole table comes in again."""

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from disclosure_spark.operators.numbering import range_sorted
 from disclosure_spark.operators.prices import new_rows
+from disclosure_spark.session import broadcast_if_small
 
 
 def _as_text(df: DataFrame) -> DataFrame:
@@ -43,6 +46,23 @@ def write_table(df: DataFrame, path: str, *partition_by: str, mode: str = "overw
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+def write_ordered(df: DataFrame, path: str, *order: str, mode: str = "overwrite") -> None:
+    """Parquet whose files, read in the order of their names, give the whole table sorted by ``order`` (nulls first).
+
+    Ranges of the order go to one task each, so nothing passes through one machine.
+    """
+    range_sorted(df, order).write.mode(mode).parquet(path)
+
+
+def read_ordered(spark: SparkSession, path: str, out: str = "position") -> DataFrame:
+    """A table of :func:`write_ordered` with the 0-based ``out`` of each row over all its files."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_file")) - F.col("_n")  # one row per file
+    joined = rows.join(broadcast_if_small(sizes.select("_file", before.alias("_before"))), "_file")
+    return joined.withColumn(out, F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
 def write_trading_days(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Prices sorted by ticker and date inside each file, so that later scans skip row groups."""
     df.hint("rebalance", F.col("ticker")).sortWithinPartitions("ticker", "date").write.mode(mode).parquet(path)

@@ -125,3 +125,15 @@ def test_label_stream_waits_for_the_window(spark, tmp_path):
         seen.append(rows(spark.read.parquet(f"{store}/labels"), "report_id", "change_ratio"))
     assert seen == [[], [], [(1, 0.2)]]
     assert rows(spark.read.parquet(f"{store}/pending-2"), "report_id") == [(2,)]
+
+
+def test_ordered_files_follow_one_another(spark, tmp_path):
+    made = [(i * 7919 % 501, f"k{i}") for i in range(3000)] + [(None, "n")]
+    df = spark.createDataFrame(made, "a int, b string").repartition(5)
+    path = str(tmp_path / "ordered")
+    K.write_ordered(df, path, "a", "b")
+    back = sorted(K.read_ordered(spark, path).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in back] == list(range(len(made)))
+    assert [(r["a"], r["b"]) for r in back] == sorted(made, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    K.write_ordered(df.limit(0), path, "a")
+    assert K.read_ordered(spark, path).count() == 0

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,30 @@ def test_contiguous_folds(spark, n):
     assert [f for _, f in out] == expected
 
 
+def test_values_at_ranks(spark, monkeypatch):
+    monkeypatch.setattr(SP, "_RANK_AT_MOST", 20)
+    monkeypatch.setattr(SP, "_CELLS", 64)
+    drawn = random.Random(11)
+    made = [drawn.choice([3, -2**63, 2**63 - 1, drawn.randrange(10**12), drawn.randrange(50)]) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in [*made, None]], "v long")
+    ranks = [1, 2, 399, 400, 777, 1500, 1999, 2000]
+    assert SP.values_at_ranks(df, "v", ranks) == [sorted(made)[r - 1] for r in ranks]
+    with pytest.raises(ValueError):
+        SP.values_at_ranks(df, "v", [2001])
+
+
+def test_contiguous_folds_by_narrowing(spark, monkeypatch):
+    monkeypatch.setattr(SP, "_RANK_AT_MOST", 20)
+    monkeypatch.setattr(SP, "_CELLS", 64)
+    test_contiguous_folds(spark, 2003)
+
+
+def test_contiguous_folds_of_nulls_and_ties(spark):
+    df = spark.createDataFrame([(None,), (4,), (4,), (4,), (9,)], "v long")
+    assert rows(SP.contiguous_folds(df, "v", 2)) == sorted([(None, None), (4, 0), (4, 0), (4, 0), (9, 1)], key=repr)
+    assert SP.contiguous_folds(df.limit(0), "v").count() == 0
+
+
 def test_hash_rank(people):
     out = SP.hash_rank(people, F.col("id"), by=["cls"])
     for cls in "abc":
