@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import re
+import string
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
+from pyspark import SparkContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -14,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from disclosure_spark.functions.vectors import round_all, standardize
+from disclosure_spark.operators.kernel import SEED, merged_vectors, uniform
 from disclosure_spark.session import broadcast_if_small, single_value
 
 
@@ -106,10 +111,13 @@ def embed(
     order: str = "chunk",
     text: str = "text",
     digits: int = 6,
+    most_characters: int = 1 << 18,
 ) -> DataFrame:
     """``(key, step, embedding)`` from a caller-supplied network, run on Arrow batches in the tasks.
 
-    ``network`` maps a list of texts to a matrix with one row each; values are rounded half to even.
+    ``network`` maps a list of texts to a matrix with one row each; values are rounded half to even.  A call
+    gets texts of at most ``most_characters`` together, or a single longer one, so its memory is bounded by the
+    work and not by the number of rows.  A null text is an empty one.
     """
     import pyspark.sql.types as T
 
@@ -120,22 +128,108 @@ def embed(
 
     def run(batches):
         for pdf in batches:
-            rows = np.asarray(network(pdf[text].tolist()), dtype=float) if len(pdf) else np.empty((0, 0))
-            yield pd.DataFrame({key: pdf[key], "step": pdf[order].astype("int32"), "embedding": list(rows)})
+            texts = pdf[text].fillna("")
+            ends = texts.str.len().cumsum().to_numpy()
+            start = 0
+            while start < len(pdf):
+                done = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, done + most_characters, side="right")))
+                rows = np.asarray(network(texts.iloc[start:stop].tolist()), dtype=float)
+                part = pdf.iloc[start:stop]
+                yield pd.DataFrame({key: part[key], "step": part[order].astype("int32"), "embedding": list(rows)})
+                start = stop
 
     raw = chunks.select(key, order, text).mapInPandas(run, schema)
     return raw.withColumn("embedding", round_all(F.col("embedding"), digits))
 
 
-def as_vector(features: Column) -> Column:
-    return array_to_vector(features)
+@functools.lru_cache(maxsize=1 << 16)
+def _word_hash(word: str) -> int:
+    return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+
+
+def hashed_projection(
+    context: SparkContext, width: int = 32, buckets: int = 1_024, seed: int = SEED
+) -> Callable[[Sequence[str]], np.ndarray]:
+    """A network for ``embed``: mean over a text's words of one hashed row of a seeded weight matrix.
+
+    Words are maximal stretches without blanks, lower-cased in A-Z; the bucket of a word is its md5 modulo ``buckets``
+    (first 8 hex digits), weights lie evenly in (-1, 1).  The matrix is sent to each worker once.  A text without
+    words becomes zeros.
+    """
+    weights = np.array([[2 * uniform(seed, b, j) - 1 for j in range(width)] for b in range(buckets)])
+    held = context.broadcast(weights)
+    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    words = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def run(texts: Sequence[str]) -> np.ndarray:
+        out = np.zeros((len(texts), width))
+        for row, text in enumerate(texts):
+            found = [_word_hash(w) % buckets for w in words.findall(text.translate(lower))]
+            if found:
+                out[row] = np.bincount(found, minlength=buckets) @ held.value / len(found)
+        return out
+
+    return run
+
+
+def covariance(df: DataFrame, features: str = "features") -> np.ndarray:
+    """Population covariance; deviations from the mean are multiplied in the tasks and summed in two rounds.
+
+    The matrix itself reaches the driver: its size is the square of the number of features and does not
+    depend on rows.
+    """
+    if df.isEmpty():
+        return np.zeros((0, 0))
+    fitted = moments(df, features).first()
+    mean = np.array(fitted["mean"])
+    width = len(mean)
+
+    def products(batches):
+        total = np.zeros((width, width))
+        for pdf in batches:
+            if len(pdf):
+                x = np.vstack(pdf[features].to_numpy()) - mean
+                total += x.T @ x
+        yield pd.DataFrame({"at": np.arange(width, dtype=np.int32), "vector": list(total)})
+
+    summed = np.zeros((width, width))
+    for r in merged_vectors(df.select(features).mapInPandas(products, "at int, vector array<double>"), "at").collect():
+        summed[r["at"]] = r["vector"]
+    return summed / fitted["n"]
+
+
+def principal_axes(matrix: np.ndarray, dims: int, steps: int = 1_000) -> np.ndarray:
+    """Leading eigenvectors (one a row) by power iteration, each taken out of the matrix before the next one.
+
+    The start is ``1, 1/2, 1/3, ...`` and the number of steps fixed, so that any other engine finds the same
+    values; the largest loading (the first of equals) is positive.  Where nothing is left to explain, an axis is zero.
+    """
+    left, axes = np.array(matrix, dtype=float), []
+    floor = 1e-12 * np.trace(left)
+    for _ in range(dims):
+        v = 1 / np.arange(1, len(left) + 1)
+        for _ in range(steps):
+            turned = left @ v
+            size = np.sqrt(turned @ turned)
+            if size <= floor * np.sqrt(v @ v):
+                v = np.zeros_like(v)
+                break
+            v = turned / size
+        if v.any():
+            v = v * np.sign(v[np.argmax(np.abs(v))])
+        axes.append(v)
+        left = left - (v @ left @ v) * np.outer(v, v)
+    return np.array(axes)
 
 
 def project(df: DataFrame, features: str = "features", dims: int = 2) -> DataFrame:
-    """First principal components of already scaled features, as ``pc1, pc2, ...`` (sign is free)."""
-    prepared = df.withColumn("_v", array_to_vector(F.col(features)))
-    model = PCA(k=dims, inputCol="_v", outputCol="_pc").fit(prepared)
-    points = model.transform(prepared).withColumn("_pc", vector_to_array("_pc"))
-    return points.select(
-        *[c for c in df.columns if c != features], *[F.col("_pc")[i].alias(f"pc{i + 1}") for i in range(dims)]
-    )
+    """First principal components of already scaled features, as ``pc1, pc2, ...``."""
+    axes = principal_axes(covariance(df, features), dims)
+
+    def along(axis: np.ndarray) -> Column:
+        loadings = F.lit([float(v) for v in axis]) if len(axis) else F.array().cast("array<double>")
+        return F.aggregate(F.zip_with(features, loadings, lambda x, w: x * w), F.lit(0.0), lambda total, x: total + x)
+
+    kept = [c for c in df.columns if c != features]
+    return df.select(*kept, *[along(axis).alias(f"pc{i + 1}") for i, axis in enumerate(axes)])

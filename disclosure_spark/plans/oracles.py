@@ -761,3 +761,115 @@ fitted as (
 select p.report_id, p.split, p.step, cast(p.idx as integer) as idx, round((p.v - f.m) / f.s, 6) as value
 from placed p join fitted f using (idx)"""
 ORACLES["sequence_total"] = "select count(*) as n_sequences from embeddings"
+
+# --- kernel machine: weights, features and descent rebuilt ---------------------------------------
+
+RFF_WIDTH, RFF_GAMMA, RFF_STEPS = 16, 0.01, 12
+
+
+def _uniform(name: str) -> str:
+    return f"((cast('0x' || substr(md5({name}), 1, 13) as bigint)::double + 0.5::double) / 4503599627370496::double)"
+
+
+RFF = f"""
+directions as (
+  select i, j, sqrt(-2 * ln({_uniform("'42:r:' || i || ':' || j")})) * cos(2 * pi() * {_uniform("'42:a:' || i || ':' || j")}) as w
+  from range(64) a(i), range({RFF_WIDTH}) b(j)),
+phases as (select j, 2 * pi() * {_uniform("'42:b:' || j")} as b from range({RFF_WIDTH}) t(j))"""
+
+
+def _lifted(source: str, columns: str) -> str:
+    """Fourier features of ``source (columns, idx, z)``."""
+    return f"""
+  select {columns}, p.j, sqrt(2.0::double / {RFF_WIDTH}) * cos(sqrt(2 * {RFF_GAMMA}::double) * x.dot + p.b) as z
+  from (select {columns}, d.j, sum(s.z * d.w) as dot from {source} s join directions d on d.i = s.idx group by {columns}, d.j) x
+  join phases p on p.j = x.j"""
+
+
+ORACLES["rff_lift"] = f"""
+with cells as (
+  select vec_id as report_id, generate_subscripts(embedding, 1) - 1 as idx, cast(unnest(embedding) as double) as v from embeddings),
+fitted as (select idx, avg(v) as m, case when stddev_pop(v) = 0 then 1 else stddev_pop(v) end as s from cells group by idx),
+scaled as (select c.report_id, c.idx, (c.v - f.m) / f.s as z from cells c join fitted f using (idx)), {RFF},
+lifted as ({_lifted('scaled', 'report_id')})
+select report_id, cast(j as integer) as at, round(z, 6) + 0::double as value from lifted"""
+
+
+def _descent() -> str:
+    steps = [f"w0 as (select j, 0::double as now, 0::double as before from range({RFF_WIDTH} + 1) t(j))"]
+    for t in range(RFF_STEPS):
+        steps.append(f"""
+a{t} as materialized (select j, now, now + {t}::double / {t + 3} * (now - before) as ahead from w{t}),
+s{t} as materialized (
+  select r.report_id, any_value(r.sign) as sign, greatest(0, 1 - any_value(r.sign) * sum(r.z * a.ahead)) as slack
+  from train r join a{t} a using (j) group by r.report_id),
+w{t + 1} as materialized (
+  select a.j, a.ahead - 1 / (6 + 1 / n.n) * (g.g / n.n + case when a.j < {RFF_WIDTH} then a.ahead / n.n else 0 end) as now,
+         a.now as before
+  from a{t} a join (select r.j, sum(-2 * s.sign * s.slack * r.z) as g from train r join s{t} s using (report_id) group by r.j) g using (j),
+       n)""")
+    return ",".join(steps)
+
+
+ORACLES["svm_margin"] = f"""
+with {PARTS}, {RFF},
+lifted as materialized ({_lifted('scaled', 'report_id, split, y')}
+  union all select report_id, split, y, {RFF_WIDTH}, 1::double from parts),
+train as materialized (select report_id, j, z, case when y = 1 then 1::double else -1::double end as sign from lifted where split = 'train'),
+n as materialized (select count(*)::double as n from parts where split = 'train'), {_descent()},
+margins as (
+  select l.report_id, l.y, sum(l.z * w.now) as margin from lifted l join w{RFF_STEPS} w using (j)
+  where l.split = 'test' group by 1, 2)
+select report_id, y, cast(margin > 0 as integer) as pred, round(margin, 6) as margin from margins"""
+
+# --- principal components by power iteration ------------------------------------------------------
+
+
+def _power(name: str, matrix: str) -> str:
+    """A thousand steps from 1, 1/2, 1/3, ..., then the sign by the largest loading."""
+    return f"""
+{name}_steps as (
+  select 0 as t, list_transform(range(1, 65), lambda i: 1 / i::double) as v
+  union all
+  select t + 1, list_transform(y, lambda e: e / sqrt(list_dot_product(y, y)))
+  from (select s.t, list_transform(m.m, lambda r: list_dot_product(r, s.v)) as y from {name}_steps s, {matrix} m where s.t < 1000)),
+{name} as materialized (
+  select list_transform(v, lambda e: e * sign(v[list_position(a, list_max(a))])) as v
+  from (select v, list_transform(v, lambda e: abs(e)) as a from {name}_steps where t = 1000))"""
+
+
+ORACLES["pca_points"] = f"""
+with recursive cells as (
+  select vec_id as report_id, label, generate_subscripts(embedding, 1) - 1 as idx, cast(unnest(embedding) as double) as v from embeddings),
+fitted as (select idx, avg(v) as m, case when stddev_pop(v) = 0 then 1 else stddev_pop(v) end as s from cells group by idx),
+scaled as materialized (
+  select c.report_id, c.label, list((c.v - f.m) / f.s order by c.idx) as z from cells c join fitted f using (idx) group by 1, 2),
+flat as (select report_id, generate_subscripts(z, 1) as idx, unnest(z) as z from scaled),
+cov as (select a.idx as i, b.idx as j, covar_pop(a.z, b.z) as c from flat a join flat b using (report_id) group by 1, 2),
+first_matrix as materialized (select list(r order by i) as m from (select i, list(c order by j) as r from cov group by i)),
+{_power('first_axis', 'first_matrix')},
+second_matrix as materialized (
+  select list_transform(m.m, lambda r, i: list_transform(r, lambda c, j: c - m.size * m.v[i] * m.v[j])) as m
+  from (select m, v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) as size
+        from first_matrix, first_axis) m),
+{_power('second_axis', 'second_matrix')}
+select s.report_id, case when s.label >= 5 then 'positive' else 'negative' end as change_nominal,
+       round(list_dot_product(s.z, a.v), 6) + 0::double as pc1, round(list_dot_product(s.z, b.v), 6) + 0::double as pc2
+from scaled s, first_axis a, second_axis b"""
+
+# --- embedding by a seeded projection of hashed words ---------------------------------------------
+
+ORACLES["embed_hook"] = f"""
+with recursive {DOC_LINES}, {packed(460, True)},
+words as (
+  select doc_id, chunk, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')) as word from packed),
+hashed as (
+  select doc_id, chunk, cast('0x' || substr(md5(word), 1, 8) as bigint) % 1024 as b, count(*) as n from words group by 1, 2, 3),
+totals as (select doc_id, chunk, sum(n) as n from hashed group by 1, 2),
+weights as materialized (select b, j, 2 * {_uniform("'42:' || b || ':' || j")} - 1 as w from range(1024) x(b), range(32) y(j)),
+sums as (select h.doc_id, h.chunk, w.j, sum(h.n * w.w) as s from hashed h join weights w using (b) group by 1, 2, 3)
+select c.doc_id as report_id, cast(c.chunk as integer) as step, cast(j.j as integer) as at,
+       coalesce(round(s.s / t.n, 6), 0) + 0::double as value
+from packed c cross join range(32) j(j) left join sums s on s.doc_id = c.doc_id and s.chunk = c.chunk and s.j = j.j
+left join totals t on t.doc_id = c.doc_id and t.chunk = c.chunk"""

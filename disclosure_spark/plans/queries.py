@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from disclosure_spark.functions import text as X
 from disclosure_spark.functions.vectors import take_dims
 from disclosure_spark.operators import (
-    corpora, curves, evaluation, features, membership, models, packing, pairs, prices, sampling,
+    corpora, curves, evaluation, features, kernel, membership, models, packing, pairs, prices, sampling,
 )
 from disclosure_spark.operators import text as text_ops
 from disclosure_spark.plans import proxies as V
@@ -539,6 +539,29 @@ def svm_rff(spark, sf_dir):
     return _svm(*features.scale_split(*_classifier_parts(spark, sf_dir))).select("report_id", "y", "pred", "score")
 
 
+RFF = {"gamma": 0.01, "width": 16}  # of the two queries that SQL rebuilds
+
+
+@register
+def rff_lift(spark, sf_dir):
+    """Fourier features of every embedding, one row per number."""
+    data = V.vectors(spark, sf_dir)
+    scaled = features.scale(data, features.moments(data))
+    lifted = kernel.lift_rows(scaled, n_inputs=_width(data), **RFF)
+    return lifted.select("report_id", F.posexplode("lifted").alias("at", "value")).withColumn("value", F.round("value", 6))
+
+
+@register
+def svm_margin(spark, sf_dir):
+    """Margins of the test reports after twelve steps of the kernel machine's descent."""
+    train, test = features.scale_split(*_classifier_parts(spark, sf_dir))
+    train = materialize(train.select("features", "y"), "scaled-train")
+    n_inputs = _width(train)
+    machine = kernel.fit_machine(train, n_inputs=n_inputs, n_rows=train.count(), max_iter=12, **RFF)
+    scored = kernel.add_margin(test, machine, gamma=RFF["gamma"], n_inputs=n_inputs)
+    return scored.select("report_id", "y", "pred", F.round("margin", 6).alias("margin"))
+
+
 @register
 def svm_validation_curve(spark, sf_dir):
     return _curve(curves.svm_validation_curve(vectors := V.vectors(spark, sf_dir), n_inputs=_width(vectors)), "gamma")
@@ -552,21 +575,17 @@ def svm_learning_curve(spark, sf_dir):
 @register
 def pca_points(spark, sf_dir):
     data = V.vectors(spark, sf_dir)
-    return features.project(features.scale(data, features.moments(data))).select("report_id", "change_nominal", "pc1", "pc2")
+    scaled = materialize(features.scale(data, features.moments(data)), "scaled")
+    points = features.project(scaled)
+    return points.select("report_id", "change_nominal", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
 
 
 @register
 def embed_hook(spark, sf_dir):
-    """The embedding hook over all packed chunks, with letter frequencies standing in for a network."""
+    """The embedding hook over all packed chunks, with a seeded projection of hashed words as network."""
     chunks = packing.pack_reports(V.documents(spark, sf_dir), 512)
-    return features.embed(chunks, letter_shares)
-
-
-def letter_shares(texts):
-    import numpy as np
-
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    return np.array([[t.lower().count(c) / max(1, len(t)) for c in letters] for t in texts])
+    embedded = features.embed(chunks, features.hashed_projection(spark.sparkContext))
+    return embedded.select("report_id", "step", F.posexplode("embedding").alias("at", "value"))
 
 
 @register

@@ -60,6 +60,37 @@ def test_projection_equals_svd(spark):
         assert np.allclose(np.abs(mine), np.abs(theirs), atol=1e-6)
 
 
+def test_axes_are_orthogonal_signed_and_deterministic():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 4)) * [4, 3, 2, 0]
+    axes = FT.principal_axes(np.cov(x.T, bias=True), 4)
+    assert np.allclose(axes[:3] @ axes[:3].T, np.eye(3), atol=1e-8)
+    assert all(a[np.argmax(np.abs(a))] > 0 for a in axes[:3])
+    assert not axes[3].any()  # three directions explain everything
+
+
+def test_projection_without_rows_or_spread(spark):
+    empty = spark.createDataFrame([], "report_id long, features array<double>")
+    assert FT.project(empty).columns == ["report_id", "pc1", "pc2"] and FT.project(empty).count() == 0
+    same = spark.createDataFrame([(1, [2.0, 3.0]), (2, [2.0, 3.0])], "report_id long, features array<double>")
+    assert [(r["pc1"], r["pc2"]) for r in FT.project(same).collect()] == [(0.0, 0.0)] * 2
+
+
+def test_embedding_calls_are_bounded_by_text(spark):
+    texts = ["abcd", "ab", "abcdefghijkl", "", "a", None, "abcdefg"]
+    chunks = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "report_id long, chunk int, text string").coalesce(1)
+    out = FT.embed(chunks, lambda t: np.array([[len(t), sum(map(len, t)), len(x)] for x in t]), most_characters=8)
+    got = [r["embedding"] for r in out.orderBy("step").collect()]
+    assert [g[2] for g in got] == [4, 2, 12, 0, 1, 0, 7]
+    assert all(total <= 8 or n == 1 for n, total, _ in got)
+
+
+def test_hashed_projection_is_the_mean_of_word_rows(spark):
+    network = FT.hashed_projection(spark.sparkContext, width=5, buckets=64)
+    one, other, both, none = network(["Cat", "dog", " cat\tDOG dog\n", " "])
+    assert np.allclose(both, (one + 2 * other) / 3) and not none.any() and (one != other).any()
+
+
 def test_embedding_hook_rounds_half_to_even(spark):
     chunks = spark.createDataFrame([(1, 0, "a"), (1, 1, "bb")], "report_id long, chunk int, text string")
     out = FT.embed(chunks, lambda texts: np.array([[len(t) / 3, 0.0000005] for t in texts]))

@@ -1,6 +1,7 @@
+import random
+
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from disclosure_spark.operators.packing import chunk_bounds, pack_reports, word_budget
 from tests.conftest import rows
@@ -43,22 +44,56 @@ def test_long_first_line_stands_alone(spark):
     assert packed(spark, "lossless", long.strip(), "a b") == [long.strip(), "a b"]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 40), max_size=40), st.integers(1, 60))
-def test_properties(counts, max_len):
-    budget = word_budget(max_len)
-    whole = chunk_bounds(counts, budget, True)
-    spans = list(zip(whole[::2], whole[1::2]))
-    assert [i for s, n in spans for i in range(s, s + n)] == list(range(len(counts)))
-    for s, n in spans:
-        assert n == 1 or sum(counts[s : s + n]) < budget
-    compat = chunk_bounds(counts, budget, False)
-    spans = list(zip(compat[::2], compat[1::2]))
-    covered = [i for s, n in spans for i in range(s, s + n)]
-    assert len(counts) - 1 not in covered
-    # exactly one line is lost between two chunks
-    for (s, n), (s2, _) in zip(spans, spans[1:]):
-        assert s2 == s + n + 1
+def plain_bounds(counts, budget, lossless):
+    """The fold, one document at a time."""
+    spans, words = [], None
+    for at, n in enumerate(counts if lossless else counts[:-1]):
+        if words is not None and words + n < budget:
+            words += n
+            spans[-1][1] += 1
+        elif words is None or lossless:
+            spans.append([at, 1])
+            words = n
+        else:
+            words = None
+    return spans
+
+
+@pytest.fixture(scope="module")
+def folded(spark):
+    """Random line lengths (long documents among them) with the bounds of both modes at three budgets."""
+    rng = random.Random(6)
+    docs = [[rng.randint(0, 40) for _ in range(rng.randint(0, 40))] for _ in range(200)]
+    docs += [[], [0], [50], [0] * 30, [rng.randint(0, 9) for _ in range(6_000)], [20] * 3_000]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, n array<int>")
+    modes = [(budget, lossless) for budget in (word_budget(5), word_budget(22), word_budget(60)) for lossless in (True, False)]
+    got = df.select("id", *[chunk_bounds(F.col("n"), *m).alias(str(m)) for m in modes]).collect()
+    return [(docs[r["id"]], *m, r[str(m)]) for r in got for m in modes]
+
+
+def test_fold_equals_plain_fold(folded):
+    for counts, budget, lossless, flat in folded:
+        assert [list(s) for s in zip(flat[::2], flat[1::2])] == plain_bounds(counts, budget, lossless)
+
+
+def test_properties(folded):
+    for counts, budget, lossless, flat in folded:
+        spans = list(zip(flat[::2], flat[1::2]))
+        covered = [i for s, n in spans for i in range(s, s + n)]
+        if lossless:
+            assert covered == list(range(len(counts)))
+            for s, n in spans:
+                assert n == 1 or sum(counts[s : s + n]) < budget
+        else:
+            assert len(counts) - 1 not in covered
+            # exactly one line is lost between two chunks
+            for (s, n), (s2, _) in zip(spans, spans[1:]):
+                assert s2 == s + n + 1
+
+
+def test_fold_stays_in_the_jvm(spark):
+    plan = pack_reports(frame(spark, "a b"), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
 def test_unknown_mode(spark):
