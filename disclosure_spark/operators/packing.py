@@ -1,11 +1,15 @@
 """Greedy packing of consecutive lines into chunks below a word budget.
 
-The lines of a report travel together in its row, so packing needs no shuffle, and the ordered fold
-over their word counts is an array aggregate, so no row leaves the JVM.
+The lines of a report travel together in its row, so packing needs no shuffle: word counts are
+taken in the JVM, only those integers cross to Python for the ordered fold, and the chunk texts
+are cut from the line array back in the JVM.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,46 +22,34 @@ def word_budget(max_len: int) -> int:
     return int(max_len * 0.9)
 
 
-BLOCK = 256  # bounds gathered before they join the long list: appending copies, so short lists are appended to
-
-
-def chunk_bounds(counts: Column, budget: int, lossless: bool) -> Column:
-    """Flat ``[start, length, start, length, ...]`` of the chunks of one document, from the words of its lines.
+def chunk_bounds(counts: Iterable[int], budget: int, lossless: bool) -> list[int]:
+    """Flat ``[start, length, start, length, ...]`` of the chunks of one document.
 
     A chunk takes lines while its word total stays below ``budget``; a first line of any size
     opens a chunk.  Without ``lossless``, the line that would overflow is dropped and the
     document's last line is never looked at.
-
-    The fold is one ``aggregate``.  Its state is the next line, the words and start of the open chunk (start -1: none), and
-    closed chunks in two lists, a short one and one of full short ones.
     """
-    ints = "array<int>"
-    visible = counts if lossless else F.slice(counts, 1, F.greatest(F.size(counts) - 1, F.lit(0)))
-    start = F.struct(
-        F.lit(0).alias("at"), F.lit(-1).alias("start"), F.lit(0).cast("long").alias("words"),
-        F.array().cast(ints).alias("few"), F.array().cast(f"array<{ints}>").alias("full"),
-    )
+    counts = list(counts)
+    visible = counts if lossless else counts[:-1]
+    bounds: list[int] = []
+    words = None
+    for at, n in enumerate(visible):
+        if words is not None and words + n < budget:
+            words += n
+            bounds[-1] += 1
+        elif words is None or lossless:
+            bounds += [at, 1]
+            words = n
+        else:
+            words = None
+    return bounds
 
-    def step(s: Column, n: Column) -> Column:
-        is_open = s["start"] >= 0
-        fits = is_open & (s["words"] + n < budget)
-        closes = is_open & ~fits
-        opens = ~is_open | F.lit(lossless)
-        grown = F.when(closes, F.concat(s["few"], F.array(s["start"], s["at"] - s["start"]))).otherwise(s["few"])
-        spills = closes & (F.size(s["few"]) >= BLOCK - 2)
-        return F.struct(
-            (s["at"] + 1).alias("at"),
-            F.when(fits, s["start"]).when(opens, s["at"]).otherwise(-1).alias("start"),
-            F.when(fits, s["words"] + n).otherwise(n.cast("long")).alias("words"),
-            F.when(spills, F.array().cast(ints)).otherwise(grown).alias("few"),
-            F.when(spills, F.concat(s["full"], F.array(grown))).otherwise(s["full"]).alias("full"),
-        )
 
-    def finish(s: Column) -> Column:
-        last = F.when(s["start"] >= 0, F.array(s["start"], s["at"] - s["start"])).otherwise(F.array().cast(ints))
-        return F.concat(F.flatten(s["full"]), s["few"], last)
+def _bounds_udf(budget: int, lossless: bool):
+    def fold(counts: pd.Series) -> pd.Series:
+        return counts.map(lambda c: chunk_bounds(c, budget, lossless))
 
-    return F.aggregate(visible, start, step, finish)
+    return F.pandas_udf(fold, "array<int>")
 
 
 def _cut(lines: Column, bounds: Column) -> Column:
@@ -84,7 +76,9 @@ def pack_reports(
     """
     if mode not in ("compat", "lossless"):
         raise ValueError(f"unknown packing mode {mode!r}")
+    fold = _bounds_udf(word_budget(max_len), mode == "lossless")
     lined = docs.select(key, *keep, lines_of(F.col(text)).alias("_lines"))
     counted = lined.withColumn("_n", F.transform("_lines", lambda s: word_count(s).cast("int")))
-    bounded = counted.withColumn("_at", chunk_bounds(F.col("_n"), word_budget(max_len), mode == "lossless"))
+    # no filter on empty packings: it would be pushed below the fold and run it twice
+    bounded = counted.withColumn("_at", fold("_n"))
     return bounded.select(key, *keep, F.posexplode(_cut(F.col("_lines"), F.col("_at"))).alias("chunk", "text"))
