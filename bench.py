@@ -21,7 +21,7 @@ HEADLINE = (
     "split_replay", "finetune_set", "encode_examples", "wordpiece", "subtoken_runs", "mlm_instances",
     "pool_mean_std", "standardize", "nb_predict", "knn_predict", "nb_learning_curve", "knn_validation_curve",
     "class_report", "roc_points", "auc", "company_direction_counts", "company_drift", "knn_learning_curve", "oov_rate", "mlm_pairs",
-    "pca_points", "embed_hook", "svm_rff", "stream_clean", "stream_prices", "stream_labels",
+    "pca_points", "embed_hook", "svm_rff", "rff_lift", "svm_margin", "stream_clean", "stream_prices", "stream_labels",
 )
 
 
