@@ -18,6 +18,8 @@ from disclosure_spark import schemas as S
 from disclosure_spark.operators import prices
 from disclosure_spark.operators.text import clean_reports
 
+MONTH = "yyyy-MM"  # names of the price store's folders; later months sort later
+
 
 def file_stream(spark: SparkSession, schema: StructType, path: str, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -82,13 +84,14 @@ def stream_labels(events: DataFrame, store: str, checkpoint: str, days: int = pr
     ``events`` mixes reports and prices in one stream: ``kind`` is ``report`` or ``price``, with
     ``ticker``, ``date`` and, by kind, ``report_id`` or ``open`` and ``close``.  Prices are kept in
     the store, and reports wait there until the batch join can answer them, so the state is a table
-    and no ticker's rows have to meet in one stateful task.  A report is answered as soon as its
+    and no ticker's rows have to meet in one stateful task.  The store is partitioned by batch and month: a
+    batch opens only the months from its earliest waiting report on.  A report is answered as soon as its
     window is complete; days that land late for an already answered report do not change it.
     """
     kept = StructType([
         S.T.StructField("ticker", events.schema["ticker"].dataType), S.T.StructField("date", S.T.DateType()),
         S.T.StructField("open", S.T.DoubleType()), S.T.StructField("close", S.T.DoubleType()),
-        S.T.StructField("batch", S.T.LongType()),
+        S.T.StructField("batch", S.T.LongType()), S.T.StructField("month", S.T.StringType()),
     ])
     waiting = StructType([
         S.T.StructField("report_id", S.T.LongType()), kept["ticker"], S.T.StructField("filing_date", S.T.DateType()),
@@ -96,15 +99,16 @@ def stream_labels(events: DataFrame, store: str, checkpoint: str, days: int = pr
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.filter("kind = 'price'").select("ticker", "date", "open", "close").write.mode("overwrite").parquet(
-            f"{store}/prices/batch={number}"
-        )
+        arrived = batch.filter("kind = 'price'").select("ticker", "date", "open", "close", F.date_format("date", MONTH).alias("month"))
+        arrived.hint("rebalance", F.col("month")).write.mode("overwrite").partitionBy("month").parquet(f"{store}/prices/batch={number}")
         pending = _read_or_empty(spark, f"{store}/pending-{number - 1}", waiting)
         asked = batch.filter("kind = 'report'").select("report_id", "ticker", F.col("date").alias("filing_date"))
         open_reports = pending.unionByName(asked)
         # a day that is delivered again counts once, as it came first; only days that a report waits for are read
         since = open_reports.groupBy("ticker").agg(F.min("filing_date").alias("since"))
-        stored = spark.read.schema(kept).parquet(f"{store}/prices").filter(F.col("batch") <= number)
+        first_month = since.agg(F.date_format(F.min("since"), MONTH)).first()[0]  # null without open reports: nothing is read
+        months = F.col("month") >= F.lit(first_month).cast("string")
+        stored = spark.read.schema(kept).parquet(f"{store}/prices").filter((F.col("batch") <= number) & months)
         stored = stored.join(since, "ticker").filter(F.col("date") >= F.col("since"))
         trading = stored.groupBy("ticker", "date").agg(F.min_by(F.struct("open", "close"), F.struct("batch", "open", "close")).alias("day"))
         trading = trading.select("ticker", "date", "day.open", "day.close")

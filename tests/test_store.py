@@ -75,3 +75,19 @@ def test_a_day_that_comes_again_counts_once(spark, tmp_path):
         intake.stream_labels(stream, store, progress).awaitTermination()
         answers.append(rows(spark.read.parquet(f"{store}/labels").select("report_id", F.round("change_ratio", 6).alias("r"))))
     assert answers == [[], [], [(1, 0.2)]]
+
+
+def test_only_months_that_a_report_waits_for_are_read(spark, tmp_path):
+    schema = "kind string, ticker string, date date, report_id long, open double, close double"
+    price = lambda month, n, close: ("price", "A", dt.date(2010, month, n), None, 10.0, close)
+    landed, store, progress = (str(tmp_path / n) for n in ("landed", "store", "progress"))
+    first = [price(1, n, 11.0) for n in (4, 5, 6)]
+    second = [("report", "A", dt.date(2010, 3, 1), 1, None, None), price(2, 1, 10.0), *[price(3, n, 12.0) for n in (1, 2, 3)]]
+    for part in (first, second):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(landed)
+        stream = intake.file_stream(spark, spark.createDataFrame([], schema).schema, landed)
+        intake.stream_labels(stream, store, progress).awaitTermination()
+        for file in (tmp_path / "store" / "prices" / "batch=0" / "month=2010-01").glob("*.parquet"):
+            file.write_bytes(b"unreadable")  # a batch that opened this month would fail
+    assert rows(spark.read.parquet(f"{store}/labels").select("report_id", F.round("change_ratio", 6).alias("r"))) == [(1, 0.2)]
+    assert sorted(p.name for p in (tmp_path / "store" / "prices").glob("batch=*/month=*")) == ["month=2010-01", "month=2010-02", "month=2010-03"]
