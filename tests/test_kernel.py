@@ -80,3 +80,22 @@ def test_no_rows_give_zero_weights(spark):
     empty = spark.createDataFrame([], "features array<double>, y int, sides array<int>")
     got = K.fit_cells(empty, [K.Cell(0, 1.0, 0)], [(np.zeros(2), np.ones(2))], width=4, n_inputs=2, max_iter=2)
     assert not got.any() and got.shape == (1, 5)
+
+
+def test_half_versines_are_exact_for_any_turn():
+    turns = np.concatenate([np.linspace(-3, 3, 1001), [0.0, 0.5, -0.5, 1e6 + 0.25]])
+    assert np.abs(1 - 2 * K.half_versine(turns.copy()) - np.cos(2 * np.pi * turns)).max() < 1e-14 + 1e-9 * (np.abs(turns).max() > 1e5)
+
+
+def test_only_rows_that_train_a_cell_are_lifted(data):
+    import pandas as pd
+
+    x, y, sides = data
+    pdf = pd.DataFrame({"features": list(x), "y": y, "sides": list(sides)})
+    seen = {}
+    for least in (0, 1):
+        K._visit_cells(
+            [pdf], [K.Cell(0, 0.5, 60), K.Cell(1, 2.0, 40), K.Cell(2, 1.0, 0)], scalers_of(x, sides), K.fourier_weights(3, 4), "features", least,
+            lambda at, versines, signs, side, least=least: seen.update({(least, at): len(versines)}),
+        )
+    assert seen == {(0, 0): 90, (0, 1): 40, (1, 0): 60, (1, 1): 40}
