@@ -4,7 +4,7 @@ Words are cut into the ids of a public vocabulary.  Ids fall into classes with a
 left and right neighbours over the whole training part of the corpus; one attention layer, trained in numpy, predicts
 the class of the next id from the ids before it, and the share of an id within its class comes from counts as well.
 The layer starts from a bounded number of windows; then ``ROUNDS`` steps follow, each with the gradient over another
-part of the windows of all training texts, about one id in ``EVERY / WINDOW`` where the corpus is large.  A text is read in
+part of the windows of all training texts, which lie one after the other over all ids at every size.  A text is scored in
 overlapping windows, many at a time under a causal mask; every id is scored once, all but the first window with at
 least ``WINDOW - STRIDE`` ids before it.  A word's probability mixes two ways to write it: id by id, or, for a
 word of the training documents, as the class of its first id in this context times the word's share of the words of that class.
@@ -20,6 +20,7 @@ letters in lower case, so texts that differ in case alone share a score.
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,9 +38,8 @@ from disclosure_spark.session import materialize
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW, STRIDE, WIDTH, CLASSES, CONTEXTS = 32, 24, 16, 48, 256
-WARM = 40_000  # windows of the first STEPS steps, and the number up to which windows lie closer than EVERY
+WARM = 40_000  # windows of the first STEPS steps
 STEPS, BATCH, RATE = 600, 64, 0.01
-EVERY, LEAST_EVERY = 512, 16  # ids from one training window to the next
 ROUNDS, ROUND_RATE = 16, 0.003
 GRADIENT_UNIT = 1 << 24  # sums of whole units do not depend on their order
 FLUSH_CELLS = 2_000_000
@@ -86,70 +86,77 @@ class Attention:
         query, key, value, plain, mixed, sums = self.tables
         out, opening = np.empty(len(stream), dtype=np.float32), np.empty(len(stream), dtype=np.float32)
         place = np.arange(WINDOW)
-        for a in range(0, len(which), SCORED_AT_ONCE):
-            at = start[a:a + SCORED_AT_ONCE, None] + place
-            real = (at < stop[a:a + SCORED_AT_ONCE, None]) & ((place >= WINDOW - STRIDE) | (number[a:a + SCORED_AT_ONCE, None] == 0))
-            at = np.minimum(at, len(stream) - 1)
-            row = before[at] * WINDOW + place
-            s = query.take(row, axis=0) @ key.take(row, axis=0).transpose(0, 2, 1)
-            s += _MASK
-            np.exp(np.minimum(s, 60, out=s), out=s)
-            o = (s @ value.take(row, axis=0)).reshape(-1, WIDTH) / s.sum(axis=2).reshape(-1, 1)
-            logits = plain.take(row.ravel(), axis=0)
-            logits += o @ mixed
-            target = logits[np.arange(len(logits)), classes[at].ravel()]
-            np.exp(np.minimum(logits, 60, out=logits), out=logits)
-            both = target[:, None] - np.log(logits @ sums)
-            use, to = real.ravel(), at[real]
-            out[to], opening[to] = both[use, 0], both[use, 1]
+        for least, chosen in ((0, number == 0), (WINDOW - STRIDE, number > 0)):  # only places that a window scores ask
+            starts, stops = start[chosen], stop[chosen]
+            for a in range(0, len(starts), SCORED_AT_ONCE):
+                at = starts[a:a + SCORED_AT_ONCE, None] + place
+                real = at[:, least:] < stops[a:a + SCORED_AT_ONCE, None]
+                np.minimum(at, len(stream) - 1, out=at)
+                row = before[at] * WINDOW + place
+                asks = row[:, least:]
+                s = query.take(asks, axis=0) @ key.take(row, axis=0).transpose(0, 2, 1)
+                np.exp(np.minimum(s, 60, out=s), out=s)
+                s *= _BEFORE[least:]
+                o = (s @ value.take(row, axis=0)).reshape(-1, WIDTH + 1)
+                logits = plain.take(asks.ravel(), axis=0)
+                logits += (o[:, :WIDTH] / o[:, WIDTH:]) @ mixed
+                at = at[:, least:].ravel()
+                target = logits[np.arange(len(logits)), classes[at]]
+                np.exp(np.minimum(logits, 60, out=logits), out=logits)
+                both = target[:, None] - np.log(logits @ sums)
+                use = real.ravel()
+                to = at[use]
+                out[to], opening[to] = both[use, 0], both[use, 1]
         return out / np.log(10), (opening + np.log(self.opens[classes])) / np.log(10)
 
     @functools.cached_property
     def tables(self) -> tuple[np.ndarray, ...]:
-        """What each class gives at each place of a window: query, key, value and its own part of the logits."""
+        """What each class gives at each place of a window: query, key, value with a one to sum by, and its own part of the logits."""
         w = self.w
         e = (w["embed"][:, None, :] + w["place"]).reshape(-1, WIDTH)
         scale = np.float32(WIDTH**-0.5)
         sums = np.stack((np.ones(CLASSES, dtype=np.float32), self.opens), axis=1)
-        return e @ w["query"] * scale, e @ w["key"], e @ w["value"], e @ w["out"] + w["bias"], w["mix"] @ w["out"], sums
-
-    def forward(self, x: np.ndarray) -> dict[str, np.ndarray]:
-        w = self.w
-        e = w["embed"][x] + w["place"]
-        q, k, v = e @ w["query"], e @ w["key"], e @ w["value"]
-        s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + _MASK
-        s -= s.max(axis=2, keepdims=True)
-        p = np.exp(s)
-        p /= p.sum(axis=2, keepdims=True)
-        o = p @ v
-        y = e + o @ w["mix"]
-        return {"e": e, "q": q, "k": k, "v": v, "p": p, "o": o, "y": y, "logits": y @ w["out"] + w["bias"]}
+        value = np.concatenate((e @ w["value"], np.ones((len(e), 1), dtype=np.float32)), axis=1)
+        return e @ w["query"] * scale, e @ w["key"], value, e @ w["out"] + w["bias"], w["mix"] @ w["out"], sums
 
     def gradients(self, rows: np.ndarray) -> dict[str, np.ndarray]:
         """Mean gradient over (windows, WINDOW + 1) classes; column 0 is what stands before the window."""
-        x, t = rows[:, :-1], rows[:, 1:]
-        f, w = self.forward(x), self.w
-        d = f["logits"] - f["logits"].max(axis=2, keepdims=True)
-        d = np.exp(d)
-        d /= d.sum(axis=2, keepdims=True)
-        np.put_along_axis(d, t[:, :, None], np.take_along_axis(d, t[:, :, None], 2) - 1, 2)
-        d /= t.size
+        w, scale = self.w, np.float32(WIDTH**-0.5)
+        x, t = rows[:, :-1].ravel(), rows[:, 1:].ravel()
+        each = np.arange(len(x))
+        stacked = lambda z: z.reshape(-1, WINDOW, z.shape[-1])
         flat = lambda z: z.reshape(-1, z.shape[-1])
-        g = {"out": flat(f["y"]).T @ flat(d), "bias": flat(d).sum(axis=0)}
-        dy = d @ w["out"].T
-        g["mix"] = flat(f["o"]).T @ flat(dy)
-        do = dy @ w["mix"].T
-        dp = do @ f["v"].transpose(0, 2, 1)
-        dv = f["p"].transpose(0, 2, 1) @ do
-        ds = f["p"] * (dp - (dp * f["p"]).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-        de = dy + dq @ w["query"].T + dk @ w["key"].T + dv @ w["value"].T
-        for name, z in (("query", dq), ("key", dk), ("value", dv)):
-            g[name] = flat(f["e"]).T @ flat(z)
-        g["place"] = de.sum(axis=0)
-        g["embed"] = np.zeros_like(w["embed"])
-        np.add.at(g["embed"], x, de)
-        return g
+        e = flat(stacked(w["embed"].take(x, axis=0)) + w["place"])
+        q, k, v = stacked(e @ (w["query"] * scale)), stacked(e @ w["key"]), stacked(e @ w["value"])
+        p = q @ k.transpose(0, 2, 1)
+        np.exp(np.minimum(p, 60, out=p), out=p)
+        p *= _BEFORE
+        p /= (flat(p) @ np.ones(WINDOW, dtype=np.float32)).reshape(-1, WINDOW, 1)
+        o = flat(p @ v)
+        y = e + o @ w["mix"]
+        d = y @ w["out"]
+        d += w["bias"]
+        np.exp(np.minimum(d, 60, out=d), out=d)
+        d /= (d @ np.ones(CLASSES, dtype=np.float32))[:, None]
+        d[each, t] -= 1
+        g = {"out": y.T @ d, "bias": np.ones(len(d), dtype=np.float32) @ d}
+        de = d @ w["out"].T
+        g["mix"] = o.T @ de
+        do = de @ w["mix"].T
+        own = np.einsum("ij,ij->i", do, o).reshape(-1, WINDOW, 1)
+        do = stacked(do)
+        dv = p.transpose(0, 2, 1) @ do
+        ds = do @ v.transpose(0, 2, 1)
+        ds -= own
+        ds *= p
+        for name, z in (("query", (ds @ k) * scale), ("key", ds.transpose(0, 2, 1) @ q), ("value", dv)):
+            g[name] = e.T @ flat(z)
+            de += flat(z) @ w[name].T
+        g["place"] = stacked(de).sum(axis=0)
+        marks = np.zeros((len(x), CLASSES), dtype=np.float32)
+        marks[each, x] = 1
+        g["embed"] = marks.T @ de
+        return {name: z * np.float32(1 / len(t)) for name, z in g.items()}
 
     def step(self, g: dict[str, np.ndarray], m: dict[str, list[np.ndarray]], step: int, rate: float) -> None:
         """One step of Adam; ``m`` holds its running means."""
@@ -196,7 +203,7 @@ class Attention:
         of.destroy()
 
 
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, dtype=np.float32), 1)
+_BEFORE = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
 
 
 def context_columns(counts: np.ndarray) -> np.ndarray:
@@ -234,27 +241,88 @@ def cluster(cells: np.ndarray, roots: np.ndarray, counts: np.ndarray, final: np.
     return of
 
 
-def _split(texts: list, memory: tokens.WordIds) -> tuple[list[list[str]], dict[str, bytes]]:
-    split = [tokens.words(t) if isinstance(t, str) else [] for t in texts]
-    return split, memory.learn(set().union(*split))
+class WordNumbers(dict):
+    """Numbers of distinct words; arrays hold by number the hash and the bounds of the ids of each.
+
+    The empty word stands for the end of a text.  All are forgotten when there are more than ``limit``.
+    """
+
+    def __init__(self, path: str, end: int, limit: int = tokens.REMEMBERED // 2):
+        self.ids_of, self.end, self.limit = tokens.word_ids(path).ids, end, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self[""] = 0
+        self.hash, self.start = np.array([END_HASH]), np.array([0, 1])
+        self.ids = np.array([self.end], dtype=np.int32)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+    def numbers(self, texts: list[list[str]]) -> np.ndarray:
+        """Numbers of all words in their order."""
+        if len(self) > self.limit:
+            self._forget()
+        known = len(self)
+        out = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(texts)), dtype=np.int64, count=sum(map(len, texts)))
+        if self.new:
+            self.hash = _room(self.hash, known, len(self))
+            self.hash[known:len(self)] = np.fromiter(map(word_hash, self.new), dtype=np.int64, count=len(self.new))
+            ids, size = self.ids_of(self.new)
+            first = int(self.start[known])
+            self.start = _room(self.start, known + 1, len(self) + 1)
+            self.start[known + 1:len(self) + 1] = first + np.cumsum(size)
+            self.ids = _room(self.ids, first, first + len(ids))
+            self.ids[first:first + len(ids)] = ids
+            self.new = []
+        return out
+
+    def spelled(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of these numbers, one after the other, and how many each has."""
+        size = self.start[codes + 1] - self.start[codes]
+        at = np.repeat(self.start[codes] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return self.ids[at].astype(np.int64), size
+
+
+def _room(held: np.ndarray, used: int, wanted: int) -> np.ndarray:
+    """An array for ``wanted`` values that begins with the used ones."""
+    if wanted <= len(held):
+        return held
+    out = np.empty(max(wanted, 2 * len(held)), dtype=held.dtype)
+    out[:used] = held[:used]
+    return out
+
+
+@functools.cache
+def word_numbers(path: str, end: int) -> WordNumbers:
+    """One memory per vocabulary and worker process."""
+    return WordNumbers(path, end)
 
 
-def count_words(training: DataFrame, path: str) -> DataFrame:
+def _split(texts: list) -> list[list[str]]:
+    """Words of every text and the empty word for its end."""
+    return [[*tokens.words(t), ""] if isinstance(t, str) else [""] for t in texts]
+
+
+def count_words(training: DataFrame, path: str, end: int) -> DataFrame:
     """(kind, key, n): word hashes (0), sub-word ids (1) and first ids of words (2) of all training texts, counted per task before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory, held, texts = tokens.word_ids(path), Counter(), 0
+        memory, held, texts = word_numbers(path, end), Counter(), 0
 
         def flush() -> pd.DataFrame:
-            known = memory.learn(set(held))
             n = np.fromiter(held.values(), dtype=np.int64, count=len(held))
-            packed = [known[w] for w in held]
-            ids = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int64)
-            pieces = np.bincount(ids, weights=np.repeat(n, [len(p) // 4 for p in packed]), minlength=1).astype(np.int64)
-            heads = ids[np.cumsum([0, *[len(p) // 4 for p in packed]])[:-1]] if len(held) else ids
-            starts = np.bincount(heads, weights=n, minlength=1).astype(np.int64)
+            codes = memory.numbers([list(held)])
+            ids, size = memory.spelled(codes)
+            pieces = np.bincount(ids, weights=np.repeat(n, size), minlength=1).astype(np.int64)
+            heads = ids[np.minimum(np.cumsum(size) - size, len(ids) - 1)] if len(ids) else ids
+            starts = np.bincount(heads, weights=n[:len(heads)], minlength=1).astype(np.int64)
             used, begun = np.flatnonzero(pieces), np.flatnonzero(starts)
-            key = np.concatenate((np.fromiter(map(word_hash, held), dtype=np.int64, count=len(held)), [END_HASH], used, begun))
+            key = np.concatenate((memory.hash[codes], [END_HASH], used, begun))
             kind = np.repeat([0, 1, 2], [len(held) + 1, len(used), len(begun)])
             return pd.DataFrame({"kind": kind, "key": key, "n": np.concatenate((n, [texts], pieces[used], starts[begun]))})
 
@@ -273,16 +341,17 @@ def count_words(training: DataFrame, path: str) -> DataFrame:
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def contexts_and_windows(training: DataFrame, path: str, end: int, context: np.ndarray, every: int) -> DataFrame:
+def contexts_and_windows(training: DataFrame, path: str, end: int, context: np.ndarray, every: int = WINDOW) -> DataFrame:
     """(cell, n): neighbours of ids counted over all training texts; (window, round): ids of windows ``every`` so many ids.
 
-    A text's first window starts at a place by the hash of its ids, so that every id counts alike and no sum depends on partitions.
+    Windows lie over the whole of a text, the last one back from its end; a text shorter than one counts as if it came
+    again and again.  So every id is to be predicted at least once, and no sum depends on partitions.
     """
     wide = 2 * (CONTEXTS + 1)
     sent = training.sparkSession.sparkContext.broadcast(context)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory, column, held, size = tokens.word_ids(path), sent.value, [], 0
+        memory, column, held, size = word_numbers(path, end), sent.value, [], 0
 
         def flush() -> pd.DataFrame:
             cell, n = np.unique(np.concatenate(held), return_counts=True)
@@ -291,22 +360,25 @@ def contexts_and_windows(training: DataFrame, path: str, end: int, context: np.n
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in tokens.slices([t if isinstance(t, str) else "" for t in texts]):
-                split, known = _split(texts[a:b], memory)
-                windows = []
-                for words in split:
-                    raw = b"".join(map(known.__getitem__, words))
-                    own = np.concatenate(([end], np.frombuffer(raw, dtype="<u4"), [end])).astype("<u4")
-                    ids = own.astype(np.int64)
-                    held.append(np.concatenate((ids[1:] * wide + column[ids[:-1]], ids[:-1] * wide + CONTEXTS + 1 + column[ids[1:]])))
-                    size += len(held[-1])
-                    if len(own) <= WINDOW:  # as if the text came again and again
-                        own = np.concatenate((own[:1], np.resize(own[1:], WINDOW)))
-                    first = zlib.crc32(raw) % every
-                    windows += [own[k:k + WINDOW + 1].tobytes() for k in range(first, len(own) - WINDOW, every)]
-                    if first and len(own) - WINDOW <= first and every == LEAST_EVERY:
-                        windows.append(own[:WINDOW + 1].tobytes())
-                if windows:
-                    yield pd.DataFrame({"cell": None, "n": None, "window": windows, "round": [zlib.crc32(x) % ROUNDS for x in windows]})
+                split = _split(texts[a:b])
+                ids, spelled = memory.spelled(memory.numbers(split))
+                sizes = np.add.reduceat(spelled, np.cumsum([0, *map(len, split[:-1])]))
+                first = np.cumsum(sizes) - sizes
+                before = np.concatenate(([end], ids[:-1]))
+                before[first] = end
+                held += [ids * wide + column[before], before * wide + CONTEXTS + 1 + column[ids]]
+                size += 2 * len(ids)
+                spare = np.maximum(sizes - WINDOW, 0)
+                count = 1 + -(-spare // every)
+                of = np.repeat(np.arange(b - a), count)
+                number = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                at = np.minimum(number * every, spare[of])[:, None] + np.arange(WINDOW)
+                rows = np.empty((len(of), WINDOW + 1), dtype="<u4")
+                rows[:, 1:] = ids[first[of, None] + at % sizes[of, None]]
+                rows[:, 0] = before[first[of] + at[:, 0]]
+                raw, width = rows.tobytes(), 4 * (WINDOW + 1)
+                windows = [raw[k:k + width] for k in range(0, len(raw), width)]
+                yield pd.DataFrame({"cell": None, "n": None, "window": windows, "round": [zlib.crc32(x) % ROUNDS for x in windows]})
                 if size >= FLUSH_CELLS:
                     yield flush()
                     held, size = [], 0
@@ -316,11 +388,14 @@ def contexts_and_windows(training: DataFrame, path: str, end: int, context: np.n
     return training.mapInPandas(run, "cell long, n long, window binary, round int")
 
 
+def end_id(path: str) -> int:
+    return max(tokens.word_ids(path).tokenizer.get_added_tokens_decoder())
+
+
 def train(training: DataFrame, pieces: pd.DataFrame, n_words: int, n_texts: int, path: str) -> Attention:
     """Classes, shares and weights from all training texts; no more than ``WARM`` windows and one row per cell reach the driver."""
-    memory = tokens.word_ids(path)
+    memory, end = tokens.word_ids(path), end_id(path)
     size = memory.tokenizer.get_vocab_size()
-    end = max(memory.tokenizer.get_added_tokens_decoder())
     final = np.zeros(size, dtype=bool)
     for token, i in memory.tokenizer.get_vocab().items():
         final[i] = token.endswith("</w>")
@@ -328,8 +403,7 @@ def train(training: DataFrame, pieces: pd.DataFrame, n_words: int, n_texts: int,
     seen = np.zeros(size, dtype=np.int64)
     seen[ids["key"].to_numpy(np.int64)] = ids["n"].to_numpy(np.int64)
     seen[end] += n_texts
-    every = min(max(int(seen.sum()) // WARM, LEAST_EVERY), EVERY)
-    both = materialize(contexts_and_windows(training, path, end, context_columns(seen), every), "contexts")
+    both = materialize(contexts_and_windows(training, path, end, context_columns(seen)), "contexts")
     cells = both.filter("cell is not null").groupBy(F.col("cell").cast("int").alias("cell")).agg(F.sqrt(F.sum("n")).cast("float").alias("root"))
     cells = materialize(cells, "cells").toArrow()
     of = cluster(cells["cell"].to_numpy(), cells["root"].to_numpy(), seen, final)
@@ -354,39 +428,34 @@ def train(training: DataFrame, pieces: pd.DataFrame, n_words: int, n_texts: int,
     return model
 
 
-def score_texts(texts: list, memory: tokens.WordIds, model: Attention, head: tuple[np.ndarray, np.ndarray], total: float) -> dict[str, list]:
+def score_texts(texts: list, memory: WordNumbers, model: Attention, head: tuple[np.ndarray, np.ndarray], total: float) -> dict[str, list]:
     """Per text its tokens, what the head settles of the base, the rare words left to join, and the model's score without these."""
-    split, known = _split(texts, memory)
-    distinct = list(set().union(*split))
-    number = dict(zip(distinct, range(len(distinct)), strict=True))
-    sizes = np.array([len(ws) for ws in split])
-    codes = np.fromiter((number[w] for ws in split for w in ws), dtype=np.int64, count=int(sizes.sum()))
-    key = np.fromiter(map(word_hash, distinct), dtype=np.int64, count=len(distinct))
+    split = _split(texts)
+    sizes = np.array([len(ws) - 1 for ws in split])
+    slot_code = memory.numbers(split)
+    last = np.cumsum(sizes + 1) - 1
+    is_word = np.ones(len(slot_code), dtype=bool)
+    is_word[last] = False
+    distinct, codes = np.unique(slot_code[is_word], return_inverse=True)
+    key = memory.hash[distinct]
     at = np.minimum(np.searchsorted(head[0], key), len(head[0]) - 1)
     frequent = head[0][at] == key
     base = np.where(frequent, np.log10((head[1][at] + ALPHA) / total), 0.0)
-    length = np.array([len(known[w]) // 4 for w in distinct], dtype=np.int64)
-    end = np.array([model.end], dtype="<u4").tobytes()
-    stream = np.frombuffer(b"".join(b"".join(map(known.__getitem__, ws)) + end for ws in split), dtype="<u4").astype(np.int64)
+    stream, slots = memory.spelled(slot_code)
     text = np.repeat(np.arange(len(texts)), sizes)
-    slots = np.insert(length[codes], np.cumsum(sizes), 1)  # every text closes with its end
     slot_text = np.repeat(np.arange(len(texts)), sizes + 1)
     classed, opened = model.log_probabilities(stream, np.repeat(slot_text, slots))
     log10 = classed + model.inside[stream] / np.log(10)
     per_slot = np.bincount(np.repeat(np.arange(len(slots)), slots), weights=log10, minlength=len(slots))
-    last = np.cumsum(sizes + 1) - 1
-    is_word = np.ones(len(slots), dtype=bool)
-    is_word[last] = False
-    spelling = np.frombuffer(b"".join(map(known.__getitem__, distinct)), dtype="<u4")
+    spelling, length = memory.spelled(distinct)
     finals = np.bincount(np.repeat(np.arange(len(distinct)), length), weights=model.final[spelling], minlength=len(distinct))
     opening = (np.cumsum(slots) - slots)[is_word]
     spelled = per_slot[is_word] + (opened - classed)[opening] + np.log10(1 - model.joined) + np.maximum(finals[codes] - 1, 0) * np.log10(model.joined)
     word = np.log10(SHARE) + spelled
     common = frequent[codes]
-    share = np.where(frequent, np.log10(head[1][at] + ALPHA), 0.0)[codes] - model.starts[model.of[stream[opening]]]
-    whole = np.log10(1 - SHARE) + opened[opening] + np.minimum(share, 0.0)
-    part = np.log10(1 - SHARE) + opened[opening]  # of a rare word the join adds its share
     start = model.starts[model.of[stream[opening]]]
+    part = np.log10(1 - SHARE) + opened[opening]  # of a rare word the join adds its share
+    whole = part + np.minimum(np.where(frequent, np.log10(head[1][at] + ALPHA), 0.0)[codes] - start, 0.0)
     word[common] = np.logaddexp(word[common] * np.log(10), whole[common] * np.log(10)) / np.log(10)
     end_count = head[1][0] if len(head[0]) and head[0][0] == END_HASH else 0
     end_base = np.log10((end_count + ALPHA) / total)
@@ -424,9 +493,10 @@ def frequent_words(words: DataFrame, most: int = HEAD) -> DataFrame:
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, most_sent: int = HEAD) -> DataFrame:
     """Base and model scores of every document; training documents are those whose crc32 mod 10 is not 0."""
     path = vocabulary or tokens.vocabulary_path(VOCABULARY)
+    end = end_id(path)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     training = base.filter(remainder(F.col("doc_id"), 10) != 0)
-    counts = materialize(count_words(training, path), "counts")
+    counts = materialize(count_words(training, path, end), "counts")
     words = counts.filter("kind = 0 and n > 0").select("key", "n")
     n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
     total = n_all + ALPHA * (n_distinct + 1)
@@ -438,7 +508,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sent = docs.sparkSession.sparkContext.broadcast((model, keys, ns))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory = tokens.word_ids(path)
+        memory = word_numbers(path, end)
         shared, hashes, n = sent.value
         for batch in batches:
             column = batch["text"].tolist()

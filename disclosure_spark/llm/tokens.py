@@ -6,10 +6,13 @@ Public vocabularies never merge across white space, so the ids of a text are tho
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+
 WORD_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 REMEMBERED = 600_000
@@ -52,6 +55,8 @@ class WordIds:
     PLAIN = re.compile(r"[!-&(-;=?-~À-ÖØ-öø-ÿ]+")  # neither the apostrophe nor the brackets of special tokens
     RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
     END = b"\xff"  # stands for the end of a word; UTF-8 text never holds it
+    MARK = "\x01"  # the same among words in one string; no plain word holds it
+    RUNS_OF_WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 ]+")
 
     def __init__(self, path: str, limit: int = REMEMBERED):
         import tiktoken
@@ -63,11 +68,18 @@ class WordIds:
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # byte-level vocabularies show the others as 256 and up
         value = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         special = set(self.tokenizer.get_added_tokens_decoder())
-        ranks = {}
+        ranks, marked = {}, {}
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             if i not in special:
                 core = token.removesuffix("</w>")
-                ranks[bytes(value[c] for c in core) + (self.END if core != token else b"")] = i
+                raw = bytes(value[c] for c in core)
+                ranks[raw + (self.END if core != token else b"")] = i
+                if self.MARK.encode() not in raw and b" " not in raw:
+                    marked[raw + (self.MARK.encode() if core != token else b"")] = i
+        self.space = max(ranks.values()) + 1
+        marked |= {self.MARK.encode(): self.space + 1, b" ": self.space}
+        pattern = "[^ \x01]+\x01| "
+        self.merges = tiktoken.Encoding("runs", pat_str=pattern, mergeable_ranks=marked, special_tokens={})
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     def _ids(self, word: str) -> bytes:
@@ -78,6 +90,22 @@ class WordIds:
             return array("I", self.merge(low.encode() + self.END)).tobytes()
         return array("I", [i for run in self.RUNS.findall(low) for i in self.merge(run.encode() + self.END)]).tobytes()
 
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other and how many each has, remembering none; plain words go through the merges together."""
+        plain = np.fromiter((self.PLAIN.fullmatch(w) is not None for w in words), dtype=bool, count=len(words))
+        text = " ".join(itertools.compress(words, plain)).lower()
+        found = self.merges.encode_to_numpy(self.RUNS_OF_WORDS.sub("\\g<0>" + self.MARK, text) + " ", disallowed_special=())
+        closes = np.flatnonzero(found == self.space)[:int(plain.sum())]
+        others = [self._ids(w) for w in itertools.compress(words, ~plain)]
+        size = np.empty(len(words), dtype=np.int64)
+        size[plain] = np.diff(closes, prepend=-1) - 1
+        size[~plain] = [len(p) // 4 for p in others]
+        out = np.empty(int(size.sum()), dtype="<u4")
+        of_plain = np.repeat(plain, size)
+        out[of_plain] = found[found != self.space]
+        out[~of_plain] = np.frombuffer(b"".join(others), dtype="<u4")
+        return out, size
+
     def learn(self, distinct: set[str]) -> dict[str, bytes]:
         """A memory that holds every given word."""
         if len(self.young) > self.limit // 2:

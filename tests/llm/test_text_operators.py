@@ -121,6 +121,36 @@ def test_classes_and_weights_learn_from_every_training_text(spark):
     assert abs(got["window"].notna().sum() - n / 16) <= 4 * len(data)
 
 
+@pytest.mark.parametrize("texts", [1, 40])
+def test_training_windows_hold_every_id_at_every_size(spark, texts):
+    path = tokens.vocabulary_path(attention_lm.VOCABULARY)
+    end, memory = attention_lm.end_id(path), tokens.word_ids(path)
+    data = [(i, " ".join(f"w{i}x{k}" for k in range(50 * i))) for i in range(texts)] + [(texts, "tiny text"), (texts + 1, None)]
+    column = attention_lm.context_columns(np.zeros(60_000, dtype=np.int64))
+    got = attention_lm.contexts_and_windows(spark.createDataFrame(data, SCHEMA).repartition(2), path, end, column).filter("window is not null").toPandas()
+    rows = [np.frombuffer(w, dtype="<u4").tolist() for w in got["window"]]
+    assert {len(r) for r in rows} == {attention_lm.WINDOW + 1} and got["round"].between(0, attention_lm.ROUNDS - 1).all()
+    asked = {(a, b) for r in rows for a, b in zip(r[:-1], r[1:], strict=True)}
+    n = 0
+    for _, text in data:
+        ids = [end, *(i for w in (text or "").split() for i in np.frombuffer(memory.learn({w})[w], dtype="<u4").tolist()), end]
+        assert asked >= set(zip(ids[:-1], ids[1:], strict=True))
+        n += max(1, -(-(len(ids) - 1) // attention_lm.WINDOW))
+    assert len(rows) == n  # one after the other, whatever the number of ids
+
+
+def test_word_numbers_give_the_ids_of_words():
+    path = tokens.vocabulary_path(attention_lm.VOCABULARY)
+    words = ["Alpha", "a\x01b", "\x01", "Ünï12cöde!?", "don't", "[UNK]", "<s>", "日本語", "x\x00y", "ÿß÷×", "a\xa0b", "12345", "q" * 300, "\xff", "--a--"]
+    memory, ids = attention_lm.WordNumbers(path, 7, limit=4), tokens.word_ids(path)
+    for part in (words[:3], words[3:], words, words[::-1], []):
+        spelled, size = memory.spelled(memory.numbers([[*part, ""]]))
+        expected = [np.frombuffer(ids.learn({w})[w], dtype="<u4").tolist() for w in part] + [[7]]
+        assert [x.tolist() for x in np.split(spelled, np.cumsum(size)[:-1])] == expected
+    codes = memory.numbers([words])
+    assert memory.hash[codes].tolist() == [attention_lm.word_hash(w) for w in words]
+
+
 def test_classifier_separates_held_out_texts(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("aeiourstln") for _ in range(r.randint(2, 8)))
