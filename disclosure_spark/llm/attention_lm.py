@@ -44,13 +44,25 @@ ROUNDS, ROUND_RATE = 16, 0.003
 GRADIENT_UNIT = 1 << 24  # sums of whole units do not depend on their order
 FLUSH_CELLS = 2_000_000
 HEAD = 1 << 19
-SCORED_AT_ONCE = 256
+SCORED_AT_ONCE, BLOCK = 160, 10  # windows, and of these in one product
 SHARE = 0.1  # of spelling in the mixture
 ALPHA = 0.1
 FLUSH_WORDS = 400_000
 END_HASH = 0
 
 
+def product(z: np.ndarray, w: np.ndarray, rows: int) -> np.ndarray:
+    """``z @ w`` in blocks of ``BLOCK`` windows of ``rows`` each, below the size from which BLAS starts threads that a task has no core for."""
+    block = rows * BLOCK if len(z) % (rows * BLOCK) == 0 else rows
+    return (z.reshape(-1, block, z.shape[1]) @ w).reshape(len(z), -1)
+
+
+def summed(z: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """``z.T @ d`` over windows, in the same blocks."""
+    block = WINDOW * BLOCK if len(z) % (WINDOW * BLOCK) == 0 else WINDOW
+    return (z.reshape(-1, block, z.shape[1]).transpose(0, 2, 1) @ d.reshape(-1, block, d.shape[1])).sum(axis=0)
+
+
 def word_hash(word: str) -> int:
     return (xxh3_64_intdigest(word.encode().lower()) >> 1) | 1  # odd: never the hash of the end
 
@@ -99,11 +111,11 @@ class Attention:
                 s *= _BEFORE[least:]
                 o = (s @ value.take(row, axis=0)).reshape(-1, WIDTH + 1)
                 logits = plain.take(asks.ravel(), axis=0)
-                logits += (o[:, :WIDTH] / o[:, WIDTH:]) @ mixed
+                logits += product(o[:, :WIDTH] / o[:, WIDTH:], mixed, WINDOW - least)
                 at = at[:, least:].ravel()
                 target = logits[np.arange(len(logits)), classes[at]]
                 np.exp(np.minimum(logits, 60, out=logits), out=logits)
-                both = target[:, None] - np.log(logits @ sums)
+                both = target[:, None] - np.log(product(logits, sums, WINDOW - least))
                 use = real.ravel()
                 to = at[use]
                 out[to], opening[to] = both[use, 0], both[use, 1]
@@ -127,22 +139,22 @@ class Attention:
         stacked = lambda z: z.reshape(-1, WINDOW, z.shape[-1])
         flat = lambda z: z.reshape(-1, z.shape[-1])
         e = flat(stacked(w["embed"].take(x, axis=0)) + w["place"])
-        q, k, v = stacked(e @ (w["query"] * scale)), stacked(e @ w["key"]), stacked(e @ w["value"])
+        q, k, v = (stacked(product(e, z, WINDOW)) for z in (w["query"] * scale, w["key"], w["value"]))
         p = q @ k.transpose(0, 2, 1)
         np.exp(np.minimum(p, 60, out=p), out=p)
         p *= _BEFORE
-        p /= (flat(p) @ np.ones(WINDOW, dtype=np.float32)).reshape(-1, WINDOW, 1)
+        p /= p @ np.ones((WINDOW, 1), dtype=np.float32)
         o = flat(p @ v)
-        y = e + o @ w["mix"]
-        d = y @ w["out"]
+        y = e + product(o, w["mix"], WINDOW)
+        d = product(y, w["out"], WINDOW)
         d += w["bias"]
         np.exp(np.minimum(d, 60, out=d), out=d)
-        d /= (d @ np.ones(CLASSES, dtype=np.float32))[:, None]
+        d /= product(d, np.ones((CLASSES, 1), dtype=np.float32), WINDOW)
         d[each, t] -= 1
-        g = {"out": y.T @ d, "bias": np.ones(len(d), dtype=np.float32) @ d}
-        de = d @ w["out"].T
-        g["mix"] = o.T @ de
-        do = de @ w["mix"].T
+        g = {"out": summed(y, d), "bias": stacked(d).sum(axis=0).sum(axis=0)}
+        de = product(d, w["out"].T, WINDOW)
+        g["mix"] = summed(o, de)
+        do = product(de, w["mix"].T, WINDOW)
         own = np.einsum("ij,ij->i", do, o).reshape(-1, WINDOW, 1)
         do = stacked(do)
         dv = p.transpose(0, 2, 1) @ do
@@ -150,12 +162,12 @@ class Attention:
         ds -= own
         ds *= p
         for name, z in (("query", (ds @ k) * scale), ("key", ds.transpose(0, 2, 1) @ q), ("value", dv)):
-            g[name] = e.T @ flat(z)
-            de += flat(z) @ w[name].T
+            g[name] = summed(e, flat(z))
+            de += product(flat(z), w[name].T, WINDOW)
         g["place"] = stacked(de).sum(axis=0)
         marks = np.zeros((len(x), CLASSES), dtype=np.float32)
         marks[each, x] = 1
-        g["embed"] = marks.T @ de
+        g["embed"] = summed(marks, de)
         return {name: z * np.float32(1 / len(t)) for name, z in g.items()}
 
     def step(self, g: dict[str, np.ndarray], m: dict[str, list[np.ndarray]], step: int, rate: float) -> None:
@@ -188,8 +200,8 @@ class Attention:
                 for batch in batches:
                     rows = model.of[np.frombuffer(b"".join(batch["window"]), dtype="<u4").reshape(-1, WINDOW + 1)]
                     total = np.zeros(cuts[-1] + 1)
-                    for k in range(0, len(rows), 256):
-                        g, n = model.gradients(rows[k:k + 256]), len(rows[k:k + 256])
+                    for k in range(0, len(rows), SCORED_AT_ONCE):
+                        g, n = model.gradients(rows[k:k + SCORED_AT_ONCE]), len(rows[k:k + SCORED_AT_ONCE])
                         total += n * np.concatenate([*[g[x].ravel() for x in names], [1.0 / GRADIENT_UNIT]])
                     yield pd.DataFrame({"sums": [np.rint(total * GRADIENT_UNIT).astype(np.int64)]})
 

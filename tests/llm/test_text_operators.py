@@ -151,6 +151,32 @@ def test_word_numbers_give_the_ids_of_words():
     assert memory.hash[codes].tolist() == [attention_lm.word_hash(w) for w in words]
 
 
+@pytest.mark.parametrize("windows", [1, 10, 23])
+def test_products_in_blocks_give_the_gradient(windows):
+    rng, m = np.random.default_rng(windows), attention_lm
+    z, w = rng.normal(size=(windows * m.WINDOW, m.WIDTH)).astype(np.float32), rng.normal(size=(m.WIDTH, m.CLASSES)).astype(np.float32)
+    assert np.allclose(m.product(z, w, m.WINDOW), z @ w, atol=1e-4) and np.allclose(m.summed(z, z), z.T @ z, atol=1e-3)
+    assert m.BLOCK * m.WINDOW * m.WIDTH * m.CLASSES <= 1 << 18  # one thread in BLAS
+    shapes = {"embed": (m.CLASSES, m.WIDTH), "place": (m.WINDOW, m.WIDTH), **dict.fromkeys(("query", "key", "value", "mix"), (m.WIDTH, m.WIDTH)), "out": (m.WIDTH, m.CLASSES), "bias": (m.CLASSES,)}
+    weights = {n: rng.normal(0, 0.3, s) for n, s in shapes.items()}
+    rows = rng.integers(0, m.CLASSES, (windows, m.WINDOW + 1))
+
+    def loss(w):
+        e = w["embed"][rows[:, :-1]] + w["place"]
+        s = np.einsum("bik,bjk->bij", e @ w["query"], e @ w["key"]) / m.WIDTH**0.5
+        p = np.exp(s) * np.tril(np.ones((m.WINDOW, m.WINDOW)))
+        logits = (e + p / p.sum(axis=2, keepdims=True) @ (e @ w["value"]) @ w["mix"]) @ w["out"] + w["bias"]
+        logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
+        return -np.take_along_axis(logits, rows[:, 1:, None], 2).mean()
+
+    ids = np.zeros(1, dtype=np.int64)
+    got = m.Attention(ids, ids, ids, ids, ids, 0, 0.0, {n: x.astype(np.float32) for n, x in weights.items()}).gradients(rows)
+    for name, x in weights.items():
+        way = rng.normal(size=x.shape)
+        up, down = (loss(weights | {name: x + step * way}) for step in (1e-4, -1e-4))
+        assert (up - down) / 2e-4 == pytest.approx(float((got[name] * way).sum()), rel=1e-3, abs=1e-5)
+
+
 def test_classifier_separates_held_out_texts(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("aeiourstln") for _ in range(r.randint(2, 8)))
