@@ -65,22 +65,29 @@ class WordIds:
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=self._ranks(self.END), special_tokens={})._encode_single_piece
+
+    def _ranks(self, end: bytes) -> dict[bytes, int]:
+        """Ids of the vocabulary's tokens as bytes, ``end`` closing those that end a word."""
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # byte-level vocabularies show the others as 256 and up
         value = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         special = set(self.tokenizer.get_added_tokens_decoder())
-        ranks, marked = {}, {}
+        ranks = {}
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             if i not in special:
                 core = token.removesuffix("</w>")
-                raw = bytes(value[c] for c in core)
-                ranks[raw + (self.END if core != token else b"")] = i
-                if self.MARK.encode() not in raw and b" " not in raw:
-                    marked[raw + (self.MARK.encode() if core != token else b"")] = i
-        self.space = max(ranks.values()) + 1
-        marked |= {self.MARK.encode(): self.space + 1, b" ": self.space}
-        pattern = "[^ \x01]+\x01| "
-        self.merges = tiktoken.Encoding("runs", pat_str=pattern, mergeable_ranks=marked, special_tokens={})
-        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+                ranks[bytes(value[c] for c in core) + (end if core != token else b"")] = i
+        return ranks
+
+    @functools.cached_property
+    def merges(self) -> tuple[object, int]:
+        """The merges for many words in one string, each run closed by ``MARK``, and the id of the space between them."""
+        import tiktoken
+
+        ranks = self._ranks(self.MARK.encode())
+        space = max(ranks.values()) + 1
+        ranks[b" "] = space
+        return tiktoken.Encoding("runs", pat_str="[^ \x01]+\x01| ", mergeable_ranks=ranks, special_tokens={}), space
 
     def _ids(self, word: str) -> bytes:
         if not self.PLAIN.fullmatch(word):
@@ -94,15 +101,16 @@ class WordIds:
         """Ids of all words one after the other and how many each has, remembering none; plain words go through the merges together."""
         plain = np.fromiter((self.PLAIN.fullmatch(w) is not None for w in words), dtype=bool, count=len(words))
         text = " ".join(itertools.compress(words, plain)).lower()
-        found = self.merges.encode_to_numpy(self.RUNS_OF_WORDS.sub("\\g<0>" + self.MARK, text) + " ", disallowed_special=())
-        closes = np.flatnonzero(found == self.space)[:int(plain.sum())]
+        merges, space = self.merges
+        found = merges.encode_to_numpy(self.RUNS_OF_WORDS.sub("\\g<0>" + self.MARK, text) + " ", disallowed_special=())
+        closes = np.flatnonzero(found == space)[:int(plain.sum())]
         others = [self._ids(w) for w in itertools.compress(words, ~plain)]
         size = np.empty(len(words), dtype=np.int64)
         size[plain] = np.diff(closes, prepend=-1) - 1
         size[~plain] = [len(p) // 4 for p in others]
         out = np.empty(int(size.sum()), dtype="<u4")
         of_plain = np.repeat(plain, size)
-        out[of_plain] = found[found != self.space]
+        out[of_plain] = found[found != space]
         out[~of_plain] = np.frombuffer(b"".join(others), dtype="<u4")
         return out, size
 
