@@ -5,10 +5,12 @@ H = (a + b) (1 - t) / (1 + t) shingles.  The hash of a shingle puts it into one
 size band.  With m above H, some segment holds the same subset in both sets; a segment that also
 sends its one-deletion neighbours tolerates one difference and so counts twice.  ``allocate`` sets per band
 how many segments are of which kind by their cost in rows and in chance matches.  Empty segments
-say nothing, so each band has a few segments to spare for them; a set with more empty ones sends those too.
+say nothing, so each band has a few segments to spare for them; a set with more empty ones sends those too,
+unless it is so small that its partners must agree in many other segments.
 
-Candidates.  Equal sets are one class from the start.  Classes that share a subset in a small group are
-verified pair by pair.  In a large group each is verified against one hub, the class with most matches.
+Candidates.  Equal sets are one class from the start.  A linked pair agrees in at least as many segments as
+``signatures`` tells for both of its sets; classes that share fewer groups are left out before any text moves.
+Classes that share a subset in a small group are verified pair by pair.  In a large group each is verified against one hub, the class with most matches.
 Two classes that are both linked to the hub are connected.  For the rest, the differences to the hub
 decide: |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, so a linked pair of which one is not linked to the hub shares
 an element in the first part of both difference sets, shingles outside the hub first.  These elements
@@ -116,11 +118,21 @@ def schemes(size: int, percent: int = PERCENT) -> list[int]:
     return [own, own - 1] if own and -(-percent * size // 100) < edges[own] else [own]
 
 
-def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signature hashes, the number of the set each belongs to, and the band it was made for."""
+def most_differences(size: int, band: int, percent: int = PERCENT) -> int:
+    """Shingles in which a set and a linked one differ at most, the smaller of them in this band."""
+    high = bands(percent)[band + 1] - 1
+    return (100 - percent) * (size + (high if size > high else 100 * size // percent)) // (100 + percent)
+
+
+def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signature hashes, the number of the set each belongs to, the band it was made for, and how many a linked set shares at least.
+
+    Linked sets differ in at most ``most_differences`` segments.  Of the others at most the set's own empty ones are
+    not sent; where that leaves too few, the set sends its empty ones too and counts on the band's own spare.
+    """
     plan = [(i, band, *allocate(band, percent)) for i, s in enumerate(sets) for band in schemes(len(s), percent)]
     if not plan:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     segments = np.array([p[2] for p in plan])
     sizes = np.array([len(sets[p[0]]) for p in plan])
     base = np.cumsum(segments) - segments
@@ -138,20 +150,25 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarr
     band = np.array([p[1] for p in plan])
     place = ((band[owner] << 32) + number).astype(np.uint64) * _MIX[0]
     empty = count == 0
-    spare = np.array([p[4] for p in plan])
-    crowded = np.bincount(owner, weights=empty, minlength=len(plan)) > spare
+    least = 1 + np.array([p[5] for p in plan])
+    most = np.array([most_differences(len(sets[p[0]]), p[1], percent) for p in plan])
+    deletions = np.array([p[3] for p in plan])
+    empties = np.bincount(owner, weights=empty, minlength=len(plan)).astype(np.int64)
+    plain = np.array([p[4] > 0 for p in plan])  # bands with segments to spare
+    agree = segments - most - empties
+    crowded = np.where(plain, agree < least, empties > 0)
+    shared = np.where(plain & ~crowded, agree, least)
     sent = ~empty | crowded[owner]
     out, of = [mix(content[sent] ^ place[sent])], [owner[sent]]
-    deletions = np.array([p[3] for p in plan])
     if deletions.any():
         at = np.flatnonzero(slot - base[row] < deletions[row])
         out.append(mix((content[slot[at]] - value[at]) ^ place[slot[at]]))
         of.append(row[at])
     at = np.concatenate(of)
-    return np.concatenate(out), np.array([p[0] for p in plan])[at], band[at]
+    return np.concatenate(out), np.array([p[0] for p in plan])[at], band[at], shared[at]
 
 
-_SIGNED = {"signature": "<u4", "class": "<i8", "band": "u1"}
+_SIGNED = {"signature": "<u4", "class": "<i8", "band": "u1", "shared": "<u2"}
 _CLASSED = {"doc": "<i8", "version": "<i8", "class": "<i8", "size": "<i8"}
 DOCUMENT, PAIR, MEMBER = 0, 1, 2
 
@@ -168,12 +185,15 @@ def _sign(batches: Iterator[pd.DataFrame], buckets: int, words: int, percent: in
     count = 0
 
     def flush() -> Iterator[pd.DataFrame]:
-        signature, name, band = (np.concatenate([p[i] for p in pending]) for i in range(3))
+        signature, name, band, shared = (np.concatenate([p[i] for p in pending]) for i in range(4))
         order = np.lexsort((name, signature))
         order = order[packed.runs(signature[order], name[order])]
-        signature, name, band = signature[order], name[order], band[order]
+        signature, name, band, shared = signature[order], name[order], band[order], shared[order]
         bucket = (signature % np.uint64(buckets)).astype(np.int64)
-        columns = {"signature": (signature >> np.uint64(32)).astype("<u4"), "class": name, "band": band.astype(np.uint8)}
+        columns = {
+            "signature": (signature >> np.uint64(32)).astype("<u4"), "class": name, "band": band.astype(np.uint8),
+            "shared": np.minimum(shared, 0xFFFF).astype("<u2"),
+        }
         yield packed.send(bucket, columns, tuple(_SIGNED)).assign(doc=None, version=None, size=None)
 
     for batch in batches:
@@ -189,10 +209,10 @@ def _sign(batches: Iterator[pd.DataFrame], buckets: int, words: int, percent: in
                 "doc": batch["doc"].to_numpy(np.int64)[a:b + 1], "version": batch["version"].to_numpy(np.int64)[a:b + 1],
                 "class": names, "size": np.array([len(s) for s in sets], dtype="<i8"),
             }
-            yield packed.send(names % buckets, columns, tuple(_CLASSED)).assign(signature=None, band=None)
+            yield packed.send(names % buckets, columns, tuple(_CLASSED)).assign(signature=None, band=None, shared=None)
             _, first = np.unique(names, return_index=True)
-            signature, of, band = signatures([sets[i] for i in first], percent)
-            pending.append((signature, names[first][of], band))
+            signature, of, band, shared = signatures([sets[i] for i in first], percent)
+            pending.append((signature, names[first][of], band, shared))
             count += len(signature)
             a, size = b + 1, 0
             if count >= FLUSH_SIGNATURES:
@@ -203,8 +223,11 @@ def _sign(batches: Iterator[pd.DataFrame], buckets: int, words: int, percent: in
         yield from flush()
 
 
-def _small_pairs(name: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of groups of at most ``SMALL_GROUP`` members, laid out by the distance of their places."""
+def _small_pairs(name: np.ndarray, band: np.ndarray, shared: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All pairs of groups of at most ``SMALL_GROUP`` members, laid out by the distance of their places.
+
+    Per pair and band the number of groups it must share at least and of those that it shares here.
+    """
     left, right = [], []
     for d in range(1, SMALL_GROUP):
         n = sizes - d
@@ -212,34 +235,41 @@ def _small_pairs(name: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tup
         if ok.any():
             steps = np.arange(n[ok].sum()) - np.repeat(np.cumsum(n[ok]) - n[ok], n[ok])
             at = np.repeat(starts[ok], n[ok]) + steps
-            left.append(name[at])
-            right.append(name[at + d])
+            left.append(at)
+            right.append(at + d)
     if not left:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    pairs = np.unique(np.stack((np.concatenate(left), np.concatenate(right)), axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+        return (np.empty(0, dtype=np.int64),) * 5
+    at, to = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((band[at], name[to], name[at]))
+    at, to = at[order], to[order]
+    first = np.flatnonzero(packed.runs(name[at], name[to], band[at]))
+    wanted = np.maximum.reduceat(np.maximum(shared[at], shared[to]), first) if len(first) else first
+    return name[at[first]], name[to[first]], band[at[first]], wanted, np.diff(first, append=len(at))
 
 
 def _collide(rows: pd.DataFrame) -> pd.DataFrame:
-    """Classes of documents, candidate pairs of small groups, and members of large ones."""
+    """Classes of documents, candidate pairs of small groups, and members of large ones.
+
+    Pairs and members come with the number of groups of a band that a link needs, pairs with that of groups they share here.
+    """
     classed = rows["signature"].isna()
     c = packed.receive(rows[classed], _CLASSED)
-    parts = [(np.full(len(c["doc"]), DOCUMENT), c["class"], c["doc"], c["version"], c["size"])]
+    parts = [(np.full(len(c["doc"]), DOCUMENT), c["class"], c["doc"], c["version"], c["size"], np.zeros(len(c["doc"]), np.int64))]
     s = packed.receive(rows[~classed], _SIGNED)
     if len(s["class"]):
         order = np.lexsort((s["class"], s["signature"]))
         order = order[packed.runs(s["signature"][order], s["class"][order])]
-        signature, name, band = s["signature"][order], s["class"][order].astype(np.int64), s["band"][order]
+        signature, name, band, shared = s["signature"][order], s["class"][order].astype(np.int64), s["band"][order], s["shared"][order]
         starts = np.flatnonzero(packed.runs(signature))
         sizes = np.diff(starts, append=len(name))
         small = (sizes > 1) & (sizes <= SMALL_GROUP)
-        a, b = _small_pairs(name, starts[small], sizes[small])
-        parts.append((np.full(len(a), PAIR), a, b, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)))
+        pairs = _small_pairs(name, band, shared, starts[small], sizes[small])
+        parts.append((np.full(len(pairs[0]), PAIR), *pairs))
         large = np.repeat(sizes > SMALL_GROUP, sizes)
         group = signature[large].astype(np.int64) << 31 | (int(rows["bucket"].iloc[0]) & 0x7FFFFFFF)
         n = int(large.sum())
-        parts.append((np.full(n, MEMBER), name[large], group, band[large], np.zeros(n, np.int64)))
-    return pd.DataFrame({k: np.concatenate([np.asarray(p[i], dtype=np.int64) for p in parts]) for i, k in enumerate(("kind", "a", "b", "c", "d"))})
+        parts.append((np.full(n, MEMBER), name[large], group, band[large], shared[large], np.zeros(n, np.int64)))
+    return pd.DataFrame({k: np.concatenate([np.asarray(p[i], dtype=np.int64) for p in parts]) for i, k in enumerate(("kind", "a", "b", "c", "d", "n"))})
 
 
 def _absent(x: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -505,17 +535,29 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _costly_dropped(members: DataFrame, percent: int) -> DataFrame:
-    """Members of large groups; every class leaves as many of its largest groups of a band as it has segments to spare.
+def _enough_shared(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of small groups that may share as many groups of a band as a link needs, all common large ones of both counted in."""
+    met = pairs.groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.max("shared").alias("shared"))
+    held = members.groupBy("class", "band").agg(F.count("*").alias("held"))
+    for side in ("a", "b"):
+        of = held.select(F.col("class").alias("of"), F.col("band").alias("of_band"), F.col("held").alias(f"held_{side}"))
+        met = met.join(of, (F.col(side) == F.col("of")) & (F.col("band") == F.col("of_band")), "left").drop("of", "of_band")
+    large = F.least(F.coalesce("held_a", F.lit(0)), F.coalesce("held_b", F.lit(0)))
+    return met.filter(F.col("n") + large >= F.col("shared")).select("a", "b").distinct()
+
+
+def _costly_dropped(members: DataFrame) -> DataFrame:
+    """Members of large groups; every class leaves its largest groups of a band, one fewer than a linked class shares with it.
 
-    A linked pair shares more groups than that.  The smallest of them, by size and name, is among the largest
-    of neither class, so both stay in it.
+    Pairs that share a small group are candidates already; any other linked pair shares that many large ones.  The
+    smallest of them, by size and name, is among the largest of neither class, so both stay in it.
     """
-    spare = F.array(*[F.lit(allocate(b, percent)[3]) for b in range(len(bands(percent)) - 1)])
-    sizes = members.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("n"))
-    largest = W.partitionBy("class", "band").orderBy(F.desc("n"), "group")  # the segments of one set
-    ranked = members.join(sizes, F.col("group") == F.col("g")).withColumn("rank", F.row_number().over(largest))
-    return ranked.filter(F.col("rank") > F.element_at(spare, F.col("band").cast("int") + 1)).select("class", "group")
+    of_class = W.partitionBy("class", "band")  # the segments of one set
+    known = members.withColumn("held", F.count("*").over(of_class)).filter("held >= shared").drop("held")
+    sizes = known.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("n")).filter("n > 1")
+    largest = of_class.orderBy(F.desc("n"), "group")
+    ranked = known.join(sizes, F.col("group") == F.col("g")).withColumn("rank", F.row_number().over(largest))
+    return ranked.filter("rank >= shared").select("class", "group")
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> DataFrame:
@@ -526,12 +568,12 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     signed = base.mapInPandas(
         lambda batches: (b[["bucket", *columns]] for b in _sign(batches, buckets, words, percent)), packed.schema(columns)
     )
-    rows = materialize(signed.groupBy("bucket").applyInPandas(_collide, "kind long, a long, b long, c long, d long"), "collisions")
+    rows = materialize(signed.groupBy("bucket").applyInPandas(_collide, "kind long, a long, b long, c long, d long, n long"), "collisions")
     classed = rows.filter(F.col("kind") == DOCUMENT).select(F.col("a").alias("class"), F.col("b").alias("doc"), F.col("c").alias("version"), F.col("d").alias("n_shingles"))
-    pairs = rows.filter(F.col("kind") == PAIR).select("a", "b").distinct()
-    members = rows.filter(F.col("kind") == MEMBER).select(F.col("a").alias("class"), F.col("b").alias("group"), F.col("c").alias("band"))
-    members = materialize(_costly_dropped(members, percent), "members")
-    pairs = materialize(pairs, "pairs")
+    pairs = rows.filter(F.col("kind") == PAIR).select("a", "b", F.col("c").alias("band"), F.col("d").alias("shared"), "n")
+    members = rows.filter(F.col("kind") == MEMBER).select(F.col("a").alias("class"), F.col("b").alias("group"), F.col("c").alias("band"), F.col("d").alias("shared"))
+    pairs = materialize(_enough_shared(pairs, members), "pairs")
+    members = materialize(_costly_dropped(members), "members")
 
     wanted = members.select("class").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("class"))).distinct()
     speakers = classed.groupBy("class").agg(F.min(F.struct("doc", "version", "n_shingles")).alias("s")).join(wanted, "class", "left_semi")

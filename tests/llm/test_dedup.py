@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,44 @@ def test_allocation_covers_every_band(percent, first):
         most = (100 - percent) * (high + 100 * high // percent) // (100 + percent)
         segments, deletions, empty, costly = set_join.allocate(band, percent)
         assert segments + deletions - empty - costly >= most + 1 and low >= first
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_linked_sets_share_as_many_signatures_as_told(percent):
+    r = np.random.default_rng(4)
+    edges, told = set_join.bands(percent), []
+    sizes = sorted({n + d for n in edges[2:11] for d in (-1, 0, 1, 7)} - {0})
+    for size in sizes * 3:
+        x = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
+        apart = 2 * (100 - percent) * size // (100 + percent)
+        out = int(r.integers(0, apart + 1))
+        y = np.unique(np.concatenate((x[out:], r.integers(0, 1 << 63, apart - out, dtype=np.uint64))))
+        both = len(np.intersect1d(x, y))
+        if 100 * both < percent * (len(x) + len(y) - both):
+            continue
+        signature, of, band, shared = set_join.signatures([x, y], percent)
+        enough = []
+        for b in set(band.tolist()):
+            one, two = ((of == i) & (band == b) for i in range(2))
+            if one.any() and two.any():
+                enough.append(len(np.intersect1d(signature[one], signature[two])) - max(shared[one].max(), shared[two].max()))
+        told.append(max(enough) if enough else -1 if size >= edges[1] else 0)
+    assert len(told) > 50 and min(told) >= 0
+
+
+def test_texts_with_little_in_common_are_no_candidates(spark, monkeypatch):
+    """Of 120 unrelated texts some segments are empty in many, and all have a phrase in common."""
+    r = random.Random(8)
+    low = next(n for n in set_join.bands() if n > 500)
+    phrase = [f"all{i}" for i in range(6)]
+    texts = [phrase + [f"w{r.randrange(10**9)}" for _ in range(low - 2)] for _ in range(120)]
+    texts += [[*texts[0][:-1], "end"], [*texts[1][:-2], "end"]]
+    moved, with_texts = [], set_join._with_texts
+
+    def spy(work, texts, percent):
+        moved.append(work.count())
+        return with_texts(work, texts, percent)
+
+    monkeypatch.setattr(set_join, "_with_texts", spy)
+    got = set_join.similar_groups(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA).repartition(2))
+    assert sorted(r.doc_id for r in got.collect() if r.component_id != r.doc_id) == [120, 121] and sum(moved) < 10
