@@ -10,15 +10,18 @@ unless it is so small that its partners must agree in many other segments.
 
 Candidates.  Equal sets are one class from the start.  A linked pair agrees in at least as many segments as
 ``signatures`` tells for both of its sets; classes that share fewer groups are left out before any text moves.
-Classes that share a subset in a small group are verified pair by pair.  In a large group each is verified against one hub, the class with most matches.
-Two classes that are both linked to the hub are connected.  For the rest, the differences to the hub
-decide: |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, so a linked pair of which one is not linked to the hub shares
-an element in the first part of both difference sets, shingles outside the hub first.  These elements
-form the groups of the next round, until none is left.  For components no group is expanded into all of its pairs.
+A sketch of each class, the parity of its shingles per bit, tells more: two sets differ in at least as many shingles as
+their sketches in bits.  Pairs of small groups beyond the threshold by their sketches are left out, and within a large
+group all pairs of sketches are compared, in blocks of bounded size.  What may be linked there is covered by single pairs and by
+stars: a hub and spokes that may all be linked with it.  A star stands for the pairs among its spokes as well, so a group
+of near copies leaves a row per class and not one per pair.
 
-Numbers of links.  A pair of classes that are both linked to a hub is connected, but may itself be linked or not.
-``_links_of_spokes`` compares the differences to the hub of all such pairs in salted blocks and counts each linked pair
-once, at the least of the hubs that both are linked to; every other link is an edge of its own.
+Stars.  Hub and spokes are verified on their texts.  The differences to the hub tell the distance of any two
+spokes exactly, |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|.  Two spokes that are both linked to the hub are connected; pairs of which
+one is not are compared by these differences in salted blocks (``_spoke_pairs``), which leave a spanning forest of the links.
+
+Numbers of links.  If links are counted, the same blocks compare all pairs of spokes of a hub and count each linked pair
+once, at the least of the hubs of which both are spokes; every other link is an edge of its own.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a text of fewer words
 than a shingle is one shingle; rows that repeat or share an id are compared like any other; a null id never
@@ -46,7 +49,9 @@ SPOKE_BLOCK = 1500  # spokes of a hub on either side of a block of pairs
 DENSE = 24  # classes from which on an element is counted by a matrix product
 HUB_PARTS = 64  # copies of a hub's text at most
 ROWS_PER_PART = 2000
-OPEN_PAIRS = 200  # of a group of a later round that are verified one by one
+GROUP_BLOCK = 2000  # classes of a large group on either side of a block of sketches
+MEMBERS_PER_PART = 20_000
+SKETCH_BITS = 64, 65_536  # least and most
 SLICE_BYTES, FLUSH_SIGNATURES = 500_000, 250_000
 MAX_BROADCAST = 200_000
 BAND_RATIO = 1.63
@@ -272,17 +277,129 @@ def _collide(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({k: np.concatenate([np.asarray(p[i], dtype=np.int64) for p in parts]) for i, k in enumerate(("kind", "a", "b", "c", "d", "n"))})
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the shingles per bit, at least two bits a shingle up to the most."""
+    least, most = SKETCH_BITS
+    bits = min(most, max(least, 1 << (2 * len(s)).bit_length()))
+    at = (mix(s + _MIX[0]) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words; longer ones are folded, as their bits are numbered by the same hash."""
+    lengths = np.array([len(x) for x in sketches])
+    out = np.empty((len(sketches), width // 8), dtype=np.uint64)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        parts = np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), dtype=np.uint64).reshape(len(at), -1, width // 8)
+        out[at] = np.bitwise_xor.reduce(parts, axis=1)
+    return out
+
+
+def _may_link(apart: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be linked, whose sketches differ in ``apart`` bits."""
+    close = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    return close & ((100 + percent) * apart <= (100 - percent) * (a + b))
+
+
+def _near_pairs(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """The pairs that may be linked by their sketches."""
+    for batch in batches:
+        one, two = batch["sketch_a"].tolist(), batch["sketch_b"].tolist()
+        width = np.array([min(len(x), len(y)) for x, y in zip(one, two, strict=True)], dtype=np.int64)
+        apart = np.zeros(len(batch), dtype=np.int64)
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            x, y = (_folded([side[i] for i in at.tolist()], w) for side in (one, two))
+            apart[at] = np.bitwise_count(x ^ y).sum(axis=1)
+        keep = _may_link(apart, batch["size_a"].to_numpy(np.int64), batch["size_b"].to_numpy(np.int64), percent)
+        yield batch.loc[keep, ["hub", "class", "star"]]
+
+
+def _may_link_all(sketches: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of a block may be linked by their sketches, as a symmetric matrix."""
+    n = len(sizes)
+    words = _folded(sketches, min(map(len, sketches)))
+    out = np.empty((n, n), dtype=bool)
+    step = max(1, 2_000_000 // (n * words.shape[1]))
+    for at in range(0, n, step):
+        part = slice(at, at + step)
+        apart = np.bitwise_count(words[part, None] ^ words[None]).sum(axis=2, dtype=np.int64)
+        out[part] = _may_link(apart, sizes[part, None], sizes[None], percent)
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _cover(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (hub, spoke, whether of a star) such that every near pair is one of them or lies between two spokes of a star.
+
+    Each place in turn is a hub for the near ones still open.  Where these have few open pairs among themselves, its pairs stand alone.
+    """
+    hubs, spokes, stars = [], [], []
+    for h in np.flatnonzero(near.any(axis=1)).tolist():
+        of = np.flatnonzero(near[h])
+        if not len(of):
+            continue
+        among = np.ix_(of, of)
+        star = len(of) > 2 and int(np.count_nonzero(near[among])) > 4 * len(of)  # each pair counts twice
+        if star:
+            near[among] = False
+        near[h, of] = near[of, h] = False
+        hubs.append(np.full(len(of), h))
+        spokes.append(of)
+        stars.append(np.full(len(of), star))
+    if not hubs:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=bool)
+    return np.concatenate(hubs), np.concatenate(spokes), np.concatenate(stars)
+
+
+def _cover_groups(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """The covers of blocks of large groups, whose rows follow one another; one block is held at a time."""
+    key: tuple[int, ...] | None = None
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
+    out: list[tuple[np.ndarray, ...]] = []
+
+    def cover() -> None:
+        name, degree, size = (np.concatenate([h[i] for h in held]) for i in range(3))
+        order = np.lexsort((name, degree))[::-1]  # the same hubs in all groups
+        sketches = [x for h in held for x in h[3]]
+        near = _may_link_all([sketches[i] for i in order.tolist()], size[order], percent)
+        if near.any():
+            hub, spoke, star = _cover(near)
+            a, b = name[order[hub]], name[order[spoke]]
+            swap = ~star & (a > b)
+            out.append((np.where(swap, b, a), np.where(swap, a, b), star))
+        held.clear()
+
+    def covered() -> Iterator[pd.DataFrame]:
+        if out:
+            yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("hub", "class", "star"))})
+            out.clear()
+
+    for batch in batches:
+        columns = [batch[c].to_numpy(np.int64) for c in ("group", "lower", "upper")]
+        values = [batch[c].to_numpy(np.int64) for c in ("class", "degree", "size")]
+        sketches = batch["sketch"].tolist()
+        starts = np.flatnonzero(packed.runs(*columns)).tolist()
+        for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
+            here = tuple(int(c[a]) for c in columns)
+            if here != key and held:
+                cover()
+            key = here
+            held.append((*[v[a:b] for v in values], sketches[a:b]))
+        yield from covered()
+    if held:
+        cover()
+    yield from covered()
+
+
 def _absent(x: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Elements of a sorted set that another one lacks."""
     return x[h[np.minimum(np.searchsorted(h, x), len(h) - 1)] != x] if len(h) else x
 
 
-def _verify(batches: Iterator[pd.DataFrame], words: int, percent: int, counted: bool) -> Iterator[pd.DataFrame]:
-    """Whether hub and class are linked, and of a star the difference in short hashes for the next round.
-
-    Equal short hashes of different shingles only add candidates.  A whole difference goes along for a
-    linked spoke if links are to be counted.
-    """
+def _verify(batches: Iterator[pd.DataFrame], words: int, percent: int) -> Iterator[pd.DataFrame]:
+    """Whether hub and class are linked, and of a spoke its difference to the hub."""
     known: dict[int, np.ndarray] = {}
 
     def shingled(name: int, text: str) -> np.ndarray:
@@ -293,97 +410,54 @@ def _verify(batches: Iterator[pd.DataFrame], words: int, percent: int, counted:
         return known[name]
 
     for batch in batches:
-        linked, whole, short, apart, near, sizes = [], [], [], [], [], []
+        linked, differences, sizes = [], [], []
         for hub, hub_text, name, text, star in zip(batch["hub"], batch["hub_text"], batch["class"], batch["text"], batch["star"], strict=True):
             h, x = shingled(hub, hub_text), shingled(name, text)
             new = _absent(x, h)
             linked.append(100 * (len(x) - len(new)) >= percent * (len(h) + len(new)))
-            difference = np.concatenate((new, _absent(h, x))).view(np.int64) if star else new[:0].view(np.int64)
-            lengths = [prefix_length(len(h), len(x), len(difference), linked[-1], other, percent) if star else 0 for other in (False, True)]
-            whole.append(difference if linked[-1] and counted else None)
-            short.append((difference >> 32).astype(np.int32))
+            differences.append(np.concatenate((new, _absent(h, x))).view(np.int64) if star else None)
             sizes.append(len(x))
-            apart.append(0 if linked[-1] else lengths[0])
-            near.append(lengths[0] if linked[-1] else lengths[1])
-        yield batch[["hub", "class", "star"]].assign(linked=linked, difference=whole, short=short, apart=apart, near=near, size=sizes)
+        yield batch[["hub", "class", "star"]].assign(linked=linked, difference=differences, size=sizes)
 
 
-def prefix_length(hub: int, size: int, difference: int, linked: bool, other_linked: bool, percent: int) -> int:
-    """Leading elements of Dx that a linked pair (x, y) shares, with y linked to the hub or not as told and not both linked.
+def _candidates(pairs: DataFrame, members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(hub, class, star): what is to be verified so that every pair that may be linked is covered.
 
-    The pair needs an overlap of half of |Dx| + |Dy| - H(x, y).  The least is taken over all sizes of y that
-    the threshold allows; |Dy| is at least the difference in size to the hub and at least |Dx| - H(x, y),
-    and beyond H(y, hub) just where y is not linked.
+    A large group is cut into blocks of pairs by a hash of the class, so no task takes all of its pairs.
     """
-    y = np.arange(-(-percent * size // 100), 100 * size // percent + 1)
-    between = (100 - percent) * (size + y) // (100 + percent)
-    to_hub = (100 - percent) * (hub + y) // (100 + percent)
-    least = np.maximum(np.abs(y - hub), difference - between)
-    if other_linked:
-        possible = least <= to_hub
-    else:
-        least, possible = np.maximum(least, to_hub + 1), np.ones(len(y), dtype=bool)
-    if not possible.any():
-        return 0
-    overlap = max(1, -(-int((difference + least - between)[possible].min()) // 2))
-    return max(0, difference - overlap + 1)
-
-
-def _stars(members: DataFrame) -> DataFrame:
-    """(hub, class) for every large group; the hub is the member with most matches in all groups."""
-    sized = members.groupBy(F.col("group").alias("g")).agg((F.count("*") - 1).alias("others")).filter("others > 0")
-    known = members.join(sized, F.col("group") == F.col("g")).select("group", "class", "others")
-    degree = known.groupBy(F.col("class").alias("of")).agg(F.sum("others").alias("degree"))
-    hubs = known.join(degree, F.col("class") == F.col("of")).groupBy(F.col("group").alias("g")).agg(
-        F.max(F.struct("degree", "class"))["class"].alias("hub")
+    sketched = texts.select("class", "size", "text").mapInPandas(
+        lambda batches: (b[["class", "size"]].assign(sketch=[sketch(shingles(t, words)) for t in b["text"]]) for b in batches), "class long, size long, sketch binary"
     )
-    return known.join(hubs, F.col("group") == F.col("g")).filter("hub <> class").select("hub", "class").distinct()
-
-
-def _next_groups(stars: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs of small groups and members of large ones for the classes that their hub left open.
-
-    Classes not linked to the hub meet each other by one part of their difference, and linked ones by another;
-    in a mixed group only pairs of a linked and another class are open.
-    """
-    row = F.xxhash64("hub", "class")
-    each = stars.select(row.alias("row"), "hub", F.explode("short").alias("e")).select("row", F.xxhash64("hub", "e").alias("element"))
-    # elements of one spoke alone come first in every order and match nothing, so only their number counts
-    counts = each.groupBy(F.col("element").alias("of")).agg(F.count("*").alias("n")).filter("n > 1")
-    rarest, one_row = W.partitionBy("row").orderBy("n", "element"), W.partitionBy("row")  # one document's elements
-    ranked = each.join(counts, F.col("element") == F.col("of")).withColumn("place", F.row_number().over(rarest)).withColumn("shared", F.count("*").over(one_row))
-    rows = stars.select(row.alias("star_row"), "class", "linked", "apart", "near", F.size("short").alias("all"))
-    ranked = ranked.join(rows, F.col("row") == F.col("star_row")).withColumn("rank", F.col("all") - F.col("shared") + F.col("place"))
-    ranked = ranked.filter("rank <= greatest(apart, near)")
-    sides = F.filter(F.array(F.when(F.col("rank") <= F.col("apart"), False), F.when(F.col("rank") <= F.col("near"), True)), lambda m: m.isNotNull())
-    element = ranked.select("class", "linked", "element", F.explode(sides).alias("mixed"))
-    element = element.select(F.xxhash64("mixed", "element").alias("group"), "class", "linked", "mixed").distinct()
-    sizes = element.groupBy(F.col("group").alias("g")).agg(F.count_if("linked").alias("yes"), F.count_if(~F.col("linked")).alias("no"))
-    sizes = sizes.filter("no > 1 or yes > 0 and no > 0")
-    again = element.join(sizes, F.col("group") == F.col("g")).drop("g").filter("mixed and yes > 0 and no > 0 or not mixed and no > 1")
-    again = materialize(again, "members")
-    small = F.when(F.col("mixed"), F.col("yes") * F.col("no") <= OPEN_PAIRS).otherwise(F.col("no") * (F.col("no") - 1) <= 2 * OPEN_PAIRS)
-    few = again.filter(small)
-    other = few.select(F.col("group").alias("g"), F.col("class").alias("b"), F.col("linked").alias("other_linked"))
-    open_pair = F.when(F.col("mixed"), ~F.col("linked") & F.col("other_linked")).otherwise(F.col("class") < F.col("b"))
-    pairs = few.join(other, (F.col("group") == F.col("g")) & open_pair)
-    pairs = pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).filter("a <> b").distinct()
-    many = again.filter(~small).select("group", "class").distinct()
-    return pairs, many if many.limit(1).count() else None
+    sketched = materialize(sketched, "sketches")
+    met = pairs.select(F.col("a").alias("hub"), F.col("b").alias("class"), F.lit(False).alias("star"))
+    for side, name in (("a", "hub"), ("b", "class")):
+        of = sketched.select(F.col("class").alias("of"), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+        met = met.join(of, F.col(name) == F.col("of")).drop("of")
+    schema = "hub long, class long, star boolean"
+    near = met.mapInPandas(lambda batches: _near_pairs(batches, percent), schema)
+
+    sized = members.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("n")).filter("n > 1")
+    known = members.join(sized, F.col("group") == F.col("g")).select("group", "class", "n")
+    degree = known.groupBy(F.col("class").alias("of")).agg(F.sum(F.col("n") - 1).alias("degree"))
+    known = known.join(degree, F.col("class") == F.col("of")).drop("of").withColumn("parts", F.ceil(F.col("n") / GROUP_BLOCK).cast("int"))
+    part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part")))
+    cut = known.withColumn("part", part).select("group", "class", "degree", "part", F.explode(others).alias("with"))
+    cut = cut.select("group", F.least("part", "with").alias("lower"), F.greatest("part", "with").alias("upper"), F.col("class").alias("member"), "degree")
+    whole = cut.join(sketched, F.col("member") == F.col("class")).select("group", "lower", "upper", "class", "degree", "size", "sketch")
+    tasks = max(members.sparkSession.sparkContext.defaultParallelism, -(-members.count() // MEMBERS_PER_PART))
+    dealt = whole.repartition(tasks, "group", "lower", "upper").sortWithinPartitions("group", "lower", "upper")
+    covers = dealt.mapInPandas(lambda batches: _cover_groups(batches, percent), schema)
+    return near.unionByName(covers).groupBy("hub", "class").agg(F.max("star").alias("star"))
 
 
 def _with_texts(work: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The texts beside every hub and class that may be linked or are of a star, in parts of even numbers of rows.
+    """The texts beside every hub and class, in parts of even numbers of rows.
 
-    Sizes are compared before a text moves.  A hub's text goes once to each of up to ``HUB_PARTS`` parts of its spokes.
+    A hub's text goes once to each of up to ``HUB_PARTS`` parts of its spokes.
     """
-    of_class = texts.select(F.col("class").alias("one"), F.col("size").alias("size_one"))
-    of_hub = texts.select(F.col("class").alias("two"), F.col("size").alias("size_two"))
-    sized = work.join(of_class, F.col("class") == F.col("one")).join(of_hub, F.col("hub") == F.col("two"))
-    close = 100 * F.least("size_one", "size_two") >= percent * F.greatest("size_one", "size_two")
-    sized = sized.filter(F.col("star") | close).select("hub", "class", "star", F.pmod(F.xxhash64("class"), F.lit(HUB_PARTS)).alias("part"))
-    sized = materialize(sized, "candidates")
-    parts = max(work.sparkSession.sparkContext.defaultParallelism, -(-sized.count() // ROWS_PER_PART))
+    sized = work.select("hub", "class", "star", F.pmod(F.xxhash64("class"), F.lit(HUB_PARTS)).alias("part"))
+    parts = max(work.sparkSession.sparkContext.defaultParallelism, -(-work.count() // ROWS_PER_PART))
     one = texts.select(F.col("class").alias("one"), "text")
     two = texts.select(F.col("class").alias("two"), F.col("text").alias("hub_text"))
     hubs = sized.select("hub", "part").distinct().join(two, F.col("hub") == F.col("two")).select(F.col("hub").alias("of"), F.col("part").alias("of_part"), "hub_text")
@@ -391,32 +465,19 @@ def _with_texts(work: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return spokes.join(hubs, (F.col("hub") == F.col("of")) & (F.col("part") == F.col("of_part"))).select("hub", "class", "star", "text", "hub_text")
 
 
-def links(pairs: DataFrame, members: DataFrame | None, texts: DataFrame, words: int = WORDS, percent: int = PERCENT, counted: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between classes, through which every linked pair is connected, and the linked spokes of all hubs.
+def links(pairs: DataFrame, members: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) of hubs and of single pairs, and the spokes of all stars with their differences to the hub.
 
-    A linked pair that is no link of the first frame has a hub in the second one to which both are linked.
-    ``texts`` holds class, size and text; the spokes have their differences only if ``counted``.
+    A linked pair that is no link of the first frame has a star in the second one of which both are spokes.
+    ``texts`` holds class, size and text.
     """
-    found, spokes = [], []
-    while True:
-        work = pairs.select(F.col("a").alias("hub"), F.col("b").alias("class"), F.lit(False).alias("star"))
-        if members is not None:
-            work = work.unionByName(_stars(members).withColumn("star", F.lit(True)))
-        verified = _with_texts(work, texts, percent).mapInPandas(
-            lambda batches: _verify(batches, words, percent, counted),
-            "hub long, class long, star boolean, linked boolean, difference array<long>, short array<int>, apart long, near long, size long",
-        )
-        verified = materialize(verified, "verified")
-        found.append(verified.filter("linked").select(F.col("hub").alias("a"), F.col("class").alias("b")))
-        stars = verified.filter("star")
-        spokes.append(stars.filter("linked").select("hub", "class", "size", "difference"))
-        if members is None or not stars.filter("not linked").limit(1).count():
-            break
-        pairs, members = _next_groups(stars)
-    out, near = found[0], spokes[0]
-    for more, others in zip(found[1:], spokes[1:], strict=True):
-        out, near = out.unionByName(more), near.unionByName(others)
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), near.dropDuplicates(["hub", "class"])
+    work = materialize(_candidates(pairs, members, texts, words, percent), "candidates")
+    verified = _with_texts(work, texts, percent).mapInPandas(
+        lambda batches: _verify(batches, words, percent), "hub long, class long, star boolean, linked boolean, difference array<long>, size long"
+    )
+    verified = materialize(verified, "verified")
+    out = verified.filter("linked").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct()
+    return out, verified.filter("star").select("hub", "class", "linked", "size", "difference")
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -459,55 +520,88 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _count_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links of each class with the spokes of the other side of a block, of pairs that no lesser hub counts."""
-    side = rows["side"].to_numpy()
-    left = rows[side == 0].reset_index(drop=True)
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that connect what a symmetric matrix connects, at most one per place."""
+    new, out = np.ones(len(linked), dtype=bool), []
+    for start in np.flatnonzero(linked.any(axis=1)).tolist():
+        if not new[start]:
+            continue
+        new[start], queue = False, [start]
+        while queue:
+            i = queue.pop()
+            found = np.flatnonzero(linked[i] & new).tolist()
+            new[found] = False
+            queue += found
+            out += [(i, j) for j in found]
+    return tuple(np.array(out, dtype=np.int64).reshape(-1, 2).T)
+
+
+def _linked_between(left: pd.DataFrame, right: pd.DataFrame, own: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs ``own`` are linked and have no lesser hub in common."""
+    own = own & (_shared(left["lesser"].tolist(), right["lesser"].tolist()) == 0)
+    rows, columns = np.flatnonzero(own.any(axis=1)), np.flatnonzero(own.any(axis=0))
+    out = np.zeros(own.shape, dtype=bool)
+    if len(rows):
+        left, right = left.iloc[rows], right.iloc[columns]
+        d = [np.array(list(map(len, part["difference"]))) for part in (left, right)]
+        apart = d[0][:, None] + d[1] - 2 * _shared(left["difference"].tolist(), right["difference"].tolist()).astype(np.int64)
+        both = left["size"].to_numpy(np.int64)[:, None] + right["size"].to_numpy(np.int64)
+        at = np.ix_(rows, columns)
+        out[at] = own[at] & (100 * (both - apart) >= percent * (both + apart))
+    return out
+
+
+def _spoke_block(rows: pd.DataFrame, percent: int, counted: bool) -> pd.DataFrame:
+    """Links between the two sides of a block: a forest (of, to) of those with a spoke that the hub is not linked to, and numbers of all (of, n)."""
     same = bool(rows["lower"].iloc[0] == rows["upper"].iloc[0])
-    right = left if same else rows[side == 1].reset_index(drop=True)
-    own = _shared(left["lesser"].tolist(), right["lesser"].tolist()) == 0
-    if same:
-        own = np.triu(own, 1)
-    if not own.any():
-        return pd.DataFrame({"of": np.empty(0, dtype=np.int64), "n": np.empty(0, dtype=np.int64)})
-    use_left, use_right = own.any(axis=1), own.any(axis=0)
-    own, left, right = own[np.ix_(use_left, use_right)], left[use_left], right[use_right]
-    d = [np.array(list(map(len, part["difference"]))) for part in (left, right)]
-    apart = d[0][:, None] + d[1] - 2 * _shared(left["difference"].tolist(), right["difference"].tolist()).astype(np.int64)
-    both = left["size"].to_numpy(np.int64)[:, None] + right["size"].to_numpy(np.int64)
-    linked = own & (100 * (both - apart) >= percent * (both + apart))
-    names = np.concatenate((left["class"].to_numpy(np.int64), right["class"].to_numpy(np.int64)))
-    n = np.concatenate((linked.sum(axis=1), linked.sum(axis=0)))
-    return pd.DataFrame({"of": names[n > 0], "n": n[n > 0]})
-
-
-def _links_of_spokes(spokes: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """(of, n): links of each class with classes that share a hub with it; ``hubs`` lists the hubs of every class.
+    rows = rows.sort_values(["side", "linked"], ignore_index=True)  # spokes that the hub is not linked to come first
+    side, open_ = rows["side"].to_numpy(), ~rows["linked"].to_numpy(bool)
+    name, linked = rows["class"].to_numpy(np.int64), np.zeros((len(rows), len(rows)), dtype=bool)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
+    sides = [(left, right)] if counted else [(left[open_[left]], right), (left[~open_[left]], right[open_[right]])]
+    for x, y in sides:
+        if len(x) and len(y):
+            at = np.ix_(x, y)
+            linked[at] |= _linked_between(rows.iloc[x], rows.iloc[y], x[:, None] != y, percent)
+    linked |= linked.T
+    a, b = _forest(linked & (open_[:, None] | open_))
+    n = linked.sum(axis=1) if counted else np.zeros(len(rows), dtype=np.int64)
+    parts = [pd.DataFrame({"of": name[a], "to": name[b], "n": 0}), pd.DataFrame({"of": name[n > 0], "to": -1, "n": n[n > 0]})]
+    return pd.concat(parts).astype("int64")
+
+
+def _spoke_pairs(spokes: DataFrame, percent: int, counted: bool) -> tuple[DataFrame, DataFrame]:
+    """Further links (a, b) between spokes, and (of, n): links of each class with classes of which a hub is common.
 
     A hub with many spokes is cut into blocks of pairs by a hash of the class, so no task takes all of its pairs.
+    Where links are not counted, hubs that are linked to all of their spokes have nothing open.
     """
-    parts = spokes.groupBy(F.col("hub").alias("h")).agg(F.count("*").alias("n")).filter("n > 1")
+    hubs = spokes.groupBy(F.col("class").alias("node")).agg(F.collect_list("hub").alias("hubs"))
+    parts = spokes.groupBy(F.col("hub").alias("h")).agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("open"))
+    parts = parts.filter("n > 1" if counted else "n > 1 and open > 0")
     parts = parts.select("h", F.ceil(F.col("n") / SPOKE_BLOCK).cast("int").alias("parts"))
     cut = spokes.join(parts, F.col("hub") == F.col("h")).join(hubs, F.col("class") == F.col("node"))
     cut = cut.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     lesser = F.filter("hubs", lambda x: x < F.col("hub"))
-    cut = cut.select("hub", "class", "size", "difference", lesser.alias("lesser"), "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    cut = cut.select("hub", "class", "linked", "size", "difference", lesser.alias("lesser"), "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
     blocks = cut.select(
         "hub", F.least("part", "with").alias("lower"), F.greatest("part", "with").alias("upper"),
-        F.when(F.col("part") <= F.col("with"), 0).otherwise(1).alias("side"), "class", "size", "difference", "lesser",
+        F.when(F.col("part") <= F.col("with"), 0).otherwise(1).alias("side"), "class", "linked", "size", "difference", "lesser",
     )
-    counted = blocks.groupBy("hub", "lower", "upper").applyInPandas(lambda rows: _count_block(rows, percent), "of long, n long")
-    return counted
+    found = blocks.groupBy("hub", "lower", "upper").applyInPandas(lambda rows: _spoke_block(rows, percent, counted), "of long, to long, n long")
+    found = materialize(found, "spoke-links")
+    edges = found.filter("n = 0").select(F.least("of", "to").alias("a"), F.greatest("of", "to").alias("b"))
+    return edges, found.filter("n > 0").select("of", "n")
 
 
-def link_counts(edges: DataFrame, spokes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(of, n_links): number of classes that each class is linked with."""
+def link_counts(edges: DataFrame, spokes: DataFrame, counts: DataFrame) -> DataFrame:
+    """(of, n_links): number of classes that each class is linked with; ``counts`` holds those that have a hub in common with it."""
     hubs = materialize(spokes.groupBy(F.col("class").alias("node")).agg(F.collect_list("hub").alias("hubs")), "hubs")
     two = hubs.select(F.col("node").alias("node_b"), F.col("hubs").alias("hubs_b"))
     met = edges.join(hubs, F.col("a") == F.col("node"), "left").join(two, F.col("b") == F.col("node_b"), "left")
     alone = met.filter(~F.coalesce(F.arrays_overlap("hubs", "hubs_b"), F.lit(False)))  # the others count at a hub
     alone = alone.select(F.explode(F.array("a", "b")).alias("of"), F.lit(1).cast("long").alias("n"))
-    return alone.unionByName(_links_of_spokes(spokes, hubs, percent)).groupBy("of").agg(F.sum("n").alias("n_links"))
+    return alone.unionByName(counts).groupBy("of").agg(F.sum("n").alias("n_links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -581,14 +675,15 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     speakers = broadcast_if_small(materialize(speakers, "speakers"), MAX_BROADCAST)
     texts = base.join(speakers, (F.col("doc") == F.col("of")) & (F.col("version") == F.col("v"))).select("class", "size", "text")
     texts = materialize(texts, "texts")
-    edges, spokes = links(pairs, members, texts, words, percent, counted)
+    edges, spokes = links(pairs, members, texts, words, percent)
     edges = materialize(edges, "links")
+    more, counts = _spoke_pairs(spokes, percent, counted)
 
-    roots = materialize(components(edges), "roots")
+    roots = materialize(components(edges.unionByName(more)), "roots")
     named = classed.join(roots, F.col("class") == F.col("node"), "left")
     n_links = F.lit(None).cast("long")
     if counted:
-        degree = materialize(link_counts(edges, spokes, percent), "degree")
+        degree = materialize(link_counts(edges, spokes, counts), "degree")
         named = named.join(degree, F.col("class") == F.col("of"), "left")
         n_links = F.coalesce("n_links", F.lit(0).cast("long"))
     named = named.select("doc", "version", "class", "n_shingles", F.coalesce("root", "class").alias("root"), n_links.alias("n_links"))

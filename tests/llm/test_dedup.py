@@ -181,3 +181,60 @@ def test_texts_with_little_in_common_are_no_candidates(spark, monkeypatch):
     monkeypatch.setattr(set_join, "_with_texts", spy)
     got = set_join.similar_groups(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA).repartition(2))
     assert sorted(r.doc_id for r in got.collect() if r.component_id != r.doc_id) == [120, 121] and sum(moved) < 10
+
+
+def family(r, texts, size=300, changed=(22, 45)):
+    """Texts of one template, each with words of its own at drawn places, so that some pairs are linked and most are not."""
+    base = [f"f{i}" for i in range(size)]
+    out = []
+    for i in range(texts):
+        at = r.sample(range(size), r.randint(*changed) // 4)
+        out.append(" ".join(f"x{i}y{k}" if k in at else w for k, w in enumerate(base)))
+    return out
+
+
+@pytest.mark.parametrize("counted", [True, False])
+@pytest.mark.parametrize("block", [2000, 25])
+def test_a_family_near_the_threshold_leaves_few_candidates(spark, monkeypatch, block, counted):
+    """Five times as many texts of a template leave no more candidates per text than a bound, and every link counts."""
+    monkeypatch.setattr(set_join, "GROUP_BLOCK", block)
+    monkeypatch.setattr(set_join, "SPOKE_BLOCK", block)
+    data = list(enumerate(family(random.Random(2), 100)))
+    moved, with_texts = [], set_join._with_texts
+
+    def spy(work, texts, percent):
+        moved.append(work.count())
+        return with_texts(work, texts, percent)
+
+    monkeypatch.setattr(set_join, "_with_texts", spy)
+    got = set_join.similar_groups(spark.createDataFrame(data, SCHEMA).repartition(2), counted=counted)
+    assert rows(got.select("doc_id", "n_shingles", "component_id")) == sorted(jaccard_components(data, 4, 85), key=repr)
+    if counted:
+        assert rows(got.select("doc_id", "n_links")) == sorted(jaccard_links(data), key=repr)
+    assert len(moved) == 1
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    r = np.random.default_rng(3)
+    for size in (3, 40, 600, 5000):
+        x = r.integers(0, 1 << 63, size, dtype=np.uint64)
+        for out in (0, 1, size // 10, size // 2, size):
+            y = np.concatenate((x[out:], r.integers(0, 1 << 63, out + size // 20, dtype=np.uint64)))
+            apart = set_join._folded([set_join.sketch(x), set_join.sketch(y)], min(len(set_join.sketch(x)), len(set_join.sketch(y))))
+            differ = int(np.bitwise_count(apart[0] ^ apart[1]).sum())
+            assert differ <= len(np.setxor1d(x, y)) and (out < size or differ > 0)
+
+
+def test_a_cover_holds_every_pair():
+    r = np.random.default_rng(5)
+    for share in (0.02, 0.3, 0.9, 1.0):
+        near = np.triu(r.random((60, 60)) < share, 1)
+        near |= near.T
+        hub, spoke, star = set_join._cover(near.copy())
+        held = np.zeros_like(near)
+        held[hub, spoke] = held[spoke, hub] = True
+        assert (near | ~held).all()  # nothing but near pairs
+        for h in np.unique(hub[star]):
+            of = spoke[star & (hub == h)]
+            held[np.ix_(of, of)] = True
+        assert (held | ~near).all() and (share < 1 or len(hub) == 59)
